@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def share_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers that see this file system import the package. On a cluster ship it with --py-files."""
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parent.parent)
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **more: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -17,4 +29,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **more: s
     )
     for key, value in more.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return share_package(builder.getOrCreate())
