@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, bitmap_of, located, maybe_in, shared_dir, text_of, without, written
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lives in RocksDB on disk; a store is closed when its part of a batch is committed, so many parts don't add up.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def digest_log(docs: DataFrame) -> DataFrame:
@@ -32,8 +35,9 @@ def stream_state(log: DataFrame, files_per_batch: int = 1000, checkpoint: str |
     schema = "digest binary, keep struct<doc_id: bigint, _file: string, _row: bigint, _rid: bigint>, group_size bigint"
     if folder is None:
         return spark.createDataFrame([], schema)
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
         state = source.groupBy("digest").agg(F.max(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), "_file", "_row", "_rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
@@ -44,7 +48,8 @@ def stream_state(log: DataFrame, files_per_batch: int = 1000, checkpoint: str |
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint or f"{work}/state").trigger(availableNow=True).foreachBatch(keep_changes).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changes = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{work}/changes")
     return changes.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))
 
