@@ -1,10 +1,4 @@
 """All registered queries and their DuckDB oracles."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import catalogue_queries, motion_queries, order_queries, relational_queries, stat_queries, stream_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
