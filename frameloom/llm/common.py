@@ -95,14 +95,22 @@ def without(df: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     return clear.unionByName(rest)
 
 
-def located(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns and a content locator for each row: _file (path) and _row (row in the file), and
-    _rid, a 64-bit hash of both. Rows that don't come straight from files are written to the shared folder first."""
-    picked = [F.col(c) for c in columns]
+def rooted(docs: DataFrame) -> DataFrame:
+    """docs itself if its rows come straight from files, else a copy written to the shared folder. Its rows can be located."""
     try:
-        out = docs.select(*picked, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        out.schema
+        docs.select("_metadata.file_path", "_metadata.row_index").schema
+        return docs
     except AnalysisException:
-        base = written(docs.select(*columns), "rows")
-        out = base.select(*picked, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return written(docs, "rows")
+
+
+def located(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """The columns and a content locator for each row: _file (path) and _row (row in the file), and _rid, a 64-bit hash
+    of both. To locate rows of the same table twice, root it first."""
+    out = rooted(docs).select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     return out.withColumn("_rid", F.xxhash64("_file", "_row"))
+
+
+def boxed(docs: DataFrame) -> Column:
+    """The whole row as one column _box, so that no name of its columns can clash; select("_box.*") opens it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_box")

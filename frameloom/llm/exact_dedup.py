@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bitmap_of, located, maybe_in, shared_dir, text_of, without, written
+from .common import ascii_lower, bitmap_of, boxed, located, maybe_in, rooted, shared_dir, text_of, without, written
 
 #: State lives in RocksDB on disk; a store is closed when its part of a batch is committed, so many parts don't add up.
 _STATE = {
@@ -72,7 +72,7 @@ def exact_dedup(docs: DataFrame, files_per_batch: int = 1000) -> DataFrame:
     and is kept where the whole group has none. An empty table gives an empty result. Columns other than doc_id and
     text are ignored, so their names can't clash.
     """
-    docs = docs.select("doc_id", "text", *(["_metadata"] if _has_metadata(docs) else []))
+    docs = rooted(docs)
     log = digest_log(docs)
     state = written(stream_state(log, files_per_batch), "dedup-state")
     two = collided(docs, log, state).limit(1).count()
@@ -91,16 +91,6 @@ def exact_dedup(docs: DataFrame, files_per_batch: int = 1000) -> DataFrame:
     )
 
 
-def _has_metadata(docs: DataFrame) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        docs.select("_metadata.file_path").schema
-        return True
-    except AnalysisException:
-        return False
-
-
 def _split_by_text(docs: DataFrame) -> DataFrame:
     """The same result keyed by whole texts: taken only where two texts share a SHA-256 digest."""
     rows = located(docs, "doc_id", "text").withColumn("_norm", ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))).drop("text")
@@ -110,11 +100,9 @@ def _split_by_text(docs: DataFrame) -> DataFrame:
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns (pipeline stage)."""
-    names = docs.columns
-    rows = located(docs, *names)
-    base = rows.drop("_file", "_row")
-    dropped = exact_dedup(docs).where("not kept").select("_rid")
-    return without(base, "_rid", written(dropped, "dropped")).select(*names)
+    docs = rooted(docs)
+    dropped = written(exact_dedup(docs).where("not kept").select("_rid"), "dropped")
+    return without(located(docs, boxed(docs)), "_rid", dropped).select("_box.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, maybe_in, written
+from .common import bitmap_of, boxed, maybe_in, without, written
 from .components import connected_components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -228,11 +228,10 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """The rows of docs of which no nearer-to-first copy exists, with all their columns (pipeline stage)."""
-    from .common import without
-
-    dropped = near_duplicates(docs, near).where("not kept").select("doc_id").distinct()
-    return without(docs, "doc_id", written(dropped, "dropped")).select(*docs.columns)
+    """One row of each group of near-duplicates, the one with the smallest doc_id, with all its columns (pipeline stage)."""
+    dropped = near_duplicates(docs, near).where("not kept").select(F.col("doc_id").alias("_key")).distinct()
+    rows = docs.select(boxed(docs), F.col("doc_id").cast("bigint").alias("_key"))
+    return without(rows, "_key", written(dropped, "dropped")).select("_box.*")
 
 
 #: The query's contract: three words, 0.85.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, boxed, written
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
@@ -43,14 +43,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling
 
 
 def mix_rates(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of each row, with size, source_size, target and copies.
+    """The kept columns of each row, with _size, _source_size, _target and _copies.
 
     rate = target / source_size; copies = floor(rate) and one more where a hash of seed and doc_id, as a number in
     [0, 1), is below the fraction. Null text has size 0; null source is a source of its own; a source of size 0 has
     target 0 and its rows one copy (they hold no words, so it changes no total). Rows that repeat a doc_id are
     drawn alike. An empty table gives an empty result.
     """
-    extra = [c for c in keep if c not in ("source",)]
+    extra = [c for c in keep if c != "source"]
     sized = docs.select(*extra, docs["source"], words_in(docs["text"]).alias("_size"))
     targets = written(source_targets(sized.select("source", F.col("_size").alias("size")), weights, ceiling), "targets")
     targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
@@ -65,9 +65,9 @@ def mix_rates(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIG
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixture itself: each row of docs as often as it is drawn, with its columns (pipeline stage)."""
-    names = docs.columns
-    rates = mix_rates(docs, keep=tuple(names), **how)
-    return rates.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_copies"), F.lit(1))))).where("_copies > 0").select(*names)
+    rates = mix_rates(docs.select(boxed(docs), "doc_id", "source", "text"), keep=("_box", "doc_id"), **how)
+    drawn = rates.select("_box", "_copies").where("_copies > 0")
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_box.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import located, text_of, written
+from .common import boxed, located, rooted, text_of, written
 
 SHARDS = 16
 SEED = "shard-1"
@@ -61,11 +61,13 @@ def stratified_shards(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, t
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
-    """The shards as Parquet folders shard=0, shard=1 ..., rows in slot order within each file."""
-    names = docs.columns
-    rows = located(docs, *names).drop("_file", "_row")
+    """The shards as Parquet folders shard=0, shard=1 ..., rows in slot order within each file. Columns named shard or
+    slot are replaced."""
+    docs = rooted(docs)
+    kept = docs.drop("shard", "slot")
     where = stratified_shards(docs, **how).select("_rid", "shard", "slot")
-    rows.join(where, "_rid").select(*names, "shard", "slot").repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = located(docs, boxed(kept)).select("_box", "_rid").join(where, "_rid").select("_box.*", "shard", "slot")
+    rows.repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
