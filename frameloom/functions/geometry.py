@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def _cross_matrix(v: np.ndarray) -> np.ndarray:
@@ -87,6 +88,6 @@ def with_delta_actions(frames: DataFrame, episode: str = "episode_id", order: st
     return frames.join(acted, [episode, order])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def relative_rotation(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(list(relative(np.stack(before.to_numpy()), np.stack(after.to_numpy()))) if len(before) else [])
