@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Endings of episode directories that are left out.
 EXCLUDED_ENDINGS = ("failed", "ood", "ikbad", "heated", "stop", "hard")
 # Words for true and for false.
-TRUE_WORDS, FALSE_WORDS = ("1", "true", "yes", "on"), ("0", "false", "no", "off")
+TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y"), ("false", "0", "no", "n")
 # Label and memory by pattern, first match counts.
 GPU_LABELS = (("h200", "h200"), ("b200", "b200"), ("h100", "h100"), ("a100[_-]80g", "a100_80g"), ("a100[_-]40g", "a100_40g"), ("a100", "a100"), ("a40", "a40"), ("a6000", "a6000"), ("v100", "v100"), ("t4", "t4"))
 GPU_MEMORY = (("b200", "180G"), ("h200", "141G"), ("h100", "80G"), ("a100", "40G/80G"), ("a40", "48G"), ("a6000", "48G"), ("v100", "16G/32G"), ("t4", "16G"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.functions.vectors import denormalised, normalised, not_finite
+from frameloom.functions.vectors import denormalised, normalised
 
 from .episodes import whole
 
@@ -80,11 +80,11 @@ def display_range(rows: DataFrame, x: str) -> DataFrame:
 
 
 def plot_bounds(rows: DataFrame, x: str, *keys: str) -> DataFrame:
-    """Range of the finite values with a margin of a tenth; half a unit to each side if flat."""
-    good = F.when(~not_finite(F.col(x)), F.col(x))
+    """Range of the numbers with a margin of a tenth; half a unit to each side if flat, 0 to 1 if there are none."""
+    good = F.when(~F.isnan(x), F.col(x))
     per = rows.groupBy(*keys).agg(F.min(good).alias("a"), F.max(good).alias("b"))
-    margin = F.when(F.col("b") - F.col("a") > 1e-9, (F.col("b") - F.col("a")) * 0.1).otherwise(0.5)
-    return per.select(*keys, (F.col("a") - margin).alias("lo"), (F.col("b") + margin).alias("hi"))
+    margin = F.when(F.col("b") - F.col("a") < 1e-6, 0.5).otherwise((F.col("b") - F.col("a")) * 0.1)
+    return per.select(*keys, F.coalesce(F.col("a") - margin, F.lit(0.0)).alias("lo"), F.coalesce(F.col("b") + margin, F.lit(1.0)).alias("hi"))
 
 
 def inferred_fps(dt: DataFrame, default: int = 10) -> DataFrame:

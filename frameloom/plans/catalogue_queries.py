@@ -236,7 +236,7 @@ def camera_streams(spark, d):
 
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN true ELSE false END AS flag FROM events")
 def bool_words(spark, d):
-    word = F.when(F.col("event_type").isin("click", "purchase"), "Yes").otherwise("off")
+    word = F.when(F.col("event_type").isin("click", "purchase"), "Yes").otherwise("n")
     return table(spark, d, "events").select("event_id", tx.bool_word(word).alias("flag"))
 
 

@@ -33,7 +33,11 @@ def read_args(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value")).withColumn("kind", coerced(F.col("value")))
 
 
-def parse_headset(lines: DataFrame, tag: str = "wE9ryARX") -> DataFrame:
+# Fixed value: what marks a line of the headset's stream.
+HEADSET_TAG = "wE9ryARX"
+
+
+def parse_headset(lines: DataFrame, tag: str = HEADSET_TAG) -> DataFrame:
     """Poses and buttons of a headset's text stream: after the tag, ``r:16 numbers|l:16 numbers&buttons``.
 
     side, matrix (16 numbers, row by row), buttons (map of name to numbers; a bare name is [1]). Poses without 16 numbers are dropped.
