@@ -33,22 +33,29 @@ def read_args(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value")).withColumn("kind", coerced(F.col("value")))
 
 
-# Fixed value: what marks a line of the headset's stream.
+# What marks a line of the headset's stream, and the buttons of each hand.
 HEADSET_TAG = "wE9ryARX"
+RIGHT_BUTTONS = ("A", "B", "RThU", "RJ", "RG", "RTr")
+LEFT_BUTTONS = ("X", "Y", "LThU", "LJ", "LG", "LTr")
 
 
 def parse_headset(lines: DataFrame, tag: str = HEADSET_TAG) -> DataFrame:
     """Poses and buttons of a headset's text stream: after the tag, ``r:16 numbers|l:16 numbers&buttons``.
 
-    side, matrix (16 numbers, row by row), buttons (map of name to numbers; a bare name is [1]). Poses without 16 numbers are dropped.
+    side, matrix (16 numbers, row by row), buttons (map of name to numbers). A hand that is marked (R, L) has all its
+    buttons, [1] where pressed and [0] where not; other names come with their numbers. Poses without 16 numbers are dropped.
     """
-    body = F.when(F.col("value").contains(tag), F.element_at(F.split("value", tag), -1)).otherwise(F.col("value"))
-    halves = F.split(F.regexp_replace(body, r"^:\s*", ""), "&")
-    words = F.filter(F.split(F.get(halves, F.lit(1)), ","), lambda w: F.trim(w) != "")
-    entry = lambda w: F.struct(F.get(F.split(F.trim(w), " "), F.lit(0)).alias("k"), F.transform(F.slice(F.concat(F.split(F.trim(w), " "), F.when(F.size(F.split(F.trim(w), " ")) == 1, F.array(F.lit("1"))).otherwise(F.array().cast("array<string>"))), 2, 8), lambda x: x.try_cast("double")).alias("v"))
-    buttons = F.map_from_entries(F.transform(words, entry))
-    poses = lines.where(F.size(halves) == 2).select(buttons.alias("buttons"), F.explode(F.split(halves[0], r"\|")).alias("pose"))
-    sides = poses.select(F.get(F.split("pose", ":"), F.lit(0)).alias("side"), F.transform(F.filter(F.split(F.get(F.split("pose", ":"), F.lit(1)), r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double")).alias("matrix"), "buttons")
+    body = F.when(F.col("value").contains(tag), F.element_at(F.split("value", f"{tag}: "), -1)).otherwise(F.lit(""))
+    halves = F.split(body, "&")
+    words = F.transform(F.split(F.get(halves, F.lit(1)), ","), lambda w: F.trim(w))
+    none = F.array().cast("array<string>")
+    hand = lambda mark, names: F.when(F.array_contains(words, mark), F.array(*[F.lit(n) for n in names])).otherwise(none)
+    named = F.transform(F.concat(hand("R", RIGHT_BUTTONS), hand("L", LEFT_BUTTONS)), lambda n: F.struct(n.alias("k"), F.array(F.array_contains(words, n).cast("double")).alias("v")))
+    valued = F.transform(F.filter(words, lambda w: w.contains(" ")), lambda w: F.struct(F.split(w, " ")[0].alias("k"), F.transform(F.slice(F.split(w, " "), 2, 8), lambda x: x.try_cast("double")).alias("v")))
+    poses = lines.where(F.size(halves) == 2).select(F.map_from_entries(F.concat(named, valued)).alias("buttons"), F.explode(F.split(halves[0], r"\|")).alias("pose"))
+    pair = F.split("pose", ":")
+    matrix = F.transform(F.filter(F.split(F.get(pair, F.lit(1)), " "), lambda x: x != ""), lambda x: x.try_cast("double"))
+    sides = poses.select(F.get(pair, F.lit(0)).alias("side"), matrix.alias("matrix"), "buttons")
     return sides.where((F.size("matrix") == 16) & ~F.exists("matrix", lambda x: x.isNull()))
 
 

@@ -81,7 +81,7 @@ def test_texts(spark, tmp_path):
     assert got == {"lr": ("0.1", "float"), "n": ("3", "int"), "flag": ("True", "bool"), "none": ("None", "none"), "name": ("a: b", "text")}
     line = "I wE9ryARX: r:" + " ".join(map(str, range(16))) + "|l:1 2&R,A,rightTrig 0.5"
     rows = texts.parse_headset(spark.createDataFrame([(line,), ("noise",)], "value string")).collect()
-    assert len(rows) == 1 and rows[0].side == "r" and rows[0].buttons == {"R": [1.0], "A": [1.0], "rightTrig": [0.5]}
+    assert len(rows) == 1 and rows[0].side == "r" and rows[0].buttons == {"A": [1.0], "rightTrig": [0.5], **{k: [0.0] for k in ("B", "RThU", "RJ", "RG", "RTr")}}
     (tmp_path / "c.yaml").write_text("a: 1\n")
     assert str(texts.load_yaml(str(tmp_path / "c.yaml"))["a"]) == "1"
 
