@@ -37,6 +37,7 @@ def read_args(spark: SparkSession, path: str) -> DataFrame:
 HEADSET_TAG = "wE9ryARX"
 RIGHT_BUTTONS = ("A", "B", "RThU", "RJ", "RG", "RTr")
 LEFT_BUTTONS = ("X", "Y", "LThU", "LJ", "LG", "LTr")
+_BUTTONS = "array<struct<k: string, v: array<double>>>"
 
 
 def parse_headset(lines: DataFrame, tag: str = HEADSET_TAG) -> DataFrame:
@@ -52,7 +53,7 @@ def parse_headset(lines: DataFrame, tag: str = HEADSET_TAG) -> DataFrame:
     hand = lambda mark, names: F.when(F.array_contains(words, mark), F.array(*[F.lit(n) for n in names])).otherwise(none)
     named = F.transform(F.concat(hand("R", RIGHT_BUTTONS), hand("L", LEFT_BUTTONS)), lambda n: F.struct(n.alias("k"), F.array(F.array_contains(words, n).cast("double")).alias("v")))
     valued = F.transform(F.filter(words, lambda w: w.contains(" ")), lambda w: F.struct(F.split(w, " ")[0].alias("k"), F.transform(F.slice(F.split(w, " "), 2, 8), lambda x: x.try_cast("double")).alias("v")))
-    poses = lines.where(F.size(halves) == 2).select(F.map_from_entries(F.concat(named, valued)).alias("buttons"), F.explode(F.split(halves[0], r"\|")).alias("pose"))
+    poses = lines.where(F.size(halves) == 2).select(F.map_from_entries(F.concat(named.cast(_BUTTONS), valued.cast(_BUTTONS))).alias("buttons"), F.explode(F.split(halves[0], r"\|")).alias("pose"))
     pair = F.split("pose", ":")
     matrix = F.transform(F.filter(F.split(F.get(pair, F.lit(1)), " "), lambda x: x != ""), lambda x: x.try_cast("double"))
     sides = poses.select(F.get(pair, F.lit(0)).alias("side"), matrix.alias("matrix"), "buttons")
