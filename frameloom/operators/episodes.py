@@ -21,6 +21,11 @@ def whole(episode: str = "episode_id"):
     return Window.partitionBy(episode)
 
 
+def small(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """rows with a broadcast hint if they are few; otherwise the planner chooses another way."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def numbered(rows: DataFrame, episode: str, order: list) -> DataFrame:
     """rows with frame_index; order must be unique within an episode."""
     return rows.withColumn("frame_index", F.row_number().over(Window.partitionBy(episode).orderBy(*order)).cast("bigint") - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .episodes import whole
+from .episodes import small, whole
 
 
 def progress(frames: DataFrame) -> DataFrame:
@@ -46,5 +46,5 @@ def mae(rows: DataFrame, pred: str, target: str, change: str | None = None) -> D
 
 
 def against_all(checkpoints: DataFrame, samples: DataFrame) -> DataFrame:
-    """Every checkpoint with every sample. The list of checkpoints is cut at 10,000 names before it is broadcast."""
-    return samples.join(F.broadcast(checkpoints.limit(10_000)), how="cross")
+    """Every checkpoint with every sample; the list of checkpoints is broadcast if it is short."""
+    return samples.join(small(checkpoints), how="cross")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.times import seconds_between
 
-from .episodes import by_episode
+from .episodes import by_episode, small
 
 
 def issue(rows: DataFrame, when: Column, severity: str, code: str, detail: Column) -> DataFrame:
@@ -85,7 +85,7 @@ def not_finite_counts(rows: DataFrame, vector: str) -> DataFrame:
 
 def missing_streams(present: DataFrame, expected: DataFrame) -> DataFrame:
     """IC8: episode_id and stream pairs that should be there. expected: stream, a short list, repeated for each episode."""
-    grid = present.select("episode_id").distinct().join(F.broadcast(expected.limit(10_000)), how="cross")
+    grid = present.select("episode_id").distinct().join(small(expected), how="cross")
     return grid.join(present.select("episode_id", "stream").distinct(), ["episode_id", "stream"], "left_anti")
 
 
