@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB and 2,000 rows, so that long texts don't add up in Python workers. The setting
+    stays, since plans read it when they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def texts_of(column) -> Iterator[str | None]:
+    """The strings of an Arrow column one by one, without holding all of them as Python objects."""
+    return (x.as_py() for x in column)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: a cut of lineage that outlives executors."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, boxed, maybe_in, without, written
+from .common import bitmap_of, boxed, maybe_in, small_batches, texts_of, without, written
 from .components import connected_components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -77,8 +77,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest value of each hash function over a non-empty set, a few thousand members at a time."""
     least = None
-    for at in range(0, len(s), 4096):
-        part = (s[at : at + 4096][None, :] * a[:, None] + b[:, None]).min(axis=1)
+    for at in range(0, len(s), 2048):
+        part = (s[at : at + 2048][None, :] * a[:, None] + b[:, None]).min(axis=1)
         least = part if least is None else np.minimum(least, part)
     return least
 
@@ -97,7 +97,7 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
         a, b = _coefficients(near.bands * near.rows)
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 s = shingle_set(text, near.words)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     component and is kept. Rows that repeat a doc_id are one node: all are kept or none is. Empty tables give empty
     results. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     drawn = written(sketches(docs, near), "sketches")
     nodes = drawn.where("doc_id is not null and digest is not null")
     classes = written(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles")), "classes")

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, texts_of, written
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker remembers in each of two generations; when the younger is full it becomes the older.
+CACHE_WORDS = 80_000
 
 
 class WordIds:
@@ -38,6 +38,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -58,12 +59,15 @@ class WordIds:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) + len(self.pieces) > CACHE_WORDS:
-                known.clear()
+            if len(known) > CACHE_WORDS:
+                self.older, self.words = known, {}
+                known = self.words
+            if len(self.pieces) > CACHE_WORDS:
                 self.pieces.clear()
             for w in words:
                 if w not in known:
-                    known[w] = self._word(w)
+                    found = self.older.get(w)
+                    known[w] = self._word(w) if found is None else found
             return b"".join([known[w] for w in words])
 
 
@@ -86,13 +90,15 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     """doc_id, start, length, ids_crc32, doc_tokens for each piece, with its rank ``nth`` among the pieces of its length
     in its task ``task``. tokenizer: a file's place on each executor; by default the installed vocabulary's own place."""
 
+    small_batches(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer or default_tokenizer())
         end = np.array([end_id], "<u4").tobytes()
         seen: dict[int, int] = {}
         for batch in batches:
             out = []
-            for row, text in enumerate(batch.column("text").to_pylist()):
+            for row, text in enumerate(texts_of(batch.column("text"))):
                 data = encode(text or "") + end
                 n = len(data) // 4
                 for start in range(0, n, window):

@@ -21,9 +21,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches, texts_of
+
 TABLE = 1 << 20
 STEM = 4
-CACHE_WORDS = 500_000
+CACHE_WORDS = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Identity terms by kind; within a kind each may stand for any other. Our own choice, a parameter of fit().
@@ -42,7 +44,7 @@ IDENTITY: tuple[tuple[str, ...], ...] = (
 class Fit:
     """per_class bounds the sample: at most so many labelled rows of each class, by a hash of doc_id."""
 
-    per_class: int = 6000
+    per_class: int = 4000
     penalty: float = 10.0
     least_z: float = 4.0
     ridge: float = 1e-3
@@ -92,12 +94,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, how: Fit) -> pa.Table:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, other = [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 words = words_of(text)
                 own.append(sorted(features(words)))
                 other.append([sorted(features(w)) for w in swaps(words, how.identity)])
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))], ["toxic", "own", "other"])
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(extract, "toxic int, own array<int>, other array<array<int>>").toArrow()
 
 
@@ -105,7 +108,7 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Values and the row of each value."""
     a = column.combine_chunks()
     lengths = np.diff(a.offsets.to_numpy())
-    return a.flatten().to_numpy(), np.repeat(np.arange(len(a)), lengths)
+    return a.flatten().to_numpy(), np.repeat(np.arange(len(a), dtype=np.int32), lengths)
 
 
 def fit(sample: pa.Table, how: Fit = Fit()) -> Model:
@@ -116,13 +119,14 @@ def fit(sample: pa.Table, how: Fit = Fit()) -> Model:
         share = (n1 + 0.5) / (n + 1) if n else 0.01
         return Model({}, float(np.log(share / (1 - share))))
     value, row = _flat(sample["own"])
-    hit1 = np.bincount(value, weights=y[row], minlength=TABLE)
-    hit0 = np.bincount(value, weights=1 - y[row], minlength=TABLE)
+    every = np.bincount(value, minlength=TABLE)
+    hit1 = np.bincount(value[(y == 1)[row]], minlength=TABLE)
+    hit0 = every - hit1
     p1, p0, p = hit1 / n1, hit0 / (n - n1), (hit1 + hit0) / n
     with np.errstate(divide="ignore", invalid="ignore"):
         z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
     used = np.flatnonzero(np.nan_to_num(np.abs(z)) > how.least_z)
-    place = np.full(TABLE, -1)
+    place = np.full(TABLE, -1, np.int32)
     place[used] = np.arange(len(used))
     at = place[value] >= 0
     f, r = place[value[at]], row[at]
@@ -187,12 +191,14 @@ def held_out(doc_id: Column) -> Column:
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted for each row of docs; other columns are ignored, repeated rows score alike."""
+    small_batches(docs.sparkSession)
     scored = docs.select("doc_id", scorer(model)(F.col("text").cast("string")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that score below 0.5, with all their columns (pipeline stage)."""
+    small_batches(docs.sparkSession)
     return docs.where(scorer(model)(F.col("text").cast("string")) < 0.5)
 
 
