@@ -9,12 +9,16 @@ their places by their rank among pieces of the same length.
 
 from __future__ import annotations
 
+import json
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +27,13 @@ from .common import small_batches, texts_of, written
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker remembers in each of two generations; when the younger is full it becomes the older.
-CACHE_WORDS = 80_000
+CACHE_WORDS = 150_000
+
+
+#: Bytes as the printable characters that byte-level tokenizers use: those that print stand for themselves, the others
+#: follow from U+0100 on in their order.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 
 
 class WordIds:
@@ -40,17 +50,27 @@ class WordIds:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        setup = json.loads(self.tokenizer.to_str())
+        split = (setup.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        kinds = [x["type"] for x in (setup.get("normalizer") or {}).get("normalizers", [])]
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") and sys.byteorder == "little"
+        self.pattern = regex.compile(split["pattern"]["Regex"]) if self.plain else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _word(self, word: str) -> bytes:
         t = self.tokenizer
         if any(s in word for s in self.special):
             return np.array(t.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.plain and word.isprintable() and (word.isascii() or max(word) <= "\xff"):
+            # What the tokenizer's own steps do to Latin-1: no composition, lower case, its pattern, bytes as characters.
+            found = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES) for x in self.pattern.findall(word.lower())]
+        else:
+            found = [x for x, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))]
         out = []
-        for piece, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word)):
+        for piece in found:
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.pieces[piece] = np.array([x.id for x in t.model.tokenize(piece)], "<u4").tobytes()
+                ids = self.pieces[piece] = array("I", [x.id for x in t.model.tokenize(piece)]).tobytes()
             out.append(ids)
         return b"".join(out)
 
