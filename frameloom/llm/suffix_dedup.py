@@ -1,12 +1,16 @@
 """Passages that repeat across documents, by a sparse suffix array.
 
 Suffixes are kept only at minimiser positions: the smallest hash of ``gram`` words in each run of such hashes that a
-passage of ``least`` words must contain. Equal passages of that length keep equal positions. The suffixes kept whose
-first words occur in more than one document are sorted over the whole corpus (range partitioned, so no group has to fit
-in one task); neighbours in that order are compared, to the right along the suffix and to the left before it. Where both
-together reach ``least`` words, both documents hold a repeated passage. Spans of a document are then merged.
+passage of ``least`` words must contain. Equal passages of that length keep equal positions. Of the suffixes kept, those
+whose first words occur in more than one document take part, in one of two ways:
 
-The same suffixes are also sorted by what precedes them, so the nearest neighbours on either side are met.
+* Where at most NEAR + 1 suffixes begin alike, all of their pairs are compared, to the right along the suffix and to the
+  left before it. Where both together reach ``least`` words, both documents hold a repeated passage.
+* Where more begin alike, pairs would grow with the square. There each run of ``least`` words is known by its 64-bit hash
+  and belongs to the one suffix that is its minimiser. Suffixes with the same runs are counted as one; a run that two
+  documents hold is a repeated passage. No partner is left out, however many there are.
+
+Spans of a document are then merged.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from .common import BITS, bitmap_of, written  # noqa: F401
 
 LEAST = 50
 GRAM = 10
-#: Neighbours compared on each side.
+#: Groups of up to NEAR + 1 suffixes are compared pair by pair, larger ones by the hashes of their runs.
 NEAR = 4
+#: Runs of one row at most; they are numbered by the bits of a bigint.
+PART = 60
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -44,8 +50,8 @@ def gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
     return out * _M2
 
 
-def minimisers(g: np.ndarray, run: int) -> np.ndarray:
-    """Positions of the smallest hash in every ``run`` neighbours (the first of equals); none if there are fewer."""
+def _owners(g: np.ndarray, run: int) -> np.ndarray:
+    """For every ``run`` neighbours the position of the smallest hash (the first of equals); none if there are fewer."""
     n = len(g)
     if n < run:
         return np.empty(0, np.int64)
@@ -58,31 +64,36 @@ def minimisers(g: np.ndarray, run: int) -> np.ndarray:
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     first = np.arange(n - run + 1)
     least = np.minimum(behind[: n - run + 1], ahead[run - 1 : n])
-    at = first + ((least & _LOW).astype(np.int64) - first) % (1 << 20)
-    return np.unique(at)
+    return first + ((least & _LOW).astype(np.int64) - first) % (1 << 20)
+
+
+def minimisers(g: np.ndarray, run: int) -> np.ndarray:
+    """Positions of the smallest hash in every ``run`` neighbours."""
+    return np.unique(_owners(g, run))
 
 
-def _anchors(text: str | None, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(text: str | None, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words; hash and place of each minimiser; the first of the runs that it owns, and their number."""
     h = word_hashes(text)
     g = gram_hashes(h, gram)
-    at = minimisers(g, least - gram + 1)
-    return h, g[at].view(np.int64) if len(at) else np.empty(0, np.int64), at
+    at, first, runs = np.unique(_owners(g, least - gram + 1), return_index=True, return_counts=True)
+    return h, g[at].view(np.int64) if len(at) else np.empty(0, np.int64), at, first, runs
 
 
 def repeated_grams(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """g: hashes at minimiser positions that occur in more than one document."""
+    """g: hashes at minimiser positions that occur in more than one document; n: how many suffixes begin so."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, grams = [], []
+            rows, grams, times = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                g = np.unique(_anchors(text, least, gram)[1])
-                rows.append(np.full(len(g), i)), grams.append(g)
-            row, g = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, grams))
-            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column("doc_id").take(pa.array(row))], ["g", "doc_id"])
+                g, n = np.unique(_anchors(text, least, gram)[1], return_counts=True)
+                rows.append(np.full(len(g), i)), grams.append(g), times.append(n)
+            row, g, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, grams, times))
+            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column("doc_id").take(pa.array(row)), pa.array(n)], ["g", "doc_id", "n"])
 
-    rows = docs.mapInArrow(anchors, "g bigint, doc_id bigint")
-    return rows.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("g")
+    rows = docs.mapInArrow(anchors, "g bigint, doc_id bigint, n bigint")
+    return rows.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n")).where("a < b").select("g", "n")
 
 
 def _bits(grams: DataFrame) -> np.ndarray:
@@ -94,35 +105,49 @@ def _bits(grams: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
-def suffixes(docs: DataFrame, bits: np.ndarray, least: int, gram: int) -> DataFrame:
-    """g, doc_id, at (word), words (of the document), ahead and back (two bytes for each of the next, previous words)."""
-    told = docs.sparkSession.sparkContext.broadcast(bits)
+_ROW = "g bigint, doc_id bigint, at bigint, words bigint, ahead binary, back binary, runs array<bigint>"
+
+
+def suffixes(docs: DataFrame, bits: np.ndarray, many: np.ndarray, least: int, gram: int) -> DataFrame:
+    """g, doc_id, at (word), words (of the document), ahead and back (two bytes for each of the next, previous words).
+    Suffixes whose g is in ``many`` have, in place of ahead and back, at as the first of the runs they own, and the
+    hashes of these runs of ``least`` words."""
+    told = docs.sparkSession.sparkContext.broadcast((bits, many))
     far = least - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(told.value).astype(bool)
+        known, crowd = (np.unpackbits(x).astype(bool) for x in told.value)
         for batch in batches:
-            rows, grams, ats, sizes, aheads, backs = [], [], [], [], [], []
+            rows, grams, ats, sizes, aheads, backs, runs = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                h, g, at = _anchors(text, least, gram)
+                h, g, at, first, owned = _anchors(text, least, gram)
                 hit = known[g % BITS] if len(g) else np.empty(0, bool)
-                g, at = g[hit], at[hit]
+                g, at, first, owned = g[hit], at[hit], first[hit], owned[hit]
                 if not len(at):
                     continue
-                short = np.concatenate([h & np.uint64(0xFFFF), np.zeros(1, np.uint64)]).astype(">u2")
                 n = len(h)
-                right = at[:, None] + gram + np.arange(far)
-                left = at[:, None] - 1 - np.arange(least)
-                aheads += [x.tobytes() for x in short[np.minimum(right, n)]]
-                backs += [x.tobytes() for x in short[np.where(left < 0, n, left)]]
-                rows.append(np.full(len(at), i)), grams.append(g), ats.append(at), sizes.append(np.full(len(at), n))
+                large = crowd[g % BITS]
+                if large.any():
+                    whole = gram_hashes(h, least).view(np.int64)
+                    cuts = [(x, y, min(y + PART, x + m)) for x, m in zip(first[large].tolist(), owned[large].tolist()) for y in range(x, x + m, PART)]
+                    runs += [whole[y:z] for _, y, z in cuts]
+                    k = len(cuts)
+                    aheads += [None] * k
+                    backs += [None] * k
+                    rows.append(np.full(k, i)), grams.append(np.repeat(g[large], -(-owned[large] // PART))), ats.append(np.array([y for _, y, _ in cuts])), sizes.append(np.full(k, n))
+                g, at = g[~large], at[~large]
+                if len(at):
+                    short = np.concatenate([h & np.uint64(0xFFFF), np.zeros(1, np.uint64)]).astype(">u2")
+                    right = at[:, None] + gram + np.arange(far)
+                    left = at[:, None] - 1 - np.arange(least)
+                    aheads += [x.tobytes() for x in short[np.minimum(right, n)]]
+                    backs += [x.tobytes() for x in short[np.where(left < 0, n, left)]]
+                    runs += [None] * len(at)
+                    rows.append(np.full(len(at), i)), grams.append(g), ats.append(at), sizes.append(np.full(len(at), n))
             row, g, at, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, grams, ats, sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column("doc_id").take(pa.array(row)), pa.array(at), pa.array(n), pa.array(aheads, pa.binary()), pa.array(backs, pa.binary())], ["g", "doc_id", "at", "words", "ahead", "back"])
-
-    return docs.mapInArrow(cut, "g bigint, doc_id bigint, at bigint, words bigint, ahead binary, back binary")
+            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column("doc_id").take(pa.array(row)), pa.array(at), pa.array(n), pa.array(aheads, pa.binary()), pa.array(backs, pa.binary()), pa.array(runs, pa.list_(pa.int64()))], ["g", "doc_id", "at", "words", "ahead", "back", "runs"])
 
-
-_ROW = "g bigint, doc_id bigint, at bigint, words bigint, ahead binary, back binary"
+    return docs.mapInArrow(cut, _ROW)
 
 
 def _matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,48 +178,41 @@ def _neighbours(t: pa.Table, least: int, gram: int) -> pa.Table:
     return pa.table(dict(zip(("doc_id", "start", "stop", "twin"), columns)))
 
 
-def _spans(rows: DataFrame, by: str, least: int, gram: int) -> DataFrame:
-    """Spans found among neighbours in the order of g, ``by``. The ends of each partition meet those of the next."""
-    none = pa.array([None], pa.int64())
+def _paired(rows: DataFrame, least: int, gram: int) -> DataFrame:
+    """Spans found among all pairs of rows that share g, of which there are at most NEAR + 1."""
 
-    def compare(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
-        held, part = None, None
-        head: pa.Table | None = None
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if not t.num_rows:
                 continue
-            part = t.column("part")[0].as_py()
-            t = t.drop_columns(["part"]).combine_chunks()
             whole = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
             found = _neighbours(whole, least, gram).group_by(["doc_id", "start", "stop"]).aggregate([("twin", "min")]).rename_columns(["doc_id", "start", "stop", "twin"])
-            if found.num_rows:
-                yield from _wide(found, None, None)
-            if edges and (head is None or head.num_rows < NEAR):
-                head = whole.slice(0, NEAR) if head is None else pa.concat_tables([head, t]).slice(0, NEAR)
+            yield from found.combine_chunks().to_batches()
             held = whole.slice(max(0, whole.num_rows - NEAR))
-        if edges and held is not None:
-            yield from _wide(None, head, part)
-            yield from _wide(None, held, part + 1)
-
-    def _wide(found: pa.Table | None, edge: pa.Table | None, part: int | None) -> Iterator[pa.RecordBatch]:
-        n = (found if found is not None else edge).num_rows
-        empty = lambda kind: pa.nulls(n, kind)
-        cols = [found.column(c).combine_chunks() if found is not None else empty(pa.int64()) for c in ("doc_id", "start", "stop", "twin")]
-        kinds = {"g": pa.int64(), "doc_id": pa.int64(), "at": pa.int64(), "words": pa.int64(), "ahead": pa.binary(), "back": pa.binary()}
-        cols += [pa.chunked_array(edge.column(c).chunks, kind).combine_chunks() if edge is not None else empty(kind) for c, kind in kinds.items()]
-        cols.append(pa.array([part] * n, pa.int64()))
-        cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in cols]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "stop", "twin", "e_g", "e_doc_id", "e_at", "e_words", "e_ahead", "e_back", "part"])
-
-    schema = "doc_id bigint, start bigint, stop bigint, twin bigint, e_g bigint, e_doc_id bigint, e_at bigint, e_words bigint, e_ahead binary, e_back binary, part bigint"
-    keys = ["g", by, "doc_id", "at"]
-    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id().cast("bigint"))
-    first = written(ordered.mapInArrow(lambda b: compare(b, True), schema), "spans")
-    edge = first.where("e_g is not null").select(*[F.col(f"e_{c}").alias(c) for c in ("g", "doc_id", "at", "words", "ahead", "back")], "part")
-    # Ends of a partition and of the next share the number of the latter: a few rows each. AQE may join small partitions; numbers only need to be in order.
-    second = edge.groupBy("part").applyInArrow(lambda t: _neighbours(t.drop_columns(["part"]).sort_by([(k, "ascending") for k in keys]).combine_chunks(), least, gram), "doc_id bigint, start bigint, stop bigint, twin bigint")
-    return first.where("doc_id is not null").select("doc_id", "start", "stop", "twin").unionByName(second)
+
+    ordered = rows.repartition("g").sortWithinPartitions("g", "doc_id", "at")
+    return ordered.mapInArrow(compare, "doc_id bigint, start bigint, stop bigint, twin bigint")
+
+
+def _crowded(rows: DataFrame, least: int) -> DataFrame:
+    """Spans of the runs that more than one document holds. rows: doc_id, at (of the first run), runs (hashes).
+    Rows with the same runs form a kind; where one document alone has the kind, its runs are looked up one by one."""
+    rows = rows.select("doc_id", "at", "runs", F.xxhash64("runs").alias("kind"))
+    kinds = written(rows.groupBy("kind", "runs").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), "kinds")
+    each = kinds.select("kind", "a", "b", F.posexplode("runs").alias("i", "run"))
+    shared = each.groupBy("run").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b")
+    alone = each.where("a = b").select("kind", "run", "i").join(shared, "run")
+    bit = F.expr("shiftleft(cast(1 as bigint), i)")
+    alone = alone.groupBy("kind").agg(F.bit_or(bit).alias("bits"), F.min("a").alias("a"), F.max("b").alias("b"))
+    full = kinds.where("a < b").select("kind", F.expr("shiftleft(cast(1 as bigint), size(runs)) - 1").alias("bits"), "a", "b")
+    first = F.expr("filter(sequence(0, 62), i -> (shiftright(bits, i) & 1) = 1 and (i = 0 or (shiftright(bits, i - 1) & 1) = 0))")
+    last = F.expr("filter(sequence(0, 62), i -> (shiftright(bits, i) & 1) = 1 and (shiftright(bits, i + 1) & 1) = 0)")
+    parts = written(alone.unionByName(full).select("kind", "a", "b", F.arrays_zip(first.alias("lo"), last.alias("hi")).alias("parts")), "parts")
+    found = rows.select("doc_id", "at", "kind").join(parts, "kind").select("doc_id", "at", "a", "b", F.inline("parts"))
+    twin = F.when(F.col("a") != F.col("doc_id"), F.col("a")).otherwise(F.col("b"))
+    return found.select("doc_id", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi") + least).alias("stop"), twin.alias("twin"))
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -208,17 +226,20 @@ def merged(spans: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, twin_id for each passage of at least ``least`` words that
-    another document holds too; twin_id is the smallest doc_id found to share a part of it.
+    another document holds too; twin_id is another document that shares a part of it, the smallest such doc_id that was
+    met (where more than NEAR + 1 suffixes begin alike, a document that is itself the smallest gets the largest).
 
     Words are runs without ASCII white space, A-Z lower-cased. Null and short texts have no passages; rows with a null
     doc_id take no part; rows that repeat a doc_id count as one document. Repeats within one document alone don't count.
-    Ends of a passage are found by 16-bit word hashes: an end is a word late with chance 1/65536. Empty tables give
+    Ends of a passage are found by 16-bit word hashes (an end is a word late with chance 1/65536) or, in large groups, by
+    64-bit hashes of whole runs. Empty tables give
     empty results; extra columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null")
-    bits = _bits(written(repeated_grams(rows, least, gram), "grams"))
-    kept = written(suffixes(rows, bits, least, gram), "suffixes")
-    spans = _spans(kept, "ahead", least, gram).unionByName(_spans(kept, "back", least, gram)).groupBy("doc_id", "start", "stop").agg(F.min("twin").alias("twin"))
+    grams = written(repeated_grams(rows, least, gram), "grams")
+    kept = written(suffixes(rows, _bits(grams), _bits(grams.where(F.col("n") > NEAR + 1)), least, gram), "suffixes")
+    few, many = kept.where("runs is null").drop("runs"), kept.where("runs is not null")
+    spans = _paired(few, least, gram).unionByName(_crowded(many, least)).groupBy("doc_id", "start", "stop").agg(F.min("twin").alias("twin"))
     return merged(spans).select("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("end_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("twin").alias("twin_id"))
 
 

@@ -64,3 +64,32 @@ def test_odd_rows(odd):
 
 def test_empty(empty):
     assert s.repeats(empty).count() == 0
+
+
+def marks(spark, rows):
+    got = {d: np.zeros(len(t.split()), bool) for d, t in rows}
+    for r in s.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        assert r.n_words == r.end_word - r.start_word >= 50 and r.twin_id != r.doc_id
+        got[r.doc_id][r.start_word : r.end_word] = True
+    return got
+
+
+def test_hundreds_of_repeats_in_one_document(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 55)
+    often = lambda n: (prose(rng, 45) + " " + passage + " ") * n
+    rows = [(1, often(300)), (2, often(200)), (3, prose(rng, 80)), (4, prose(rng, 20) + " " + passage)]
+    got, want = marks(spark, rows), covered(rows, 50)
+    assert all((got[d] == want[d]).all() for d in want) and want[1].sum() >= 300 * 55
+
+
+def test_frequent_middle_with_both_sides_shared(spark):
+    """A line of 40 words between every left and every right side; a few documents have one partner that shares both."""
+    rng = random.Random(9)
+    line = prose(rng, 40)
+    lefts, rights = [[prose(rng, 6) for _ in range(30)] for _ in range(2)]
+    cells = [(i, j) for i in range(30) for j in range(30)] + [(i, 29 - i) for i in range(10)]
+    rows = [(d, f"{prose(rng, 30)} {lefts[i]} {line} {rights[j]} {prose(rng, 30)}") for d, (i, j) in enumerate(cells)]
+    got, want = marks(spark, rows), covered(rows, 50)
+    assert all((got[d] == want[d]).all() for d in want)
+    assert sum(w.any() for w in want.values()) >= 20
