@@ -42,7 +42,8 @@ IDENTITY: tuple[tuple[str, ...], ...] = (
 
 @dataclass(frozen=True)
 class Fit:
-    """per_class bounds the sample: at most so many labelled rows of each class, by a hash of doc_id."""
+    """per_class bounds the sample: at most so many labelled rows of each class, by a hash of doc_id,
+    weighted back to the class's true number."""
 
     per_class: int = 4000
     penalty: float = 10.0
@@ -84,10 +85,14 @@ def swaps(words: set[str], identity: tuple[tuple[str, ...], ...]) -> list[set[st
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, how: Fit) -> pa.Table:
-    """toxic, features of the text, features of its counterfactuals, for a bounded hash sample of labelled rows.
+    """toxic, features of the text, features of its counterfactuals and weight, for a bounded hash sample of labelled
+    rows. The weight is the number of labelled rows of the class over those sampled, so that the sample stands for the
+    true ratio of the classes.
     labels: doc_id, toxic. A doc_id with several labels counts as toxic if one says so; null labels are left out."""
     truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     pick = lambda c: truth.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(how.per_class)
+    totals = {r["toxic"]: r["n"] for r in truth.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).where("toxic in (0, 1)").collect()}
+    weight = {c: max(1.0, n / how.per_class) for c, n in totals.items()}
     sample = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * per_class rows
     rows = docs.select("doc_id", F.col("text").cast("string")).join(sample, "doc_id").select("toxic", "text")
 
@@ -101,7 +106,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, how: Fit) -> pa.Table:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))], ["toxic", "own", "other"])
 
     small_batches(docs.sparkSession)
-    return rows.mapInArrow(extract, "toxic int, own array<int>, other array<array<int>>").toArrow()
+    found = rows.mapInArrow(extract, "toxic int, own array<int>, other array<array<int>>").toArrow()
+    return found.append_column("weight", pa.array([weight[c] for c in found["toxic"].to_pylist()], pa.float64()))
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +118,14 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(sample: pa.Table, how: Fit = Fit()) -> Model:
-    """The classifier. Without rows of both classes it scores everything by the share of toxic rows."""
+    """The classifier, fitted to the weighted rows. Without rows of both classes it scores everything by the share of
+    toxic rows."""
     y = sample["toxic"].to_numpy().astype(float)
     n, n1 = len(y), y.sum()
+    weight = sample["weight"].to_numpy()
+    whole, toxic = weight.sum(), (weight * y).sum()
     if not n or n1 in (0, n):
-        share = (n1 + 0.5) / (n + 1) if n else 0.01
+        share = (toxic + 0.5) / (whole + 1) if n else 0.01
         return Model({}, float(np.log(share / (1 - share))))
     value, row = _flat(sample["own"])
     every = np.bincount(value, minlength=TABLE)
@@ -143,15 +152,16 @@ def fit(sample: pa.Table, how: Fit = Fit()) -> Model:
                         df.append(place[x]), dr.append(pairs), ds.append(sign)
             pairs += 1
     df, dr, ds = np.array(df, int), np.array(dr, int), np.array(ds, float)
-    w, bias = np.zeros(len(used)), np.log(n1 / (n - n1))
+    w, bias = np.zeros(len(used)), np.log(toxic / (whole - toxic))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, how.steps + 1):
         s = 1 / (1 + np.exp(-np.clip(np.bincount(r, weights=w[f], minlength=n) + bias, -40, 40)))
-        g = np.bincount(f, weights=(s - y)[r], minlength=len(w)) / n + how.ridge * w
+        miss = weight * (s - y)
+        g = np.bincount(f, weights=miss[r], minlength=len(w)) / whole + how.ridge * w
         if pairs:
             change = np.bincount(dr, weights=w[df] * ds, minlength=pairs)
             g += 2 * how.penalty / pairs * np.bincount(df, weights=change[dr] * ds, minlength=len(w))
-        gb = (s - y).mean()
+        gb = miss.sum() / whole
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.1 / (1 + step / 100)
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)

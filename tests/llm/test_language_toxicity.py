@@ -64,6 +64,14 @@ def test_penalty_spares_neutral_mentions(spark):
     assert gap[1] < 0.2 * gap[0]
 
 
+def test_bounded_sample_scores_like_the_full_fit(spark):
+    docs, labels = labelled(spark, 3000)
+    full, cut = (toxicity.train(docs, labels, toxicity.Fit(per_class=n)) for n in (3000, 300))
+    for text in ("a plain walk", "you idiot there", "abcd efgh"):
+        a, b = (m.score(toxicity.features(toxicity.words_of(text))) for m in (full, cut))
+        assert abs(np.log(a / (1 - a)) - np.log(b / (1 - b))) < 0.5 or min(a, b) > 0.95
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
