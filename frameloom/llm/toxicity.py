@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ class Fit:
     """per_class bounds the sample: at most so many labelled rows of each class, by a hash of doc_id,
     weighted back to the class's true number."""
 
-    per_class: int = 4000
+    per_class: int = 6000
     penalty: float = 10.0
     least_z: float = 4.0
     ridge: float = 1e-3
@@ -142,7 +143,8 @@ def fit(sample: pa.Table, how: Fit = Fit()) -> Model:
     # Counterfactual pairs: the features that a swap adds or takes away.
     df, dr, ds = [], [], []
     pairs = 0
-    for own, others in zip(sample["own"].to_pylist(), sample["other"].to_pylist()) if sum(len(x) for x in sample["other"].to_pylist()) else ():
+    paired = sample.filter(pc.greater(pc.list_value_length(sample["other"]), 0))
+    for own, others in zip(texts_of(paired["own"]), texts_of(paired["other"])):  # a row at a time
         a = set(own)
         for other in others:
             b = set(other)

@@ -94,3 +94,9 @@ def test_swaps_cover_the_kind():
     found = toxicity.swaps({"the", "muslim", "said"}, toxicity.IDENTITY)
     assert {"the", "christian", "said"} in found and len(found) == 5
     assert toxicity.swaps({"nothing"}, toxicity.IDENTITY) == []
+
+
+def test_six_thousand_of_a_class_are_learned_from(spark):
+    rows = spark.range(8000).selectExpr("id as doc_id", "concat('w', id % 97) as text", "cast(id % 40 = 0 as int) as toxic")
+    sample = toxicity.labelled_sample(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), toxicity.Fit())
+    assert sample.num_rows == 6200 and abs(sum(sample["weight"].to_pylist()) - 8000) < 1e-6
