@@ -202,7 +202,7 @@ def host_of(url: Column) -> Column:
 
 
 def occurrence(pages: DataFrame) -> DataFrame:
-    """host, token, pages (of the host), support, total, vector (sum of hashes of page and count), place (mean)."""
+    """host, token, pages (of the host, copies counted once), support, total, vector (sum of hashes of page and count), place (mean)."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +214,9 @@ def occurrence(pages: DataFrame) -> DataFrame:
             row, token, n, sign, at = zip(*out) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(row, pa.int64())), pa.array(token, pa.int64()), pa.array(n, pa.int64()), pa.array(sign, pa.int64()), pa.array(at, pa.float64())], ["host", "token", "n", "sign", "at"])
 
-    rows = pages.select("host", "_page", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select("host", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    # Copies count once: what a host's copies share is their text, not a template.
+    rows = rows.withColumn("_page", F.xxhash64("html")).groupBy("host", "_page").agg(F.first("html").alias("html"))
     rows = rows.mapInArrow(tokens, "host string, token bigint, n bigint, sign bigint, at double")
     return rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("total"), F.sum(F.col("sign").cast("decimal(38,0)")).alias("vector"), F.sum("at").alias("at"))
 
@@ -238,8 +240,6 @@ def main_text(page: str | None, outer: list[int] | None, template: set[int] | No
         return ""
     tags, runs = parse(page)
     kept = runs
-    if template:
-        kept = [r for r in runs if _hash("text", r.path, r.text) not in template]
     if outer:
         order = {t: i for i, t in enumerate(outer)}
         stops = [(at, order[t]) for path, at in tags if (t := _hash("tag", path)) in order]
@@ -248,6 +248,9 @@ def main_text(page: str | None, outer: list[int] | None, template: set[int] | No
             kept = [r for r in kept if r.at > stops[0][0]]
     kept = [r for r in kept if not r.skip]
     inside = [r for r in kept if r.article] or [r for r in kept if r.main] or [r for r in kept if not r.linked]
+    if template:
+        # Wording that would leave nothing is the page's own text: near copies of one page share it, too.
+        inside = [r for r in inside if _hash("text", r.path, r.text) not in template] or inside
     return "\n".join(r.text for r in inside)
 
 
@@ -256,7 +259,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
 
     Null or empty html gives an empty text; a null or odd url counts as the nameless host. Character references are
     decoded; white space within a block becomes one space; a line break element is white space. Repeated rows give
-    repeated results. Extra columns are ignored. Empty tables give empty results.
+    repeated results; pages of a host with the same html count once towards its template. Extra columns are ignored. Empty tables give empty results.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     own = rows.withColumn("host", host_of(F.col("url"))).withColumn("_page", F.xxhash64("page_id", "url"))

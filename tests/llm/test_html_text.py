@@ -55,3 +55,12 @@ def test_blocks(page, text):
 
 def test_empty(spark):
     assert h.extract(pages(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 1000])
+def test_copies_of_a_page_keep_their_text(spark, n):
+    want = TEXT.format(n=1) + "\nShared words here"
+    rows = [(i % max(n // 2, 1), f"http://a.example/{i % 3}", PAGE.format(n=1), None) for i in range(n)]
+    rows += [(i, f"http://b.example/{i}", PAGE.format(n=1).replace("Side", f"Side {i}"), None) for i in range(n)]
+    got = h.extract(pages(spark, rows)).collect()
+    assert len(got) == 2 * n and {r.text for r in got} == {want}
