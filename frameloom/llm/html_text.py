@@ -4,12 +4,14 @@
    path and wording. For each token of a host, the vector of its counts over the host's pages is kept as a sum of
    hashes of (page, count), next to the number of pages and the sum of counts: equal vectors have equal sums.
 2. Tokens with equal vectors form an equivalence class. A class is large and frequent if it occurs on nearly all pages
-   of a host that has enough pages. Classes are valid if their tokens keep one order; the class that occurs once a page
-   is the outer template, and classes with higher counts nest within its slots. Text runs in such classes (wording that all
-   pages share) are part of the template, not of its slots.
-3. A page's slots are what lies between the outer template's tokens. Slots below menus, headers, footers, asides, adverts,
-   notices, forms, comments or the page head are no article; of the rest, those inside the article element (else the
-   main element, else all but blocks that are nothing but links) give the text. Template wording is left out, the remaining blocks are joined by a line feed.
+   of a host that has enough pages. Text runs in such classes (wording that all pages share) are part of the template.
+   The class that occurs once a page only bounds the text: what precedes its first token is left out. Classes aren't
+   checked for one order on all pages, nor nested, and slots aren't read off them.
+3. Element, class and id names decide what is article. Blocks below menus, headers, footers, asides, adverts, notices,
+   forms, comments or the page head are none; inside an article element only adverts, share bars and readers' comments
+   are left out. Of the rest, those inside the main element if it encloses an article (else the article element, else the
+   main element, else all but blocks that are nothing but links) give the text, without template wording, joined by a
+   line feed. Names decide since a slot that varies by page may as well be an advert or a list of teasers as the article.
 
 On hosts with too few pages there is no template to deduce; there the page's own elements decide alone.
 """
@@ -50,6 +52,12 @@ _NEVER = {"head", "script", "style", "noscript", "template", "iframe", "object",
 _SIGNS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|sponsor|sponsored|promo|promoted|sidebar|side-bar|rail|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|site-header|masthead|topbar|header|notice|notices|cookie|cookies|consent|gdpr|popup|modal|overlay|alert|newsletter|subscribe|signup|login|search|searchbox|comment|comments|commentlist|reply|replies|respond|disqus|discussion|related|recommended|share|sharing|social|pagination|pager|toolbar|widget|widgets|skip-link)(?:$|[\s_-])", re.I)
 #: Signs that also hold for an article element or inside one, where a header is the article's own.
 _READERS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|sponsor|sponsored|promo|promoted|comment|comments|commentlist|reply|replies|respond|related|recommended)(?:$|[\s_-])", re.I)
+#: In an article these class names mark containers that are no text of its own; ids only where they name comments.
+_INSIDE = re.compile(_READERS.pattern.replace("|related|recommended)", "|related|recommended|disqus|share|sharing|social)"), re.I)
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|disqus)(?:$|[\s_-])", re.I)
+#: Elements that hold an article's own words; their names are no sign.
+_OWN = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
+_OWN_HEADER = re.compile(r"(?:^|(?<=\s))(?:post|entry|article|page|content)[-_]header(?=\s|$)", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -81,12 +89,20 @@ class Run:
 def _made(name: str, attrs: str, parent: Node, block: int) -> Node:
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
     mark = f"{found.get('class', '')} {found.get('id', '')}".strip()
-    skip = parent.skip or name in _NEVER or (name == "header" and not parent.article)
+    skip = parent.skip or name in _NEVER or (name == "header" and not (parent.article or parent.main))
     if not skip and name in ("article", "main"):
         skip = bool(_READERS.search(mark))
     elif not skip and name not in ("html", "body"):
-        named = _HEADER.sub(" ", mark) if parent.article else mark
-        skip = bool(named and _SIGNS.search(named)) or found.get("role") in _ROLES or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs)) or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
+        kind, ident = found.get("class", ""), found.get("id", "")
+        if name in _OWN and (parent.article or parent.main):
+            named = False
+        elif parent.article:
+            named = _INSIDE.search(_HEADER.sub(" ", kind)) or _COMMENTS.search(ident)
+        elif parent.main and name == "section":
+            named = _SIGNS.search(_OWN_HEADER.sub(" ", kind)) or _COMMENTS.search(ident)
+        else:
+            named = _SIGNS.search(_HEADER.sub(" ", mark) if name in _OWN else _OWN_HEADER.sub(" ", mark))
+        skip = bool(named) or found.get("role") in _ROLES or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs)) or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
     article = parent.article or name == "article" or "articleBody" in found.get("itemprop", "")
     main = parent.main or name == "main" or found.get("role") == "main"
     label = name + ("." + ".".join(sorted(mark.split())) if mark and name not in _INLINE else "")
@@ -247,7 +263,9 @@ def main_text(page: str | None, outer: list[int] | None, template: set[int] | No
             # Valid here: slots are bounded by the class's tokens, and what precedes the first lies outside the template.
             kept = [r for r in kept if r.at > stops[0][0]]
     kept = [r for r in kept if not r.skip]
-    inside = [r for r in kept if r.article] or [r for r in kept if r.main] or [r for r in kept if not r.linked]
+    # A main element that encloses the article is the root: a title or lead beside the article belongs to it.
+    inside = [r for r in kept if r.main] if any(r.article and r.main for r in kept) else [r for r in kept if r.article]
+    inside = inside or [r for r in kept if r.main] or [r for r in kept if not r.linked]
     if template:
         # Wording that would leave nothing is the page's own text: near copies of one page share it, too.
         inside = [r for r in inside if _hash("text", r.path, r.text) not in template] or inside

@@ -64,3 +64,13 @@ def test_copies_of_a_page_keep_their_text(spark, n):
     rows += [(i, f"http://b.example/{i}", PAGE.format(n=1).replace("Side", f"Side {i}"), None) for i in range(n)]
     got = h.extract(pages(spark, rows)).collect()
     assert len(got) == 2 * n and {r.text for r in got} == {want}
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><section id="discussion"><p>a</p></section><h2 id="related">b</h2><div class="notice">c</div><p class="alert">d</p><div id="search">e</div><div class="modal rail">f</div></article>', "a\nb\nc\nd\ne\nf"),
+    ('<div><h1 class="header">t</h1><div class="post-header"><p>l</p></div><div class="site-header">s</div></div>', "t\nl"),
+    ('<main><h1>t</h1><article><p>a</p></article><p>b</p></main>', "t\na\nb"),
+    ('<article><p>a</p><div class="comments">c</div><section id="comments">d</section><div class="ad">e</div></article>', "a"),
+])
+def test_an_articles_own_sections_stay(page, text):
+    assert h.main_text(page, None, None) == text
