@@ -10,6 +10,8 @@ their places by their rank among pieces of the same length.
 from __future__ import annotations
 
 import json
+import os
+import re
 import sys
 import zlib
 from array import array
@@ -18,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from .common import small_batches, texts_of, written
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers in each of two generations; when the younger is full it becomes the older.
+#: Pieces whose ids a worker remembers in each of two generations; when the younger is full it becomes the older.
 CACHE_WORDS = 150_000
 
 
@@ -34,61 +35,75 @@ CACHE_WORDS = 150_000
 #: follow from U+0100 on in their order.
 _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+#: The pattern by which the vocabulary's tokenizer cuts text, and what it comes to in lower-cased Latin-1.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\x09-\x0d\x20\x85\xa0"
+_LATIN = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+
+
+class _Memory(dict):
+    """Ids of words or pieces, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.make(word)
+        return found
 
 
 class WordIds:
-    """Token ids of a text as little-endian 32-bit bytes, word by word, with a memory for words seen before.
+    """Token ids of a text as little-endian 32-bit bytes, with a memory for pieces seen before.
 
-    Equal to encoding the whole text: the tokenizer drops white space, and none of its steps looks across it. Only the
-    space and the line feed cut words here; other white space stays inside a "word" and is left to the tokenizer.
+    Equal to encoding the whole text. A Latin-1 text is lower-cased and cut as the tokenizer does it: there are no
+    characters to compose. Any other text is cut at spaces and line feeds, since no step of the tokenizer looks across
+    white space, and its words go through the tokenizer's own steps.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         setup = json.loads(self.tokenizer.to_str())
         split = (setup.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         kinds = [x["type"] for x in (setup.get("normalizer") or {}).get("normalizers", [])]
-        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") and sys.byteorder == "little"
-        self.pattern = regex.compile(split["pattern"]["Regex"]) if self.plain else None
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _PATTERN} and split.get("invert") and sys.byteorder == "little"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.sign = os.path.commonprefix(self.special)  # what each special token begins with
+        self.pieces, self.older = _Memory(self._piece), {}
+        self.words = _Memory(self._word)
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTES)
+            found = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        return found
 
     def _word(self, word: str) -> bytes:
         t = self.tokenizer
-        if any(s in word for s in self.special):
+        if self.sign in word and any(s in word for s in self.special):
             return np.array(t.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.plain and word.isprintable() and (word.isascii() or max(word) <= "\xff"):
-            # What the tokenizer's own steps do to Latin-1: no composition, lower case, its pattern, bytes as characters.
-            found = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES) for x in self.pattern.findall(word.lower())]
-        else:
-            found = [x for x, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))]
-        out = []
-        for piece in found:
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = array("I", [x.id for x in t.model.tokenize(piece)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        found = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))
+        return b"".join(array("I", [y.id for y in self.model.tokenize(x)]).tobytes() for x, _ in found)
 
-    def __call__(self, text: str) -> bytes:
-        words, known = text.replace("\n", " ").split(" "), self.words
+    def _is_latin(self, text: str) -> bool:
         try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                self.older, self.words = known, {}
-                known = self.words
-            if len(self.pieces) > CACHE_WORDS:
-                self.pieces.clear()
-            for w in words:
-                if w not in known:
-                    found = self.older.get(w)
-                    known[w] = self._word(w) if found is None else found
-            return b"".join([known[w] for w in words])
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return self.plain and self.sign not in text
+
+    def __call__(self, text: str) -> bytes:
+        if len(self.pieces) > CACHE_WORDS:
+            self.older, self.pieces = self.pieces, _Memory(self._piece)
+        if len(self.words) > CACHE_WORDS // 4:
+            self.words.clear()
+        if not self._is_latin(text):
+            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.pieces.__getitem__, _LATIN.findall(text.lower())))
 
 
 _IDS: dict[str, WordIds] = {}

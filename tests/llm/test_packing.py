@@ -82,3 +82,20 @@ def test_segment_tree():
 
 def test_empty(empty):
     assert p.pack(empty).count() == 0
+
+
+def test_latin_texts_equal_the_tokenizer(tokenizer):
+    """Every Latin-1 character, controls and contractions included, in random order."""
+    rng = random.Random(4)
+    encode = p.WordIds(p.default_tokenizer())
+    assert encode.plain
+    for _ in range(3000):
+        text = "".join(rng.choices([chr(i) for i in range(256)] + list("'''sstrevmlldaA  \n") * 6, k=rng.randint(0, 30)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_memory_turns_over(tokenizer, monkeypatch):
+    monkeypatch.setattr(p, "CACHE_WORDS", 5)
+    encode = p.WordIds(p.default_tokenizer())
+    for text in ("one two three four five six", "one seven eight", "日本 語 テ ス ト", "nine one 日本"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
