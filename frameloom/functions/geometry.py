@@ -90,4 +90,7 @@ def with_delta_actions(frames: DataFrame, episode: str = "episode_id", order: st
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def relative_rotation(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series(list(relative(np.stack(before.to_numpy()), np.stack(after.to_numpy()))) if len(before) else [])
+    """relative() of columns; null where either is null."""
+    known = (before.notna() & after.notna()).to_numpy()
+    made = iter(relative(np.stack(before[known].to_numpy()), np.stack(after[known].to_numpy())) if known.any() else ())
+    return pd.Series([next(made) if k else None for k in known], dtype=object)

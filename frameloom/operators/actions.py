@@ -41,14 +41,42 @@ def vector_delta(v: Column) -> Column:
 
 
 # The action modes.
-MODES = ("raw", "joint", "joint_delta", "ee_delta")
-
-
-def build_action(mode: Column, raw: Column, state: Column, gripper: Column) -> Column:
-    """raw: as recorded; joint: state and gripper; the delta modes: forward difference of the state (raw is ignored)
-    and the gripper itself."""
-    delta = vector_delta(state)
-    return F.when(mode == "raw", raw).when(mode == "joint", F.concat(state, F.array(gripper))).otherwise(F.concat(delta, F.array(gripper)))
+MODES = ("ee_delta_6d_gripper", "ee_absolute_6d_gripper", "joint_position_gripper", "joint_delta_gripper")
+
+
+def _with_slot(arm: Column, wide: Column, gripper: Column | None) -> Column:
+    """arm and one slot more: the gripper, else the seventh value of a wide vector, else 0."""
+    slot = F.coalesce(F.get(wide, F.lit(6)), F.lit(0.0)) if gripper is None else gripper.cast("double")
+    return F.concat(arm, F.array(slot))
+
+
+def build_action(mode: str, state: Column, raw: Column | None = None, gripper: Column | None = None) -> Column:
+    """The action vector of each frame. raw is the recorded action; without it the state stands in.
+
+    ee_delta_6d_gripper: the step to the next frame's pose (first six of the state), positions subtracted, rotation
+    vectors composed (next times inverse of this), zeros on the last frame; the recorded action isn't used.
+    ee_absolute_6d_gripper: the recorded action's first six values. joint_position_gripper: the recorded action.
+    joint_delta_gripper: the step to the next frame's recorded action, without its last value if it has more than six.
+    All but joint_position_gripper end with one slot: the gripper; where none is given, the vector's seventh value (its
+    last, for joints), else 0.
+    """
+    from frameloom.functions.geometry import relative_rotation
+
+    action = state if raw is None else raw
+    if mode == "ee_delta_6d_gripper":
+        pose = F.slice(state, 1, 6)
+        after = F.coalesce(F.lead(pose).over(by_episode()), pose)
+        step = F.zip_with(F.slice(after, 1, 3), F.slice(pose, 1, 3), lambda a, b: a - b)
+        return _with_slot(F.concat(step, relative_rotation(F.slice(pose, 4, 3), F.slice(after, 4, 3))), state, gripper)
+    if mode == "ee_absolute_6d_gripper":
+        return _with_slot(F.slice(action, 1, 6), action, gripper)
+    if mode == "joint_position_gripper":
+        return action
+    if mode == "joint_delta_gripper":
+        arm = F.when(F.size(action) > 6, F.slice(action, F.lit(1), F.size(action) - 1)).otherwise(action)
+        last = F.when(F.size(action) > 6, F.element_at(action, -1)).otherwise(F.lit(0.0))
+        return _with_slot(vector_delta(arm), action, last if gripper is None else gripper)
+    raise ValueError(f"no action mode {mode}")
 
 
 def from_first(frames: DataFrame, vector: str) -> Column:

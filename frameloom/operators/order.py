@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,78 +72,114 @@ class Gripper:
 
 def asymmetric_ema(rows: DataFrame, value: str, rising: float = 0.2, falling: float = 0.8) -> DataFrame:
     """state = (1 - alpha) * state + alpha * x, with one alpha for rising and one for falling values; it starts at 0."""
-    return _grouped(rows, value, "smooth", _ema_rule(rising, falling))
+    return _folded(rows, value, "smooth", partial(Smooth, rising, falling))
 
 
 def joint_ema(rows: DataFrame, value: str, alpha: float = 0.35) -> DataFrame:
     """alpha * x + (1 - alpha) * previous; the first value passes."""
-    def rule(x):
-        out, last = [], None
-        for v in x:
-            last = v if last is None else alpha * v + (1 - alpha) * last
-            out.append(last)
-        return out
-
-    return _grouped(rows, value, "smooth", rule)
+    return _folded(rows, value, "smooth", partial(Smooth, alpha, alpha, first=None))
 
 
 def force_smoothing(rows: DataFrame, value: str, smoothing: float = 0.5, release: float = 0.8) -> DataFrame:
     """Falls with one alpha, rises with another, and drops to 0 at once when the target is 0 or less."""
-    def rule(x):
-        out, now = [], 0.0
-        for v in x:
-            alpha = release if v < now else smoothing
-            now = 0.0 if v <= 0 else (1 - alpha) * now + alpha * v
-            out.append(now)
-        return out
-
-    return _grouped(rows, value, "force", rule)
+    return _folded(rows, value, "force", partial(Smooth, smoothing, release, snap=True))
 
 
 def gripper_hysteresis(rows: DataFrame, value: str, how: Gripper = Gripper()) -> DataFrame:
     """Closes at one threshold, opens at a lower one after a hold, and smooths; between the thresholds it stays."""
-    def rule(x):
-        out, last, closed, held_for = [], None, False, 0
-        for v in x:
-            v = min(max(v, how.low), how.high)
-            before = v if last is None else last
-            if closed:
-                held_for += 1
-                if v <= how.open and held_for >= how.hold:
-                    closed, held_for, target = False, 0, v
-                else:
-                    target = max(before, v, how.close)
-            elif v >= how.close:
-                closed, held_for, target = True, 0, v
-            else:
-                target = v if v <= how.open else before
-            last = min(max(how.alpha * target + (1 - how.alpha) * before, how.low), how.high)
-            out.append(last)
-        return out
+    return _folded(rows, value, "gripper", partial(GripperFold, how))
+
 
-    return _grouped(rows, value, "gripper", rule)
+class Smooth:
+    """Exponential smoothing of a series that comes in parts."""
 
+    def __init__(self, rising: float, falling: float, first: float | None = 0.0, snap: bool = False):
+        self.rising, self.falling, self.now, self.snap = rising, falling, first, snap
 
-def _ema_rule(rising: float, falling: float):
-    def rule(x):
-        out, now = [], 0.0
-        for v in x:
-            alpha = falling if v < now else rising
-            now = (1 - alpha) * now + alpha * v
+    def __call__(self, x: np.ndarray) -> list[float]:
+        out, now = [], self.now
+        for v in x.tolist():
+            if now is None:
+                now = v
+            else:
+                alpha = self.falling if v < now else self.rising
+                now = 0.0 if self.snap and v <= 0 else (1 - alpha) * now + alpha * v
             out.append(now)
+        self.now = now
         return out
 
-    return rule
 
+class GripperFold:
+    """Hysteresis in two passes over a series that comes in parts.
+
+    The first finds the spans in which the gripper is shut, from the places of high and low values alone: a span begins
+    with a high value and ends before the first low one that is ``hold`` frames later. The second smooths towards a
+    target with a floor: within a span the target is at least the value, the close threshold and the last output;
+    in the dead band it is the last output; else it is the value.
+    """
+
+    def __init__(self, how: Gripper):
+        self.how, self.shut_for, self.now = how, None, None
+
+    def floors(self, x: np.ndarray) -> np.ndarray:
+        """The floor of each frame's target, -inf in the dead band, NaN where the value itself is the target."""
+        how = self.how
+        high, low = np.flatnonzero(x >= how.close), np.flatnonzero(x <= how.open)
+        floor = np.where(x <= how.open, np.nan, -np.inf)
+        begin = None if self.shut_for is None else -1 - self.shut_for
+        at = 0
+        while True:
+            if begin is None:
+                k = np.searchsorted(high, at)
+                if k == len(high):
+                    self.shut_for = None
+                    return floor
+                begin = int(high[k])
+                floor[begin] = np.nan
+                at = begin + 1
+            k = np.searchsorted(low, max(at, begin + how.hold))
+            stop = int(low[k]) if k < len(low) else len(x)
+            floor[at:stop] = np.maximum(x[at:stop], how.close)
+            if stop == len(x):
+                self.shut_for = len(x) - 1 - begin
+                return floor
+            floor[stop] = np.nan
+            at, begin = stop + 1, None
+
+    def __call__(self, x: np.ndarray) -> list[float]:
+        how = self.how
+        x = np.clip(x, how.low, how.high)
+        out, now = [], self.now
+        for v, floor in zip(x.tolist(), self.floors(x).tolist()):
+            now = v if now is None else now
+            target = v if floor != floor else max(now, floor)
+            now = min(max(how.alpha * target + (1 - how.alpha) * now, how.low), how.high)
+            out.append(now)
+        self.now = now
+        return out
 
-def _grouped(rows: DataFrame, value: str, out: str, rule) -> DataFrame:
-    """A recurrence along each episode, Arrow batches in and out; only three columns travel."""
-    import pandas as pd
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("frame_index")
-        return pd.DataFrame({"episode_id": g["episode_id"], "frame_index": g["frame_index"], out: rule(g["x"].to_list())})
+def _folded(rows: DataFrame, value: str, out: str, make: Callable[[], Callable[[np.ndarray], list[float]]]) -> DataFrame:
+    """A recurrence along each episode. Three columns travel; an episode streams through its task batch by batch, so no
+    episode is held as a whole, however long it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, fold = None, None
+        for batch in batches:
+            codes = batch.column("episode_id").dictionary_encode()
+            at = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            x = batch.column("x").to_numpy(zero_copy_only=False).astype(float)
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
+            made: list[float] = []
+            for a, b in zip(starts, [*starts[1:], len(at)]):
+                episode = (batch.column("episode_id")[int(a)].as_py(),)
+                if episode != last:
+                    last, fold = episode, make()
+                made += fold(x[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column("episode_id"), batch.column("frame_index"), pa.array(made, pa.float64())], ["episode_id", "frame_index", out])
 
     slim = rows.select("episode_id", "frame_index", F.col(value).cast("double").alias("x"))
     kind = dict(slim.dtypes)
-    return slim.groupBy("episode_id").applyInPandas(run, f"episode_id {kind['episode_id']}, frame_index {kind['frame_index']}, {out} double")
+    ordered = slim.repartition("episode_id").sortWithinPartitions("episode_id", "frame_index")
+    return ordered.mapInArrow(run, f"episode_id {kind['episode_id']}, frame_index {kind['frame_index']}, {out} double")
+

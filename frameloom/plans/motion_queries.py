@@ -197,18 +197,35 @@ def delta_replay(spark, d):
     return rows.select("episode_id", "frame_index", F.round(actions.replayed(F.col("v0"), F.col("dv")), 5).alias("replayed"))
 
 
-@query(f"""WITH {LINES}, s AS (SELECT *, lead(state) OVER (PARTITION BY episode_id ORDER BY frame_index) AS nx FROM n),
-dl AS (SELECT *, CASE WHEN nx IS NULL THEN list_transform(state, lambda x: 0.0::DOUBLE) ELSE list_transform(range(1, 7), lambda i: nx[i] - state[i]) END AS delta FROM s),
-a AS (SELECT episode_id, frame_index, m.mode, CASE m.mode WHEN 'raw' THEN list_transform(range(1, 8), lambda i: i::DOUBLE) WHEN 'joint' THEN list_append(state, gripper) ELSE list_append(delta, gripper) END AS action
-  FROM dl, (VALUES ('raw'), ('joint'), ('joint_delta'), ('ee_delta')) m(mode))
-SELECT episode_id, frame_index, mode, (i - 1)::INT AS dim, round(action[i], 6) AS x FROM a, range(1, 8) r(i)""")
+def _half(v: str) -> str:
+    """SQL of the unit quaternion [w, x, y, z] of a rotation vector in slots 4 to 6 of v."""
+    size = f"sqrt({v}[4] * {v}[4] + {v}[5] * {v}[5] + {v}[6] * {v}[6])"
+    return f"list_concat([cos({size} / 2)], list_transform([{v}[4], {v}[5], {v}[6]], lambda c: CASE WHEN {size} = 0 THEN 0.0 ELSE c * sin({size} / 2) / {size} END))"
+
+
+@query(f"""WITH {LINES}, c AS (SELECT *, list_transform(range(1, 8), lambda i: CASE WHEN i = 7 THEN gripper / 2 ELSE state[i] * 3 - 0.25 * i END) AS rec FROM n),
+s AS (SELECT *, lead(state, 1, state) OVER w AS nx, lead(rec, 1, rec) OVER w AS nr FROM c WINDOW w AS (PARTITION BY episode_id ORDER BY frame_index)),
+q AS (SELECT *, {_half('nx')} AS b, {_half('state')} AS a FROM s),
+h AS (SELECT *, b[1] * a[1] + b[2] * a[2] + b[3] * a[3] + b[4] * a[4] AS qw,
+  b[2] * a[1] - b[1] * a[2] - b[3] * a[4] + b[4] * a[3] AS qx,
+  b[3] * a[1] - b[1] * a[3] - b[4] * a[2] + b[2] * a[4] AS qy,
+  b[4] * a[1] - b[1] * a[4] - b[2] * a[3] + b[3] * a[2] AS qz FROM q),
+t AS (SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS qn FROM h),
+u AS (SELECT *, CASE WHEN qn < 1e-12 THEN 2.0 ELSE 2 * atan2(qn * sign(qw), abs(qw)) / qn END AS k FROM t),
+d AS (SELECT episode_id, frame_index, m.mode, CASE m.mode
+  WHEN 'ee_delta_6d_gripper' THEN [nx[1] - state[1], nx[2] - state[2], nx[3] - state[3], k * qx, k * qy, k * qz, gripper]
+  WHEN 'ee_absolute_6d_gripper' THEN list_append(rec[1:6], gripper)
+  WHEN 'joint_position_gripper' THEN rec
+  ELSE list_append(list_transform(range(1, 7), lambda i: nr[i] - rec[i]), gripper) END AS action
+  FROM u, (VALUES ('ee_delta_6d_gripper'), ('ee_absolute_6d_gripper'), ('joint_position_gripper'), ('joint_delta_gripper')) m(mode))
+SELECT episode_id, frame_index, mode, (i - 1)::INT AS dim, round(action[i], 6) + 0.0 AS x FROM d, range(1, 8) r(i)""")
 def action_modes(spark, d):
-    raw = F.array(*[F.lit(float(i)) for i in range(1, 8)])
-    base = lines(spark, d).withColumn("delta", actions.vector_delta(F.col("state")))
-    joint, delta = F.concat("state", F.array("gripper")), F.concat("delta", F.array("gripper"))
-    modes = F.array(*[F.struct(F.lit(m).alias("mode"), (raw if m == "raw" else joint if m == "joint" else delta).alias("action")) for m in actions.MODES])
-    rows = base.select("episode_id", "frame_index", F.inline(modes)).select("episode_id", "frame_index", "mode", F.posexplode("action").alias("dim", "x"))
-    return rows.withColumn("x", r6("x"))
+    """Four actions for each frame; the recorded action is made up from the state."""
+    recorded = F.concat(F.transform("state", lambda x, i: x * 3 - (i + 1) * 0.25), F.array(F.col("gripper") / 2))
+    rows = lines(spark, d).withColumn("rec", recorded)
+    made = [F.struct(F.lit(m).alias("mode"), actions.build_action(m, F.col("state"), F.col("rec"), F.col("gripper")).alias("action")) for m in actions.MODES]
+    out = rows.select("episode_id", "frame_index", F.array(*made).alias("made")).select("episode_id", "frame_index", F.inline("made"))
+    return out.select("episode_id", "frame_index", "mode", F.posexplode("action").alias("dim", "x")).withColumn("x", r6("x") + 0.0)
 
 
 @query(f"""WITH {LINES}, a AS (SELECT episode_id, frame_index, list_append(list_transform(state, lambda x: x - 0.3), gripper * 2 - 0.5) AS v FROM n)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,64 @@ def test_hysteresis_holds(make):
     assert max(got[:5]) == 0 and all(v > 0.05 for v in got[8:34]) and got[-1] < 0.01
 
 
+@pytest.mark.parametrize("hold", [0, 3, 30])
+def test_hysteresis_equals_its_definition(hold):
+    """Frame by frame from the definition, and the same in parts of any size."""
+    how = order.Gripper(hold=hold)
+    rng = np.random.default_rng(hold)
+    x = np.clip(np.cumsum(rng.normal(0, 0.06, 600)), -0.1, 0.5)
+    want, shut, last = [], None, None
+    for i, v in enumerate(np.clip(x, 0, 1)):
+        last = v if last is None else last
+        ends = shut is not None and v <= how.open and i - shut >= hold
+        if shut is not None and not ends:
+            target = max(v, how.close, last)
+        elif ends or v >= how.close or v <= how.open:
+            target = v
+        else:
+            target = last
+        shut = None if ends else i if shut is None and v >= how.close else shut
+        last = 0.35 * target + 0.65 * last
+        want.append(last)
+    assert np.allclose(order.GripperFold(how)(x), want)
+    fold = order.GripperFold(how)
+    parts = np.split(x, sorted(rng.integers(0, 600, 40)))
+    assert np.allclose([v for part in parts for v in fold(part)], want)
+
+
+def test_recurrences_stream_through_batches(spark, make):
+    """Episodes cut over many Arrow batches give what one batch gives."""
+    frames = make(a=[(i, float(i % 7)) for i in range(40)], b=[(i, float(i % 5)) for i in range(23)])
+    whole = {(r.episode_id, r.frame_index): r.smooth for r in order.asymmetric_ema(frames, "value").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        parts = {(r.episode_id, r.frame_index): r.smooth for r in order.asymmetric_ema(frames, "value").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    now, want = 0.0, {}
+    for i in range(40):
+        v = float(i % 7)
+        now = 0.2 * now + 0.8 * v if v < now else 0.8 * now + 0.2 * v
+        want["a", i] = now
+    assert whole == parts and len(whole) == 63 and all(abs(whole[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_action_modes(spark):
+    rows = [(1, i, [float(x) for x in s], [float(x) for x in r], g) for i, (s, r, g) in enumerate([([0.0, 0, 0, 1, 0, 0], [1.0, 2, 3, 4, 5, 6, 7], 0.5), ([1.0, 2, 3, 0, 1, 0], [2.0, 2, 2, 2, 2, 2, 9], 1.0)])]
+    df = spark.createDataFrame(rows, "episode_id long, frame_index long, state array<double>, rec array<double>, gripper double")
+    act = lambda m, raw=F.col("rec"), g=F.col("gripper"): [r.a for r in df.withColumn("a", actions.build_action(m, F.col("state"), raw, g)).orderBy("frame_index").collect()]
+    near = lambda got, want: np.allclose(got, want, atol=1e-3)
+    assert near(act("ee_delta_6d_gripper"), [[1, 2, 3, -0.913, 0.913, 0.499, 0.5], [0, 0, 0, 0, 0, 0, 1]])
+    assert near(act("ee_delta_6d_gripper", g=None)[0][6], 0)
+    assert act("ee_absolute_6d_gripper") == [[1, 2, 3, 4, 5, 6, 0.5], [2, 2, 2, 2, 2, 2, 1]]
+    assert act("ee_absolute_6d_gripper", g=None)[1][6] == 9 and act("ee_absolute_6d_gripper", raw=None, g=None)[1] == [1, 2, 3, 0, 1, 0, 0]
+    assert act("joint_position_gripper") == [r[3] for r in rows] and act("joint_position_gripper", raw=None) == [r[2] for r in rows]
+    assert act("joint_delta_gripper") == [[1, 0, -1, -2, -3, -4, 0.5], [0, 0, 0, 0, 0, 0, 1]]
+    assert act("joint_delta_gripper", g=None)[0][6] == 7 and act("joint_delta_gripper", raw=None, g=None)[0] == [1, 2, 3, -1, 1, 0, 0]
+    with pytest.raises(ValueError, match="mode"):
+        actions.build_action("other", F.col("state"))
+
+
 def test_names(spark):
     names = spark.createDataFrame([("f1",), ("f10",), ("f2",), ("x_failed",), ("y_hard",)], "name string")
     assert [r.name for r in episodes.list_episodes(names).orderBy("sort_key").collect()] == ["f1", "f2", "f10"]

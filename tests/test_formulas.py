@@ -54,13 +54,54 @@ def test_projection_is_seeded_and_unit_length():
     assert (v == images.Projection(64)(left, right)).all() and not images.Projection(64)(None, right)[:32].any()
 
 
+GRID = np.array([(x, y) for y in (20, 30, 40, 50) for x in (5, 15, 25, 35, 45)], float)
+
+
+def near(got, want=GRID, by=1.5):
+    return got.shape == want.shape and np.abs(got - want).max() < by
+
+
 def test_marker_grid_is_repaired():
-    grid = np.array([(x, y) for y in (0, 10, 20) for x in (0, 10, 20, 30)], float)
-    seen = np.delete(grid + np.random.default_rng(1).normal(0, 0.2, grid.shape), 5, axis=0)
-    assert np.abs(images.regular_grid(seen, 3, 4) - grid).max() < 1.5
+    noisy = GRID + np.random.default_rng(1).normal(0, 0.2, GRID.shape)
+    order = np.random.default_rng(2).permutation(20)
+    assert near(images.regular_grid(noisy[order], 4, 5))
+    assert near(images.regular_grid(np.delete(noisy, [6, 13], axis=0), 4, 5))  # gaps inside
+    few = noisy[[0, 7, 3, 12, 19, 11]]
+    assert np.array_equal(images.regular_grid(few, 4, 5), few[np.lexsort((few[:, 0], few[:, 1]))])  # under 60%: as they are
+    assert np.array_equal(images.regular_grid(noisy[:3], 1, 3), noisy[:3][np.lexsort((noisy[:3, 0], noisy[:3, 1]))])  # under 4
+
+
+def test_stray_points_are_dropped():
+    stray = np.concatenate([GRID, [(58, 21), (62, 41), (27.5, 52)]])
+    assert near(images.regular_grid(stray, 4, 5))
+    row = np.array([(x, 0) for x in (0, 10, 20, 30, 33)], float)
+    assert images.regular_row(row, 4)[:, 0].tolist() == [0, 10, 20, 30]
+    many = np.array([(x, 0) for x in (0, 1.5, 10, 20, 30, 40, 41.5, 43, 44.5)], float)  # too many for any choice: neighbours
+    assert images.regular_row(many, 3)[:, 0].tolist() in ([10, 20, 30], [20, 30, 40])
+
+
+@pytest.mark.parametrize("column, width", [(0, None), (0, 60.0), (4, 60.0)])
+def test_missing_edge_column_is_carried_on(column, width):
+    seen = GRID + np.array([15, 0])
+    left = np.delete(seen, np.arange(column, 20, 5), axis=0)
+    if column == 4:
+        left = left - np.array([12, 0])
+        seen = seen - np.array([12, 0])
+    assert near(images.regular_grid(left, 4, 5, width), seen)
+
+
+def test_centres_are_medians_of_the_nearest():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        k = int(rng.integers(1, 6))
+        v = np.concatenate([rng.normal(30 * i, 2, rng.integers(1, 9)) for i in range(k)])
+        got = images.centres_1d(v, k)
+        nearest = np.abs(v[:, None] - got).argmin(axis=1)
+        assert all(abs(np.median(v[nearest == i]) - got[i]) < 0.2 for i in range(k) if (nearest == i).any()) and (np.diff(got) >= 0).all()
     assert images.centres_1d(np.array([]), 3).tolist() == [0, 0, 0] and images.centres_1d(np.array([1, 5.0]), 3).tolist() == [1, 3, 5]
 
 
+
 def test_seeded_splits_repeat():
     names = [f"e{i}" for i in range(120)]
     train, test = splits.seeded_split(names, 7)
