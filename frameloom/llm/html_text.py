@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import slices, texts_of, written
 
 #: A template needs so many different pages of a host, and tokens on this share of them.
 LEAST_PAGES = 5
@@ -378,18 +378,17 @@ def outlines(pages: DataFrame) -> DataFrame:
     wording), chars, link, inside. One row for each different page of a host: what copies share is their text, no template."""
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, columns = [], [[] for _ in range(8)]
-                for text in texts_of(part.column("html")):
-                    tags, up, runs = parse(text or "")
-                    runs = [r for r in runs if not r.cut]
-                    ids.append(xxhash.xxh64_intdigest(text or "") >> 1)
-                    for column, values in zip(columns, (tags, up, [r.at for r in runs], [r.node for r in runs], [xxhash.xxh64_intdigest(r.text) >> 1 for r in runs], [len(r.text) for r in runs], [r.link for r in runs], [r.inside for r in runs])):
-                        column.append(values)
-                arrays = [pa.array(c, pa.list_(k)) for c, k in zip(columns, (pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 2, pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(ids, pa.int64()), *arrays], ["host", "page", "tags", "up", "at", "node", "word", "chars", "link", "inside"])
+        for part in slices(batches):
+            ids, columns = [], [[] for _ in range(8)]
+            for text in texts_of(part.column("html")):
+                tags, up, runs = parse(text or "")
+                runs = [r for r in runs if not r.cut]
+                ids.append(xxhash.xxh64_intdigest(text or "") >> 1)
+                found = (tags, up, [r.at for r in runs], [r.node for r in runs], [xxhash.xxh64_intdigest(r.text) >> 1 for r in runs], [len(r.text) for r in runs], [r.link for r in runs], [r.inside for r in runs])
+                for column, values in zip(columns, found):
+                    column.append(values)
+            arrays = [pa.array(c, pa.list_(k)) for c, k in zip(columns, (pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 2, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(ids, pa.int64()), *arrays], ["host", "page", "tags", "up", "at", "node", "word", "chars", "link", "inside"])
 
     kind = "host string, page bigint, tags array<bigint>, up array<int>, at array<int>, node array<int>, word array<bigint>, chars array<int>, link array<int>, inside array<boolean>"
     return pages.select("host", F.col("html").cast("string").alias("html")).mapInArrow(outline, kind).dropDuplicates(["host", "page"])
@@ -563,13 +562,11 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
                 return None, frozenset()
             return _template(row["order"], row["numbered"], row["nested"]), decide([Slot(**x | {"chain": tuple(x["chain"] or ())}) for x in row["slots"] or ()])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                told = part.select(["order", "numbered", "nested", "slots"])
-                hosts = part.column("host").to_pylist()
-                out = [main_text(page, *known.made(host, lambda i=i, told=told: made(told.slice(i, 1).to_pylist()[0]))) for i, (host, page) in enumerate(zip(hosts, texts_of(part.column("html"))))]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for part in slices(batches):
+            told = part.select(["order", "numbered", "nested", "slots"])
+            hosts = part.column("host").to_pylist()
+            out = [main_text(page, *known.made(host, lambda i=i, told=told: made(told.slice(i, 1).to_pylist()[0]))) for i, (host, page) in enumerate(zip(hosts, texts_of(part.column("html"))))]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(rows.dtypes)
     return joined.select("page_id", "url", "html", "host", "order", "numbered", "nested", "slots").mapInArrow(texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

@@ -8,7 +8,6 @@ logarithm of the number of words. The prediction is the language with the larges
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices, texts_of
+
 #: Hashed n-grams: the model has TABLE rows for each language, whatever the corpus.
 TABLE = 1 << 15
 GRAM = 4
@@ -23,7 +24,8 @@ SMOOTH = 0.5
 #: Log-likelihood that each further language must gain for each unit of log(words + 1).
 PENALTY = 3.0
 ROUNDS = 12
-_LETTER = re.compile(r"[^\W\d_]")
+#: More values of lang than there are written languages; up to so many, counts take 256 KB of a task's memory each.
+LANGUAGES = 1000
 #: Letters keep their byte, all else is the space 0.
 _BYTE = np.array([b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint32)
 
@@ -45,12 +47,17 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the table of log-likelihoods [TABLE, languages], from all rows with text and lang.
-    What comes to the driver is at most TABLE counts for each language."""
+    What comes to the driver is at most TABLE counts for each language; with more than LANGUAGES of them, which only a
+    lang column of something else has, it refuses."""
+    used = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null")
+    n = used.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if n > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values; that is no column of languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+        for batch in slices(batches):
+            for text, lang in zip(texts_of(batch.column("text")), texts_of(batch.column("lang"))):
                 if lang not in held:
                     held[lang] = np.zeros(TABLE, np.int64)
                 held[lang] += np.bincount(grams(text)[0], minlength=TABLE)
@@ -58,7 +65,6 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "gram", "n"])
 
-    used = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null")
     rows = used.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     counts = np.zeros((TABLE, len(langs)))
@@ -79,7 +85,7 @@ def shares(words: np.ndarray) -> tuple[np.ndarray, float]:
 
 def infer(text: str | None, table: np.ndarray) -> tuple[np.ndarray, float] | None:
     """Share of each language in the chosen set (0 outside it) and confidence; None for a text without letters."""
-    if not text or not table.shape[1] or not _LETTER.search(text):
+    if not text or not table.shape[1] or not any(map(str.isalpha, text)):
         return None
     gram, starts = grams(text)
     if not len(starts):
@@ -107,16 +113,17 @@ def infer(text: str | None, table: np.ndarray) -> tuple[np.ndarray, float] | Non
 def identify(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score, langs (map of language to share) for each row of docs; other columns are ignored.
 
-    Null, empty and letterless texts, and all texts when nothing was learned, give ``und``, score 0 and an empty map.
+    Null, empty and letterless texts (no character that str.isalpha() calls a letter), and all texts when nothing was
+    learned, give ``und``, score 0 and an empty map. Long texts are read whole; an empty table gives an empty result.
     The score is the predicted language's share, for a single language times its likelihood among all languages.
     """
     told = docs.sparkSession.sparkContext.broadcast((langs, table))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, model = told.value
-        for batch in batches:
+        for batch in slices(batches):
             pred, score, mixed = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 found = infer(text, model)
                 if found is None:
                     pred.append("und"), score.append(0.0), mixed.append([])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, boxed, maybe_in, small_batches, texts_of, without, written
+from .common import boxed, maybe_in, slices, texts_of, without, written
 from .components import connected_components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients(near.bands * near.rows)
-        for batch in batches:
+        for batch in slices(batches, 2000):
             sizes, digests, keys = [], [], []
             for text in texts_of(batch.column("text")):
                 s = shingle_set(text, near.words)
@@ -172,7 +172,7 @@ def _confirmed(docs: DataFrame, coarse: DataFrame, near: Near) -> DataFrame:
     members = coarse.select("id", "component").join(per.select("component", blocks.alias("blocks")), "component")
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     slim = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = maybe_in(slim, "id", bitmap_of(coarse.select("id"), "id")).where("text is not null").join(members, "id")
+    texts = maybe_in(slim, ["id"], coarse.select("id")).where("text is not null").join(members, "id")
     key = F.concat_ws("/", F.col("component"), F.col("block"))
     first = written(_compared(texts.select(key.alias("key"), "id", F.col("id").alias("label"), F.lit(True).alias("query"), "text"), near), "links")
     links = first.select("id", "root")
@@ -212,7 +212,6 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     component and is kept. Rows that repeat a doc_id are one node: all are kept or none is. Empty tables give empty
     results. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     drawn = written(sketches(docs, near), "sketches")
     nodes = drawn.where("doc_id is not null and digest is not null")
     classes = written(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles")), "classes")
@@ -232,7 +231,7 @@ def keep_first(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest doc_id, with all its columns (pipeline stage)."""
     dropped = near_duplicates(docs, near).where("not kept").select(F.col("doc_id").alias("_key")).distinct()
     rows = docs.select(boxed(docs), F.col("doc_id").cast("bigint").alias("_key"))
-    return without(rows, "_key", written(dropped, "dropped")).select("_box.*")
+    return without(rows, ["_key"], written(dropped, "dropped")).select("_box.*")
 
 
 #: The query's contract: three words, 0.85.

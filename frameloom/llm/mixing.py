@@ -52,6 +52,8 @@ def mix_rates(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIG
     """
     extra = [c for c in keep if c != "source"]
     sized = docs.select(*extra, docs["source"], words_in(docs["text"]).alias("_size"))
+    if "_box" not in extra:
+        sized = written(sized, "sizes")  # slim rows: words are counted once
     targets = written(source_targets(sized.select("source", F.col("_size").alias("size")), weights, ceiling), "targets")
     targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     if targets.count() <= BROADCAST_ROWS:

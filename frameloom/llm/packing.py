@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of, written
+from .common import slices, texts_of, written
 
 WINDOW = 4096
 END_ID = 2
@@ -125,13 +125,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     """doc_id, start, length, ids_crc32, doc_tokens for each piece, with its rank ``nth`` among the pieces of its length
     in its task ``task``. tokenizer: a file's place on each executor; by default the installed vocabulary's own place."""
 
-    small_batches(docs.sparkSession)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer or default_tokenizer())
         end = np.array([end_id], "<u4").tobytes()
         seen: dict[int, int] = {}
-        for batch in batches:
+        for batch in slices(batches, 2000):
             out = []
             for row, text in enumerate(texts_of(batch.column("text"))):
                 data = encode(text or "") + end

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, located, rooted, text_of, written
+from .common import LOCATOR, boxed, located, rooted, text_of, written
 
 SHARDS = 16
 SEED = "shard-1"
@@ -29,11 +29,12 @@ def _global_rank(rows: DataFrame, groups: list[str], bucket: str, order: list, n
 
 
 def stratified_shards(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, task_rows: int = TASK_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot and the locator _rid, for each row of docs.
+    """doc_id, size, text_crc32, shard, slot and the locator _file, _row, for each row of docs.
 
     size is the text's UTF-8 bytes plus 1; null text counts as empty, null source as a source of its own. Shards hold
     equally many rows, or one more (law ``rows``); slots are gapless from 0 within a shard. Rows that repeat a doc_id
-    are told apart by their place in the table. Fewer rows than shards leave shards empty. Extra columns are ignored.
+    are told apart by their place in the table. Fewer rows than shards leave shards empty; an empty table gives an empty
+    result. Very long texts count by their bytes. Extra columns are ignored.
     """
     rows = located(docs, "doc_id", "source", "text")
     key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
@@ -43,21 +44,21 @@ def stratified_shards(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, t
         (F.octet_length(text_of(rows)) + 1).cast("bigint").alias("size"),
         F.crc32(text_of(rows)).alias("text_crc32"),
         F.xxhash64(key).alias("_u"),
-        "_rid",
+        *LOCATOR,
     )
     slim = written(slim, "shard-rows")
     n = slim.count()
     bits = max(0, (max(n, 1) // task_rows).bit_length())
     by_hash = slim.withColumn("_b", F.shiftright(F.col("_u"), 64 - bits) if bits else F.lit(0).cast("bigint"))
-    ranked = _global_rank(by_hash, ["_source"], "_b", ["_u", "doc_id", "_rid"], "_rank", "_rows").drop("_b")
+    ranked = _global_rank(by_hash, ["_source"], "_b", ["_u", "doc_id", *LOCATOR], "_rank", "_rows").drop("_b")
     fraction = (F.col("_rank") + F.lit(0.5)) / F.col("_rows")
     parts = 1 << (bits + 4)
     spread = ranked.withColumn("_f", fraction).withColumn("_g", F.floor(F.col("_f") * parts))
-    placed = _global_rank(spread.drop("_rows"), [], "_g", ["_f", "_source", "_u", "_rid"], "_pos", "_all")
+    placed = _global_rank(spread.drop("_rows"), [], "_g", ["_f", "_source", "_u", *LOCATOR], "_pos", "_all")
     shard = F.expr(f"(_pos * {shards}) div _all").cast("int")
     placed = placed.withColumn("shard", shard)
     first = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("_pos") - first).cast("bigint").alias("slot"), "_rid")
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("_pos") - first).cast("bigint").alias("slot"), *LOCATOR)
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
@@ -65,8 +66,8 @@ def write_shards(docs: DataFrame, path: str, **how) -> None:
     slot are replaced."""
     docs = rooted(docs)
     kept = docs.drop("shard", "slot")
-    where = stratified_shards(docs, **how).select("_rid", "shard", "slot")
-    rows = located(docs, boxed(kept)).select("_box", "_rid").join(where, "_rid").select("_box.*", "shard", "slot")
+    where = stratified_shards(docs, **how).select(*LOCATOR, "shard", "slot")
+    rows = located(docs, boxed(kept)).join(where, LOCATOR).select("_box.*", "shard", "slot")
     rows.repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

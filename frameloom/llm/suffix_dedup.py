@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BITS, bitmap_of, written  # noqa: F401
+from .common import bits_for, slices, texts_of, written
 
 LEAST = 50
 GRAM = 10
@@ -84,9 +84,9 @@ def repeated_grams(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """g: hashes at minimiser positions that occur in more than one document; n: how many suffixes begin so."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, grams, times = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(texts_of(batch.column("text"))):
                 g, n = np.unique(_anchors(text, least, gram)[1], return_counts=True)
                 rows.append(np.full(len(g), i)), grams.append(g), times.append(n)
             row, g, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, grams, times))
@@ -97,9 +97,10 @@ def repeated_grams(docs: DataFrame, least: int, gram: int) -> DataFrame:
 
 
 def _bits(grams: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes, 2 MB whatever their number. A set bit is a candidate; false ones only cost time."""
-    at = F.pmod("g", F.lit(BITS))
-    bits = np.zeros(BITS, bool)
+    """A bitmap of the hashes, 2 to 64 MB by their number. A set bit is a candidate; false ones only cost time."""
+    size = bits_for(grams.count())
+    at = F.pmod("g", F.lit(size))
+    bits = np.zeros(size, bool)
     for bucket, data in grams.groupBy(F.floor(at / 32768).alias("b")).agg(F.bitmap_construct_agg(at % 32768)).collect():
         bits[bucket * 32768 : (bucket + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(data), np.uint8), bitorder="little")
     return np.packbits(bits)
@@ -117,16 +118,16 @@ def suffixes(docs: DataFrame, bits: np.ndarray, many: np.ndarray, least: int, gr
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, crowd = (np.unpackbits(x).astype(bool) for x in told.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows, grams, ats, sizes, aheads, backs, runs = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(texts_of(batch.column("text"))):
                 h, g, at, first, owned = _anchors(text, least, gram)
-                hit = known[g % BITS] if len(g) else np.empty(0, bool)
+                hit = known[g % len(known)] if len(g) else np.empty(0, bool)
                 g, at, first, owned = g[hit], at[hit], first[hit], owned[hit]
                 if not len(at):
                     continue
                 n = len(h)
-                large = crowd[g % BITS]
+                large = crowd[g % len(crowd)]
                 if large.any():
                     whole = gram_hashes(h, least).view(np.int64)
                     cuts = [(x, y, min(y + PART, x + m)) for x, m in zip(first[large].tolist(), owned[large].tolist()) for y in range(x, x + m, PART)]

@@ -15,14 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import slices, texts_of
 
 TABLE = 1 << 20
 STEM = 4
@@ -86,8 +84,8 @@ def swaps(words: set[str], identity: tuple[tuple[str, ...], ...]) -> list[set[st
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, how: Fit) -> pa.Table:
-    """toxic, features of the text, features of its counterfactuals and weight, for a bounded hash sample of labelled
-    rows. The weight is the number of labelled rows of the class over those sampled, so that the sample stands for the
+    """toxic, features of the text, features that each of its counterfactuals adds and takes away, and weight, for a
+    bounded hash sample of labelled rows. The weight is the number of labelled rows of the class over those sampled, so that the sample stands for the
     true ratio of the classes.
     labels: doc_id, toxic. A doc_id with several labels counts as toxic if one says so; null labels are left out."""
     truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -98,16 +96,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, how: Fit) -> pa.Table:
     rows = docs.select("doc_id", F.col("text").cast("string")).join(sample, "doc_id").select("toxic", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, other = [], []
+        for batch in slices(batches):
+            own, plus, minus = [], [], []
             for text in texts_of(batch.column("text")):
                 words = words_of(text)
-                own.append(sorted(features(words)))
-                other.append([sorted(features(w)) for w in swaps(words, how.identity)])
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))], ["toxic", "own", "other"])
-
-    small_batches(docs.sparkSession)
-    found = rows.mapInArrow(extract, "toxic int, own array<int>, other array<array<int>>").toArrow()
+                a = features(words)
+                others = [features(w) for w in swaps(words, how.identity)]
+                own.append(sorted(a))
+                plus.append([sorted(b - a) for b in others])
+                minus.append([sorted(a - b) for b in others])
+            lists = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, lists), pa.array(plus, pa.list_(lists)), pa.array(minus, pa.list_(lists))], ["toxic", "own", "plus", "minus"])
+
+    found = rows.mapInArrow(extract, "toxic int, own array<int>, plus array<array<int>>, minus array<array<int>>").toArrow()
     return found.append_column("weight", pa.array([weight[c] for c in found["toxic"].to_pylist()], pa.float64()))
 
 
@@ -118,6 +119,12 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return a.flatten().to_numpy(), np.repeat(np.arange(len(a), dtype=np.int32), lengths)
 
 
+def _flat_pairs(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The same for lists of lists: values, the inner list of each value, and the number of inner lists."""
+    value, pair = _flat(pa.chunked_array([column.combine_chunks().flatten()]))
+    return value, pair, int(np.sum(np.diff(column.combine_chunks().offsets.to_numpy())))
+
+
 def fit(sample: pa.Table, how: Fit = Fit()) -> Model:
     """The classifier, fitted to the weighted rows. Without rows of both classes it scores everything by the share of
     toxic rows."""
@@ -141,19 +148,12 @@ def fit(sample: pa.Table, how: Fit = Fit()) -> Model:
     at = place[value] >= 0
     f, r = place[value[at]], row[at]
     # Counterfactual pairs: the features that a swap adds or takes away.
-    df, dr, ds = [], [], []
-    pairs = 0
-    paired = sample.filter(pc.greater(pc.list_value_length(sample["other"]), 0))
-    for own, others in zip(texts_of(paired["own"]), texts_of(paired["other"])):  # a row at a time
-        a = set(own)
-        for other in others:
-            b = set(other)
-            for sign, change in ((1, b - a), (-1, a - b)):
-                for x in change:
-                    if place[x] >= 0:
-                        df.append(place[x]), dr.append(pairs), ds.append(sign)
-            pairs += 1
-    df, dr, ds = np.array(df, int), np.array(dr, int), np.array(ds, float)
+    changes = []
+    for name, sign in (("plus", 1.0), ("minus", -1.0)):
+        feature, pair, pairs = _flat_pairs(sample[name])
+        used_here = place[feature] >= 0
+        changes.append((place[feature[used_here]], pair[used_here], np.full(used_here.sum(), sign)))
+    df, dr, ds = (np.concatenate(c) for c in zip(*changes))
     w, bias = np.zeros(len(used)), np.log(toxic / (whole - toxic))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, how.steps + 1):
@@ -179,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
 def scorer(model: Model):
     """A vectorised function from text to score in [0, 1]. Null and empty texts get the bias alone."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, tuple[int, ...]] = {}
 
         def hits(word: str) -> tuple[int, ...]:
@@ -191,7 +191,7 @@ def scorer(model: Model):
             return found
 
         for texts in batches:
-            yield pd.Series([model.score({h for w in words_of(t) for h in hits(w)}) for t in texts], dtype="float64")
+            yield pa.array([model.score({h for w in words_of(t) for h in hits(w)}) for t in texts_of(texts)], pa.float64())
 
     return score
 
@@ -202,15 +202,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted for each row of docs; other columns are ignored, repeated rows score alike."""
-    small_batches(docs.sparkSession)
+    """doc_id, score, predicted for each row of docs; other columns are ignored, repeated rows score alike.
+
+    Null and empty texts get the bias alone; long texts are read whole, and length doesn't matter, since each distinct
+    word counts once; an empty table gives an empty result."""
     scored = docs.select("doc_id", scorer(model)(F.col("text").cast("string")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that score below 0.5, with all their columns (pipeline stage)."""
-    small_batches(docs.sparkSession)
     return docs.where(scorer(model)(F.col("text").cast("string")) < 0.5)
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from frameloom.llm import language, toxicity
@@ -14,6 +15,30 @@ def test_languages_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_expectation_maximisation_climbs_to_the_optimum(seed):
+    """Shares are at the top of the likelihood: no share nearby is likelier, and a plain grid search agrees."""
+    rng = np.random.default_rng(seed)
+    words = rng.normal(-20, 4, (200, 2)) + np.where(np.arange(200)[:, None] < 60, [6, 0], [0, 6])
+    rounds, language.ROUNDS = language.ROUNDS, 200
+    try:
+        share, likelihood = language.shares(words)
+    finally:
+        language.ROUNDS = rounds
+    at = lambda p: np.log((np.exp(words) * [p, 1 - p]).sum(axis=1)).sum()
+    grid = np.linspace(0.001, 0.999, 999)
+    best = grid[np.argmax([at(p) for p in grid])]
+    assert abs(share[0] - best) < 0.01 and likelihood >= max(map(at, grid)) - 0.01 and abs(share.sum() - 1) < 1e-9
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    rows = spark.range(5).selectExpr("id as doc_id", "'a b c' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="lang"):
+        language.train(rows)
+    assert len(language.train(rows.limit(3))[0]) == 3
+
+
 def test_mixture_of_two():
     rng = np.random.default_rng(0)
     table = np.full((language.TABLE, 3), -9.0, np.float32)
@@ -25,6 +50,7 @@ def test_mixture_of_two():
     share, _ = language.infer(a, table)
     assert share[0] == 1.0
     assert language.infer("123 ...", table) is None and language.infer(None, table) is None
+    assert language.infer("½ ² ① 1²", table) is None and language.infer("½ ª", table) is not None  # numbers are no letters
     del rng
 
 
@@ -64,6 +90,25 @@ def test_penalty_spares_neutral_mentions(spark):
     assert gap[1] < 0.2 * gap[0]
 
 
+def test_swaps_hardly_move_held_out_scores(spark):
+    """Identity terms planted in the given rows, more often in toxic ones: with the penalty the scores of held-out texts
+    move far less under swaps, and the held-out rows are told apart as well as without it."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    planted = F.when((F.col("toxic") == 1) & (F.col("doc_id") % 10 < 9), F.lit(" muslim gay")).when(F.col("doc_id") % 20 == 0, F.lit(" muslim gay")).otherwise(F.lit(" people"))
+    docs = docs.withColumn("text", F.concat("text", planted)).drop("toxic")
+    test = docs.where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").collect()
+    moved, right = [], []
+    for penalty in (0.0, 50.0):
+        model = toxicity.train(docs, labels, toxicity.Fit(penalty=penalty))
+        score = lambda words: model.score(toxicity.features(words))  # noqa: B023, E731
+        neutral = [toxicity.words_of(r.text) - {"gay", "people"} | {"muslim"} for r in test if not r.toxic]
+        moved.append(np.mean([abs(score(w) - score(x)) for w in neutral for x in toxicity.swaps(w, toxicity.IDENTITY)]))
+        right.append(np.mean([(score(toxicity.words_of(r.text)) >= 0.5) == r.toxic for r in test]))
+    assert moved[1] < 0.3 * moved[0] and right[1] > right[0] - 0.03
+
+
 def test_bounded_sample_scores_like_the_full_fit(spark):
     docs, labels = labelled(spark, 3000)
     full, cut = (toxicity.train(docs, labels, toxicity.Fit(per_class=n)) for n in (3000, 300))
