@@ -14,7 +14,11 @@ from .registry import FRAMES, frames, query, r6
 
 
 def _folder(spark) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="frameloom-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="frameloom-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
