@@ -1,16 +1,19 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
-A text is the set of its paragraphs (lines, cut every 400 characters), each as a 62-bit digest that includes how often it occurs.
-Each digest is added to three cells of a table: to its count, to the exclusive-or of digests and of check sums. Tables of two versions
-subtract cell by cell. What is left is peeled: a cell that holds one digest gives it up, the digest leaves its other
-cells, and so on, until the digests that only one version has are known. Where cells remain, the pair is tried again
-with a table four times as large.
+A text is the set of its paragraphs (lines, cut every 400 characters), each as a 62-bit digest that includes how often it
+occurs. A text of few paragraphs has its sentences, too; one of few sentences its words, and a very short one pieces of
+four characters: so half of a text counts for something in texts of any length. Each digest is added to three cells of a
+table: to its count, to the exclusive-or of digests and of check sums. Tables of two versions subtract cell by cell. What
+is left is peeled: a cell that holds one digest gives it up, the digest leaves its other cells, and so on, until the
+digests that only one version has are known. Where cells remain, the pair is tried again with a table four times as large.
 
 DataFrame operations only. All of a pair's cells share a partition, so rounds of peeling need no exchange.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,29 +23,62 @@ CELLS = 24
 HASHES = 3
 GROW = 4
 ROUNDS = 12
-PIECE = 400
+#: Tables so many times as large as both sets together must decode; beyond them sets are compared as they are.
+AMPLE = 16
+#: Paragraphs are cut at PIECE characters, sentences at SENTENCE; fewer than FEW of a kind are joined by the next finer
+#: kind, and texts under SHORT characters by pieces of TINY.
+PIECE, SENTENCE, FEW, SHORT, TINY = 400, 100, 8, 64, 4
 _CELL = "struct<slot: bigint, n: bigint, key: bigint, chk: bigint>"
 
 
-def pieces(text: Column, size: int = PIECE) -> Column:
-    """The text's paragraphs; longer ones are cut every ``size`` characters. Line breaks and empty lines are no part."""
-    return F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{size}}}"), F.lit(0))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def _marked(pieces: Column, kind: int) -> Column:
+    return F.transform(pieces, lambda p: F.xxhash64(F.lit(kind), p))
+
+
+def piece_hashes(text: Column) -> Column:
+    """Hashes of the text's pieces, in no order, as often as they occur. Line breaks and empty lines are no part."""
+    none = F.array().cast("array<bigint>")
+    words = F.when(F.char_length(text) < SHORT, _marked(_found(text, f"[^\\n]{{1,{TINY}}}"), 4)).otherwise(none)
+    words = lambda q, w=words: F.when(F.size(q) < FEW, F.concat(_marked(_found(text, "[^\\s]+"), 3), w)).otherwise(w)
+    finer = _let(_found(text, f"[^\\n.!?]{{0,{SENTENCE}}}[.!?]+|[^\\n.!?]{{1,{SENTENCE}}}"), lambda q: F.concat(_marked(q, 2), words(q)))
+    return _let(_found(text, f"[^\\n]{{1,{PIECE}}}"), lambda p: F.concat(_marked(p, 1), F.when(F.size(p) < FEW, finer).otherwise(none)))
+
+
+def digests(text: Column) -> Column:
+    """The text's distinct pieces as digests of 62 bits; a digest includes how often its piece occurs."""
+    none = F.array().cast("array<bigint>")
+
+    def counted(s: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i + 1)))
+        one = lambda e: F.transform(e, lambda i, k: F.shiftrightunsigned(F.xxhash64(F.get(s, i), i - F.coalesce(F.get(e, k - 1), F.lit(-1))), 2))
+        return F.when(F.size(s) > 0, _let(last, one)).otherwise(none)
+
+    return F.array_distinct(_let(F.sort_array(piece_hashes(text)), counted))
 
 
 def _check(key: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(99)), F.lit(1 << 32))
 
 
-def _slot(key: Column, j: int, cells: int) -> Column:
-    part = cells // HASHES
-    return (F.pmod(F.xxhash64(key, F.lit(j)), F.lit(part)) + j * part).cast("bigint")
+def _slot(key: Column, j: int, cells: Column) -> Column:
+    part = F.floor(cells / HASHES)
+    return (F.pmod(F.xxhash64(key, F.lit(j)), part) + j * part).cast("bigint")
 
 
 def _entry(slot: Column, n: Column, key: Column) -> Column:
     return F.struct(slot.alias("slot"), n.cast("bigint").alias("n"), key.alias("key"), _check(key).alias("chk"))
 
 
-def _added(keys: Column, sign: int, cells: int) -> Column:
+def _added(keys: Column, sign: int, cells: Column) -> Column:
     """One entry for each digest and hash."""
     return F.flatten(F.transform(keys, lambda k: F.array(*[_entry(_slot(k, j, cells), F.lit(sign), k) for j in range(HASHES)])))
 
@@ -53,55 +89,64 @@ def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def sketch(sets: DataFrame, by: list[str], cells: int = CELLS) -> DataFrame:
     """The table of each set (array column ids) as text: cells in order as slot, count, digests and check sums in hexadecimal."""
-    rows = sets.select(*by, F.explode_outer(_added(F.col("ids"), 1, cells)).alias("c")).select(*by, "c.*")
+    rows = sets.select(*by, F.explode_outer(_added(F.col("ids"), 1, F.lit(cells))).alias("c")).select(*by, "c.*")
     rows = rows.groupBy(*by, "slot").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
-    cell = F.concat(F.lpad(F.hex("slot"), 2, "0"), F.lpad(F.hex("n"), 4, "0"), F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("chk"), 8, "0"))
+    cell = F.concat(F.lpad(F.hex("slot"), 2, "0"), F.lpad(F.hex("n"), 8, "0"), F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("chk"), 8, "0"))
     one = F.when(F.col("slot").isNotNull(), F.struct("slot", cell.alias("text")))
     return rows.groupBy(*by).agg(F.concat(F.lit(f"{cells}x{HASHES}:"), F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda c: c["text"]), "")).alias("fingerprint"))
 
 
-def _peeled(cells_of: DataFrame, by: list[str], cells: int, rounds: int) -> DataFrame:
+def _peeled(cells_of: DataFrame, by: list[str], rounds: int) -> DataFrame:
     """Rounds of peeling, one third of the table at a time: a digest lies in one cell of each third, so none is taken
-    twice in a round. A digest taken becomes a row of its own, with a negative slot."""
-    part = cells // HASHES
+    twice in a round. A digest taken becomes a row of its own, with a negative slot. cells: the size of the pair's table."""
+    part = F.floor(F.col("cells") / HASHES)
     for t in range(rounds):
         j = t % HASHES
         pure = (F.abs("n") == 1) & (F.col("chk") == _check(F.col("key"))) & F.col("slot").between(j * part, (j + 1) * part - 1)
-        leave = [_entry(_slot(F.col("key"), i, cells), -F.col("n"), F.col("key")) for i in range(HASHES) if i != j]
+        leave = [_entry(_slot(F.col("key"), i, F.col("cells")), -F.col("n"), F.col("key")) for i in range(HASHES) if i != j]
         taken = F.array(_entry(-F.col("key") - 1, F.col("n"), F.col("key")), *leave)
         stays = F.array(F.struct("slot", "n", "key", "chk"))
-        cells_of = _summed(cells_of.select(*by, F.inline(F.when(pure, taken).otherwise(stays).cast(f"array<{_CELL}>"))), by)
+        cells_of = _summed(cells_of.select(*by, "cells", F.inline(F.when(pure, taken).otherwise(stays).cast(f"array<{_CELL}>"))), [*by, "cells"])
     return cells_of
 
 
 def differences(pairs: DataFrame, by: list[str], cells: int = CELLS) -> DataFrame:
-    """by, a_size, b_size, a_only, b_only (arrays of digests) for each pair of sets a, b (array<bigint> of distinct
-    digests of 62 bits). by names what identifies a pair. Pairs that don't decode go on to tables GROW times as large."""
-    done, todo = None, pairs.select(*by, "a", "b")
+    """by, a_size, b_size, a_only, b_only (arrays of digests) for each pair of sets a, b (array<bigint> of digests of 62
+    bits; repeated ones count once). by names what identifies a pair. A pair's first table is the smallest of cells,
+    cells * GROW ... that has a cell for each of its digests. Pairs that don't decode go on to tables GROW times as large;
+    a table AMPLE times as large as both sets that still doesn't (equal slots or check sums by chance) is given up for the
+    sets themselves."""
+    both = pairs.select(*by, F.array_distinct("a").alias("a"), F.array_distinct("b").alias("b"))
+    need = F.greatest((F.size("a") + F.size("b")) / cells, F.lit(1.0))
+    todo = both.withColumn("cells", (cells * F.pow(F.lit(float(GROW)), F.ceil(F.log(float(GROW), need) - 1e-9))).cast("bigint"))
+    done, none = None, F.array().cast("array<bigint>")
     while True:
         spread = todo.repartition(*by)
-        rows = spread.select(*by, F.inline(F.concat(_added(F.col("a"), 1, cells), _added(F.col("b"), -1, cells))))
-        left = _peeled(_summed(rows, by), by, cells, ROUNDS)
+        rows = spread.select(*by, "cells", F.inline(F.concat(_added(F.col("a"), 1, F.col("cells")), _added(F.col("b"), -1, F.col("cells")))))
+        left = _peeled(_summed(rows, [*by, "cells"]), by, ROUNDS)
         only = lambda n: F.collect_list(F.when((F.col("slot") < 0) & (F.col("n") == n), F.col("key")))
         found = left.groupBy(*by).agg(F.count_if(F.col("slot") >= 0).alias("stuck"), only(1).alias("a_only"), only(-1).alias("b_only"))
-        none = F.array().cast("array<bigint>")
+        ample = F.col("cells") >= AMPLE * (F.size("a") + F.size("b"))
+        open_ = F.coalesce("stuck", F.lit(0)) > 0
+        result = lambda got, x, y: F.when(open_ & ample, F.array_except(x, y)).when(open_, none).otherwise(F.coalesce(got, none))
+        again = open_ & ~ample
         tried = spread.join(found, by, "left").select(
             *by,
             F.size("a").alias("a_size"),
             F.size("b").alias("b_size"),
-            F.coalesce("stuck", F.lit(0)).alias("stuck"),
-            F.when(F.col("stuck") > 0, none).otherwise(F.coalesce("a_only", none)).alias("a_only"),
-            F.when(F.col("stuck") > 0, none).otherwise(F.coalesce("b_only", none)).alias("b_only"),
-            F.when(F.col("stuck") > 0, F.col("a")).alias("a"),
-            F.when(F.col("stuck") > 0, F.col("b")).alias("b"),
+            again.alias("again"),
+            result("a_only", "a", "b").alias("a_only"),
+            result("b_only", "b", "a").alias("b_only"),
+            F.when(again, F.col("a")).alias("a"),
+            F.when(again, F.col("b")).alias("b"),
+            (F.col("cells") * GROW).alias("cells"),
         )
         tried = written(tried, "sketches")
-        good = tried.where("stuck = 0").select(*by, "a_size", "b_size", "a_only", "b_only")
+        good = tried.where("not again").select(*by, "a_size", "b_size", "a_only", "b_only")
         done = good if done is None else done.unionByName(good)
-        todo = tried.where("stuck > 0").select(*by, "a", "b")
+        todo = tried.where("again").select(*by, "a", "b", "cells")
         if not todo.limit(1).count():
             return done
-        cells *= GROW
 
 
 def likeness(a_size: Column, a_only: Column, b_only: Column) -> Column:
@@ -136,18 +181,14 @@ def fingerprint_edits(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     before = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.expr("n div 2").cast("int").alias("half"))
     heads = whole.join(before, "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("half")).alias("head"))
     both = whole.join(heads, "doc_id").withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n") - F.expr("n div 2")).cast("int")), F.col("head")))
-    keys = lambda c: F.transform(pieces(F.col(c)), lambda p: F.xxhash64(p))
-    kinds = F.array(F.struct(F.lit("a").alias("kind"), keys("text").alias("keys")), F.struct(F.lit("e").alias("kind"), keys("edited").alias("keys")))
-    named = both.select("doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("sha"), F.inline(kinds)).select("doc_id", "n_chars", "sha", "kind", F.explode_outer("keys").alias("key"))
-    counted = named.groupBy("doc_id", "n_chars", "sha", "kind", "key").agg(F.count("key").alias("times"))
-    digest = F.shiftrightunsigned(F.xxhash64("key", "times"), 2)
-    sets = counted.groupBy("doc_id", "n_chars", "sha", "kind").agg(F.collect_list(F.when(F.col("key").isNotNull(), digest)).alias("ids"))
+    kinds = F.array(F.struct(F.lit("a").alias("kind"), digests(F.col("text")).alias("ids")), F.struct(F.lit("e").alias("kind"), digests(F.col("edited")).alias("ids")))
+    sets = both.select("doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("sha"), F.inline(kinds))
     sets = written(sets, "paragraphs")
     own, edited = sets.where("kind = 'a'"), sets.where("kind = 'e'").select("doc_id", F.col("ids").alias("e"))
     following = own.select("doc_id", F.col("ids").alias("f")).join(before, "doc_id").select(F.col("prev_id").alias("doc_id"), "f")
     pairs = own.select("doc_id", F.col("ids").alias("a")).join(edited, "doc_id").join(following, "doc_id")
     pairs = pairs.select("doc_id", F.inline(F.array(F.struct(F.lit("e").alias("kind"), F.col("a"), F.col("e").alias("b")), F.struct(F.lit("n").alias("kind"), F.col("a"), F.col("f").alias("b")))))
-    near = differences(written(pairs, "pairs"), ["doc_id", "kind"], cells).withColumn("near", likeness(F.col("a_size"), F.col("a_only"), F.col("b_only")))
+    near = differences(pairs, ["doc_id", "kind"], cells).withColumn("near", likeness(F.col("a_size"), F.col("a_only"), F.col("b_only")))
     near = near.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "e", F.col("near"))).alias("near_edited"), F.max(F.when(F.col("kind") == "n", F.col("near"))).alias("near_next"))
     prints = sketch(sets.repartition("doc_id"), ["doc_id", "n_chars", "sha", "kind"], cells).groupBy("doc_id").agg(
         F.first("n_chars").cast("bigint").alias("n_chars"),

@@ -9,7 +9,15 @@ from frameloom.llm import fingerprints as f
 
 
 def pieces(text):
-    return set(Counter(re.findall(r"[^\n]{1,400}", text)).items())
+    found = [(1, x) for x in re.findall(r"[^\n]{1,400}", text)]
+    if len(found) < 8:
+        sentences = re.findall(r"[^\n.!?]{0,100}[.!?]+|[^\n.!?]{1,100}", text)
+        found += [(2, x) for x in sentences]
+        if len(sentences) < 8:
+            found += [(3, x) for x in re.findall(r"[^ \t\n\x0b\f\r]+", text)]
+        if len(text) < 64:
+            found += [(4, x) for x in re.findall(r"[^\n]{1,4}", text)]
+    return set(Counter(found).items())
 
 
 def like(a, b):
@@ -50,3 +58,33 @@ def test_single_and_empty(spark, empty):
     one = f.fingerprint_edits(spark.createDataFrame([(5, "a\nb")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert f.fingerprint_edits(empty).count() == 0
+
+
+def test_equal_and_repeated_digests_end(spark):
+    """Repeated digests count once; sets that no table tells apart are compared as they are."""
+    rows = [(1, [5, 5, 7, 7, 7], [7, 9]), (2, [], []), (3, [4] * 50, [4])]
+    got = {r.doc_id: r for r in f.differences(spark.createDataFrame(rows, "doc_id long, a array<long>, b array<long>"), ["doc_id"]).collect()}
+    assert (got[1].a_only, got[1].b_only, got[1].a_size, got[1].b_size) == ([5], [9], 2, 2)
+    assert got[2].a_only == got[2].b_only == got[3].a_only == got[3].b_only == []
+
+
+def test_a_table_that_cannot_decode_is_given_up(spark, monkeypatch):
+    monkeypatch.setattr(f, "ROUNDS", 0)  # nothing is ever peeled
+    rows = spark.createDataFrame([(1, [1, 2, 3], [3, 4])], "doc_id long, a array<long>, b array<long>")
+    got = f.differences(rows, ["doc_id"], 6).collect()[0]
+    assert (set(got.a_only), set(got.b_only)) == ({1, 2}, {4})
+
+
+def test_an_edited_text_is_nearer_than_the_next(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = f.op5_fingerprints(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == docs.count()
+    assert all(r.near_edited > r.near_next for r in rows if r.n_chars >= 20)
+    by = {}
+    for r in rows:
+        by.setdefault(r.fingerprint, set()).add(r.doc_id)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    same = {}
+    for d, t in texts.items():
+        same.setdefault(t, set()).add(d)
+    assert all(any(g <= x for x in by.values()) for g in same.values())
