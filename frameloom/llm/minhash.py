@@ -6,7 +6,8 @@
    clusters; any two sets that share a band key are in one cluster. No bucket is expanded into pairs.
 3. Inside a cluster, sets of different components are compared: first their signatures, then the full sets. Members
    nearest to the cluster's commonest minima go first, so a group of near copies joins up after a few comparisons.
-   Clusters beyond a bound are cut into blocks; then only what the blocks' hubs don't join is compared across blocks.
+   Clusters beyond a bound are cut into blocks, then the blocks' hubs are compared, in blocks again; what that doesn't
+   join to the cluster's main part is compared with the members that share a band with it.
 4. Components of the confirmed links give the result.
 """
 
@@ -165,29 +166,44 @@ def _compared(rows: DataFrame, near: Near) -> DataFrame:
     return rows.select("key", "id", "label", "query", "text").repartition("key").sortWithinPartitions("key").mapInPandas(groups, "key string, id bigint, root bigint, hub boolean")
 
 
-def _confirmed(docs: DataFrame, coarse: DataFrame, near: Near) -> DataFrame:
-    """Links (id, root) that hold on full sets. coarse: id, component, n_shingles."""
-    per = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
-    blocks = F.greatest(F.ceil(F.col("_n") / near.block_docs), F.ceil(F.col("_s") / near.block_shingles)).cast("bigint")
-    members = coarse.select("id", "component").join(per.select("component", blocks.alias("blocks")), "component")
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+def _blocked(rows: DataFrame, sizes: DataFrame, near: Near) -> DataFrame:
+    """rows with ``blocks`` and ``block``: as many blocks of a component as keep one within what a task compares.
+    rows: id, component; sizes: component, n_shingles."""
+    per = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
+    blocks = F.greatest(F.ceil(F.col("_n") / near.block_docs), F.ceil(F.col("_s") / near.block_shingles))
+    blocks = F.least(blocks, F.ceil(F.col("_n") / 2)).cast("bigint")  # blocks of two at least, so that hubs grow fewer
+    out = rows.join(per.select("component", blocks.alias("blocks")), "component")
+    return out.withColumn("block", F.pmod(F.xxhash64("id", F.col("blocks")), F.col("blocks")))
+
+
+def _within(texts: DataFrame, near: Near) -> DataFrame:
+    """What the members of each block join up with in it. texts: component, block, id, n_shingles, text."""
+    key = F.concat_ws("/", F.col("component"), F.col("block"))
+    return written(_compared(texts.select(key.alias("key"), "id", F.col("id").alias("label"), F.lit(True).alias("query"), "text"), near), "links")
+
+
+def _confirmed(docs: DataFrame, coarse: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """Links (id, root) that hold on full sets. coarse: id, component, n_shingles; classes: rep, bands."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    members = _blocked(coarse.select("id", "component", "n_shingles"), coarse, near)
     texts = maybe_in(slim, ["id"], coarse.select("id")).where("text is not null").join(members, "id")
-    key = F.concat_ws("/", F.col("component"), F.col("block"))
-    first = written(_compared(texts.select(key.alias("key"), "id", F.col("id").alias("label"), F.lit(True).alias("query"), "text"), near), "links")
+    first = _within(texts, near)
     links = first.select("id", "root")
-    large = per.where(blocks > 1).select("component")
+    large = members.where("blocks > 1").select("component").distinct()
     if not large.limit(1).count():
         return links
-    # Beyond the bound: each block meets the hubs of all blocks, then what is still apart meets all blocks.
+    # Beyond the bound: the hubs of a component's blocks are compared in blocks of their own, and so on, until one block
+    # holds a component's hubs. Each text is sent once a level, and each level has few of the one before.
     texts = written(texts.join(large, "component", "left_semi"), "large")
-    known = texts.join(first.groupBy("id").agg(F.min("root").alias("label")), "id")
-    hubs = known.join(first.where("hub").select("id").distinct(), "id", "left_semi")
-    spots = texts.select("component", "block").distinct()
-    met = spots.join(hubs.select("component", "id", "label", "text"), "component").select("component", "block", "id", "label", F.lit(True).alias("query"), "text")
-    rows = known.select("component", "block", "id", "label", F.lit(False).alias("query"), "text").unionByName(met)
-    second = written(_compared(rows.withColumn("key", key), near), "links").select("id", "root")
-    links = links.unionByName(second)
+    hubs = texts.join(first.where("hub").select("id").distinct(), "id", "left_semi")
+    while True:
+        hubs = written(_blocked(hubs.drop("blocks", "block"), hubs, near), "hubs")
+        found = _within(hubs, near)
+        links = links.unionByName(found.select("id", "root"))
+        if not hubs.where("blocks > 1").limit(1).count():
+            break
+        hubs = hubs.join(found.where("hub").select("id").distinct(), "id", "left_semi")
+    # What is still apart from its component's main part is compared with all members that share a band with it.
     comps = written(connected_components(links, "id", "root"), "comps")
     known = texts.join(comps, "id", "left").withColumn("label", F.coalesce(comps["component"], F.col("id"))).select(texts["component"], "block", "id", "label", "text")
     known = written(known, "large")
@@ -196,9 +212,13 @@ def _confirmed(docs: DataFrame, coarse: DataFrame, near: Near) -> DataFrame:
     sized = apart.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / near.block_docs).cast("bigint").alias("chunks"))
     apart = written(apart.join(sized, "component").withColumn("chunk", F.col("chunk") % F.col("chunks")), "apart")
     if apart.limit(1).count():
-        turns = spots.join(apart.select("component", "chunk").distinct(), "component")
-        asked = turns.join(apart.select("component", "chunk", "id", "label", "text"), ["component", "chunk"]).withColumn("query", F.lit(True))
-        other = turns.join(known, ["component", "block"]).withColumn("query", F.lit(False))
+        bands = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
+        asked = apart.join(bands, "id").select("component", "chunk", "band").distinct()
+        shares = known.select("component", "block", "id").join(bands, "id").join(asked, ["component", "band"]).select("component", "block", "chunk", "id").distinct()
+        shares = written(shares, "shares")
+        spots = shares.select("component", "block", "chunk").distinct()
+        asked = spots.join(apart.select("component", "chunk", "id", "label", "text"), ["component", "chunk"]).withColumn("query", F.lit(True))
+        other = shares.join(known.select("id", "label", "text"), "id").withColumn("query", F.lit(False))
         rows = asked.unionByName(other.select(asked.columns)).withColumn("key", F.concat_ws("/", "component", "block", "chunk"))
         links = links.unionByName(written(_compared(rows, near), "links").select("id", "root"))
     return links
@@ -219,7 +239,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     buckets = keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
     stars = keyed.join(buckets, "band").where("rep <> hub").select("rep", "hub").distinct()
     coarse = written(connected_components(stars, "rep", "hub").join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n_shingles")), "id"), "coarse")
-    links = _confirmed(docs, coarse, near)
+    links = _confirmed(docs, coarse, classes, near)
     same = nodes.join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("id"), F.col("rep").alias("root"))
     comps = written(connected_components(links.unionByName(same), "id", "root"), "comps")
     out = drawn.select("doc_id", "n_shingles").join(comps, drawn["doc_id"] == comps["id"], "left")

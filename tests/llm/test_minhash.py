@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from frameloom.llm import components
 from frameloom.llm import minhash as m
 from frameloom.llm.components import connected_components
 
@@ -45,7 +46,7 @@ def copies(seed, groups=6, each=8, words=60, edits=3):
     return rows
 
 
-@pytest.mark.parametrize("near", [m.Near(3, 85), m.Near(5, 80), m.Near(3, 85, block_docs=3), m.Near(5, 80, block_docs=2)])
+@pytest.mark.parametrize("near", [m.Near(3, 85), m.Near(5, 80), m.Near(3, 85, block_docs=3), m.Near(5, 80, block_docs=2), m.Near(3, 85, block_shingles=100)])
 def test_equals_brute_force(spark, near):
     rows = copies(near.block_docs)
     got = {r.doc_id: r.component_id for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near).collect()}
@@ -75,10 +76,13 @@ def test_empty(empty):
     assert m.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("seed", range(2))
+def test_components(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(components, "LEAST_HOT", hot)
+    monkeypatch.setattr(components, "HOT", 10)
     rng = random.Random(seed)
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(None, 3)]
+    edges = [(0, rng.randrange(200, 300)) for _ in range(60)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(None, 3)]
     root = {}
 
     def find(x):
