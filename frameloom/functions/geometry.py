@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+
+from .vectors import let
 
 
 def _cross_matrix(v: np.ndarray) -> np.ndarray:
@@ -88,9 +89,30 @@ def with_delta_actions(frames: DataFrame, episode: str = "episode_id", order: st
     return frames.join(acted, [episode, order])
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def relative_rotation(before: pd.Series, after: pd.Series) -> pd.Series:
-    """relative() of columns; null where either is null."""
-    known = (before.notna() & after.notna()).to_numpy()
-    made = iter(relative(np.stack(before[known].to_numpy()), np.stack(after[known].to_numpy())) if known.any() else ())
-    return pd.Series([next(made) if k else None for k in known], dtype=object)
+def _quaternion(v: Column) -> Column:
+    size = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    return let(size, lambda n: let(F.when(n < 1e-8, 0.5).otherwise(F.sin(n / 2) / n), lambda s: F.array(F.cos(n / 2), v[0] * s, v[1] * s, v[2] * s)))
+
+
+def _quotient(b: Column, a: Column) -> Column:
+    """The quaternion b times the inverse of a."""
+    return F.array(
+        b[0] * a[0] + b[1] * a[1] + b[2] * a[2] + b[3] * a[3],
+        b[1] * a[0] - b[0] * a[1] - b[2] * a[3] + b[3] * a[2],
+        b[2] * a[0] - b[0] * a[2] - b[3] * a[1] + b[1] * a[3],
+        b[3] * a[0] - b[0] * a[3] - b[1] * a[2] + b[2] * a[1],
+    )
+
+
+def _rotation_vector(q: Column) -> Column:
+    size = F.sqrt(q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    sign = F.when(q[0] < 0, -1.0).otherwise(1.0)
+    scale = lambda n: sign * F.when(n < 1e-12, 2.0).otherwise(2 * F.atan2(n, F.abs(q[0])) / n)
+    return let(size, lambda n: let(scale(n), lambda k: F.array(q[1] * k, q[2] * k, q[3] * k)))
+
+
+def rotation_between(before: Column, after: Column) -> Column:
+    """relative() as a column expression, by quaternions: the rotation vector that leads from one column of rotation
+    vectors to the other; null where either is null. At a half turn exactly, either of the two opposite vectors."""
+    quotient = let(_quaternion(before), lambda a: let(_quaternion(after), lambda b: _quotient(b, a)))
+    return F.when(before.isNotNull() & after.isNotNull(), let(quotient, _rotation_vector))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from .vectors import clipped, zeroed
+from .vectors import clipped, let, zeroed
 
 
 def unit(x: Column) -> Column:
@@ -82,16 +82,25 @@ def keep_beyond(depth: Column, camera: Column) -> Column:
 
 def tactile_features(v: Column, episode: str, order: list[str]) -> Column:
     """Nine features: contact, mean, std, slip, left mean, right mean, sum, centre of pressure, 0. NaN and infinities
-    count as 0; slip is the change of the sum since the row before, 0 on an episode's first row."""
-    x = zeroed(v)
-    a = F.transform(x, lambda e: F.abs(e))
+    count as 0; slip is the change of the sum since the row before, 0 on an episode's first row. Each sum is worked out
+    once a row."""
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, e: s + e)
-    n = F.size(x)
+    size = lambda c: F.transform(c, lambda e: F.abs(e))
+    pressure = add(size(zeroed(v)))
+    slip = F.coalesce(F.abs(pressure - F.lag(pressure).over(Window.partitionBy(episode).orderBy(*order))), F.lit(0.0))
+
+    def features(x: Column, n: Column, half: Column) -> Column:
+        std = lambda mean: F.array(mean, F.sqrt(add(F.transform(x, lambda e: (e - mean) * (e - mean))) / n))
+
+        def of(a: Column) -> Column:
+            left = lambda left: F.array(left, F.when(n > 1, F.try_divide(add(F.slice(a, half + 1, F.greatest(n - half, F.lit(0)))), n - half)).otherwise(left))
+            centre = lambda total: F.array(total, add(F.transform(a, lambda e, i: e * i)) / F.greatest(total, F.lit(1e-6)) / F.greatest(n - 1, F.lit(1)))
+            return F.concat(let(add(F.slice(a, F.lit(1), half)) / half, left), let(add(a), centre))
+
+        return F.concat(let(add(x) / n, std), let(size(x), of))
+
+    n = F.size(v)
     half = F.greatest(F.floor(n / 2).cast("int"), F.lit(1))
-    total, mean = add(a), add(x) / n
-    std = F.sqrt(add(F.transform(x, lambda e: (e - mean) * (e - mean))) / n)
-    left = add(F.slice(a, F.lit(1), half)) / half
-    right = F.when(n > 1, F.try_divide(add(F.slice(a, half + 1, F.greatest(n - half, F.lit(0)))), n - half)).otherwise(left)
-    slip = F.coalesce(F.abs(total - F.lag(total).over(Window.partitionBy(episode).orderBy(*order))), F.lit(0.0))
-    centre = add(F.transform(a, lambda e, i: e * i)) / F.greatest(total, F.lit(1e-6)) / F.greatest(n - 1, F.lit(1))
-    return F.array((total > 1e-5).cast("double"), mean, std, slip, left, right, total, centre, F.lit(0.0))
+    contact = lambda f: F.concat(F.array((f[4] > 1e-5).cast("double")), f, F.array(F.lit(0.0)))
+    made = let(let(zeroed(v), lambda x: features(x, n, half)), contact)
+    return F.concat(F.slice(made, 1, 3), F.array(slip), F.slice(made, 4, 5))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 LEFT_ARM, LEFT_HAND, RIGHT_ARM, RIGHT_HAND = range(0, 6), range(6, 12), range(12, 18), range(18, 24)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def taken(v: Column, places: Sequence[int]) -> Column:
     """The elements at the given places, null where the vector is too short."""
     return F.transform(F.array(*[F.lit(i) for i in places]), lambda i: F.get(v, i))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions.geometry import rotation_between
+
 from .episodes import by_episode
 
 
@@ -60,14 +62,12 @@ def build_action(mode: str, state: Column, raw: Column | None = None, gripper: C
     All but joint_position_gripper end with one slot: the gripper; where none is given, the vector's seventh value (its
     last, for joints), else 0.
     """
-    from frameloom.functions.geometry import relative_rotation
-
     action = state if raw is None else raw
     if mode == "ee_delta_6d_gripper":
         pose = F.slice(state, 1, 6)
         after = F.coalesce(F.lead(pose).over(by_episode()), pose)
         step = F.zip_with(F.slice(after, 1, 3), F.slice(pose, 1, 3), lambda a, b: a - b)
-        return _with_slot(F.concat(step, relative_rotation(F.slice(pose, 4, 3), F.slice(after, 4, 3))), state, gripper)
+        return _with_slot(F.concat(step, rotation_between(F.slice(pose, 4, 3), F.slice(after, 4, 3))), state, gripper)
     if mode == "ee_absolute_6d_gripper":
         return _with_slot(F.slice(action, 1, 6), action, gripper)
     if mode == "joint_position_gripper":

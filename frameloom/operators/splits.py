@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .episodes import small
+
 
 def hash_split(episodes: DataFrame, key: str, seed: str, test: int = 1) -> DataFrame:
     """Train or test for each episode: the last ``test`` in the order of a seeded hash are the test set. The same rows
@@ -14,7 +16,7 @@ def hash_split(episodes: DataFrame, key: str, seed: str, test: int = 1) -> DataF
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
     marked = episodes.select(key, order.alias("_h"))
     tests = marked.orderBy(F.desc("_h"), F.desc(key)).limit(test).select(key, F.lit("test").alias("_t"))
-    return marked.join(F.broadcast(tests), key, "left").select(key, F.coalesce("_t", F.lit("train")).alias("split"))
+    return marked.join(small(tests), key, "left").select(key, F.coalesce("_t", F.lit("train")).alias("split"))
 
 
 def seeded_split(names: list[str], seed: int) -> tuple[list[str], list[str]]:

@@ -59,6 +59,24 @@ def normalise(elements: DataFrame, stats: DataFrame) -> DataFrame:
     return elements.join(F.broadcast(stats.select("dim", "lo", "hi")), "dim").withColumn("y", normalised(F.col("x"), F.col("lo"), F.col("hi")))
 
 
+def _bounds(stats: DataFrame) -> DataFrame:
+    """One row: the bounds of all dimensions in order, as many as a vector is wide."""
+    ordered = F.sort_array(F.collect_list(F.struct("dim", "lo", "hi")))
+    return stats.agg(F.transform(ordered, lambda b: F.struct(b["lo"].alias("lo"), b["hi"].alias("hi"))).alias("_bounds"))
+
+
+def normalise_vectors(rows: DataFrame, vector: str, stats: DataFrame, out: str = "y") -> DataFrame:
+    """rows with the whole vector in [-1, 1]: no row an element, no shuffle; the bounds are one broadcast row."""
+    with_bounds = rows.crossJoin(F.broadcast(_bounds(stats)))
+    return with_bounds.withColumn(out, F.zip_with(vector, "_bounds", lambda x, b: normalised(x.cast("double"), b["lo"], b["hi"]))).drop("_bounds")
+
+
+def denormalise_vectors(rows: DataFrame, vector: str, stats: DataFrame, out: str = "back") -> DataFrame:
+    """The inverse of normalise_vectors()."""
+    with_bounds = rows.crossJoin(F.broadcast(_bounds(stats)))
+    return with_bounds.withColumn(out, F.zip_with(vector, "_bounds", lambda y, b: denormalised(y, b["lo"], b["hi"]))).drop("_bounds")
+
+
 def denormalise(elements: DataFrame) -> DataFrame:
     return elements.withColumn("back", denormalised(F.col("y"), F.col("lo"), F.col("hi")))
 

@@ -9,8 +9,9 @@ from frameloom.functions import text as tx
 from frameloom.functions import times
 from frameloom.operators import episodes as ep
 from frameloom.operators import splits
+from frameloom.sources import frames as sources
 
-from .registry import FRAMES, frames, query, r6, table
+from .registry import FRAMES, frames, query, r6, table, work_folder
 
 EPISODES = FRAMES + ", el AS (SELECT episode_id, count(*) AS n_frames, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM f GROUP BY 1)"
 
@@ -99,9 +100,11 @@ def left_to_do(spark, d):
     return splits.todo(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
-@query("SELECT DISTINCT o_custkey AS k FROM orders EXCEPT SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 3 = 0")
+@query("SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_difference(spark, d):
-    return splits.difference(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k")))
+    """Customers with a finished order but none in part."""
+    of = lambda status: table(spark, d, "orders").where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("k"))
+    return splits.difference(of("F"), of("P"))
 
 
 @query("SELECT c_nationkey AS root, c_name AS name FROM customer UNION ALL SELECT s_nationkey, s_name FROM supplier")
@@ -240,13 +243,35 @@ def bool_words(spark, d):
     return table(spark, d, "events").select("event_id", tx.bool_word(word).alias("flag"))
 
 
-@query("""WITH c AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS position, s_name AS clip, s_suppkey % 6 AS n FROM supplier WHERE s_suppkey <= 12)
+@query("""WITH c AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS position, s_name AS clip, s_suppkey % 6 AS n FROM supplier)
 SELECT t::INT AS t, (position // 4)::INT AS "row", (position % 4)::INT AS "column", clip, CASE WHEN n > 0 THEN least(t, n - 1) END AS frame FROM c, range(0, 8) r(t)""")
 def grid_plan(spark, d):
-    clips = table(spark, d, "supplier").where("s_suppkey <= 12").select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("position"), F.col("s_name").alias("clip"), (F.col("s_suppkey") % 6).alias("n_frames"))
+    """All suppliers as clips, four in a row."""
+    clips = table(spark, d, "supplier").select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("position"), F.col("s_name").alias("clip"), (F.col("s_suppkey") % 6).alias("n_frames"))
     return splits.grid_plan(clips, 4, 8)
 
 
 @query("SELECT doc_id, '{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}' AS report FROM documents")
 def json_reports(spark, d):
     return table(spark, d, "documents").select("doc_id", F.to_json(F.struct("lang", F.col("n_chars").alias("n"))).alias("report"))
+
+
+@query("""SELECT user_id::VARCHAR AS episode_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS frame_index, round(value, 6) AS action, round(value * 2, 6) AS state, event_type AS instruction FROM events""")
+def jsonl_frames(spark, d):
+    """Events written as JSONL, one folder an episode, and read back as frames."""
+    rows = table(spark, d, "events").withColumnRenamed("user_id", "episode_id")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    observation = F.struct(F.array(F.col("value") * 2).alias("state"))
+    path = work_folder(spark)
+    rows.select("episode_id", seconds.alias("timestamp"), F.array("value").alias("action"), F.col("event_type").alias("language_instruction"), observation.alias("observation")).repartition("episode_id").write.partitionBy("episode_id").json(path)
+    out = sources.read_jsonl(spark, path, "*.json", r"episode_id=([^/]+)/")
+    return out.select("episode_id", "frame_index", r6(F.col("action")[0]).alias("action"), r6(F.col("state")[0]).alias("state"), F.col("language_instruction").alias("instruction"))
+
+
+@query("""SELECT user_id AS episode_index, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS position, round(value, 6) AS action FROM events""")
+def lerobot_frames(spark, d):
+    """Events written as a dataset of Parquet frames and read back, numbered within their episode."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("episode_index"), F.unix_micros(F.col("ts").cast("timestamp")).alias("frame_index"), F.array("value").alias("action"))
+    path = work_folder(spark)
+    rows.write.parquet(f"{path}/data")
+    return sources.read_lerobot(spark, path).select("episode_index", "position", r6(F.col("action")[0]).alias("action"))

@@ -145,13 +145,14 @@ def distinct_values(spark, d):
 
 
 @query("""SELECT episode_id, severity, code FROM (
-SELECT doc_id AS episode_id, 'issue' AS severity, 'timestamps_missing' AS code FROM documents WHERE doc_id % 5 = 0
-UNION ALL SELECT doc_id, 'issue', 'timestamps_length' FROM documents WHERE doc_id % 5 > 0 AND doc_id % 2 = 1
-UNION ALL SELECT doc_id, 'issue', 'timestamps_unreadable' FROM documents WHERE doc_id % 5 > 0 AND doc_id % 3 = 0)""")
+SELECT doc_id AS episode_id, 'issue' AS severity, 'timestamps_missing' AS code FROM documents WHERE lang = 'de'
+UNION ALL SELECT doc_id, 'issue', 'timestamps_length' FROM documents WHERE lang IS DISTINCT FROM 'de' AND doc_id % 2 = 1
+UNION ALL SELECT doc_id, 'issue', 'timestamps_unreadable' FROM documents WHERE lang IS DISTINCT FROM 'de' AND doc_id % 3 = 0)""")
 def timestamp_issues(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("episode_id"))
-    episodes = docs.withColumn("frame_count_attr", 3 + F.col("episode_id") % 2)
-    times = docs.where("episode_id % 5 > 0").select("episode_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("frame_index"))
+    """Documents as episodes of three frames; German ones have no times, odd ones claim a frame more."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("episode_id"), "lang")
+    episodes = docs.select("episode_id", (3 + F.col("episode_id") % 2).alias("frame_count_attr"))
+    times = docs.where("not (lang <=> 'de')").select("episode_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("frame_index"))
     raw = F.when((F.col("episode_id") % 3 == 0) & (F.col("frame_index") == 1), "soon").otherwise(F.concat(F.lit("2024-01-01T00:00:0"), F.col("frame_index")))
     return integrity.timestamp_rules(times.withColumn("raw", raw), episodes).select("episode_id", "severity", "code")
 

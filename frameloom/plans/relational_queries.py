@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frameloom.operators.episodes import whole
+from frameloom.operators.episodes import numbered, whole
 
 from .registry import FRAMES, frames, query, table
 
-SHORT = FRAMES + ", s AS (SELECT episode_id, frame_index, value * 2 AS pixel FROM f WHERE frame_index < 55)"
+SHORT = FRAMES + ", s AS (SELECT episode_id, frame_index, value * 2 AS pixel FROM (SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY frame_index) - 1 AS frame_index, value FROM f WHERE event_type = 'click'))"
 
 
 def _stream(spark, d):
-    return frames(spark, d).where("frame_index < 55").select("episode_id", "frame_index", (F.col("value") * 2).alias("pixel"))
+    """A shorter series: an episode's clicks, numbered."""
+    clicks = frames(spark, d).where("event_type = 'click'").withColumnRenamed("frame_index", "_at")
+    return numbered(clicks, "episode_id", ["_at"]).select("episode_id", "frame_index", (F.col("value") * 2).alias("pixel"))
 
 
 @query(f"WITH {SHORT} SELECT episode_id, frame_index, value, pixel FROM f JOIN s USING (episode_id, frame_index)")
@@ -49,12 +51,13 @@ def length_lookup(spark, d):
     return frames(spark, d).select("episode_id", "frame_index", (F.col("frame_index") / n).alias("share"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'own' WHEN s_suppkey % 2 = 0 THEN 'shared' ELSE 'none' END AS config FROM supplier""")
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal >= 5000 THEN 'own' WHEN s_nationkey < 12 THEN 'shared' ELSE 'none' END AS config FROM supplier""")
 def config_candidates(spark, d):
     """The first configuration that exists among ordered candidates."""
-    keys = table(spark, d, "supplier").select("s_suppkey")
-    own = keys.where("s_suppkey % 3 = 0").withColumn("own", F.lit("own"))
-    shared = keys.where("s_suppkey % 2 = 0").withColumn("shared", F.lit("shared"))
+    rows = table(spark, d, "supplier")
+    keys = rows.select("s_suppkey")
+    own = rows.where("s_acctbal >= 5000").select("s_suppkey", F.lit("own").alias("own"))
+    shared = rows.where("s_nationkey < 12").select("s_suppkey", F.lit("shared").alias("shared"))
     return keys.join(own, "s_suppkey", "left").join(shared, "s_suppkey", "left").select("s_suppkey", F.coalesce("own", "shared", F.lit("none")).alias("config"))
 
 

@@ -45,14 +45,17 @@ def nan_aware_stats(spark, d):
 
 @query(f"WITH {STATS} SELECT vec_id, dim, round((x - lo) / (hi - lo + 1e-8::DOUBLE) * 2 - 1, 6) AS y FROM x JOIN st USING (dim)")
 def normalise(spark, d):
-    rows = _elements(spark, d)
-    return stats.normalise(rows, stats.min_max(rows)).select("vec_id", "dim", r6("y").alias("y"))
+    rows = vectors(spark, d).select("vec_id", "v")
+    out = stats.normalise_vectors(rows, "v", stats.min_max(stats.long_form(rows, "v")))
+    return out.select("vec_id", F.posexplode("y").alias("dim", "y")).withColumn("y", r6("y"))
 
 
 @query(f"WITH {ELEMENTS} SELECT vec_id, dim, round(x, 6) AS back FROM x")
 def normalise_roundtrip(spark, d):
-    rows = _elements(spark, d)
-    return stats.denormalise(stats.normalise(rows, stats.min_max(rows))).select("vec_id", "dim", r6("back").alias("back"))
+    rows = vectors(spark, d).select("vec_id", "v")
+    bounds = stats.min_max(stats.long_form(rows, "v"))
+    out = stats.denormalise_vectors(stats.normalise_vectors(rows, "v", bounds), "y", bounds)
+    return out.select("vec_id", F.posexplode("back").alias("dim", "back")).withColumn("back", r6("back"))
 
 
 @query(f"""WITH {STATS} SELECT dim, round(CASE WHEN dim BETWEEN 6 AND 11 OR dim BETWEEN 18 AND 23 THEN 5.0 ELSE lo END, 6) AS lo,

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameloom.streaming import operators as st
 
-from .registry import FRAMES, frames, query, r6
-
-
-def _folder(spark) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="frameloom-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from .registry import FRAMES, frames, query, r6, work_folder
 
 
 def _replayed(spark, d, files: int = 3):
     """Frames written in order of time to a few files, read back as a stream of as many batches."""
-    folder = _folder(spark)
+    folder = work_folder(spark)
     f = st.as_zoned(frames(spark, d).drop("props"))
     part = F.ntile(files).over(Window.partitionBy("episode_id").orderBy("frame_index"))
     marked = f.withColumn("part", part)
@@ -93,7 +81,7 @@ o AS (SELECT episode_id, t, list_reduce(list(a ORDER BY c), lambda z, y: z * 0.5
 SELECT episode_id, t, round(act, 6) AS action FROM o""")
 def stream_chunks(spark, d):
     """Chunks that arrive on their first step and overlap, one action a tick."""
-    folder = _folder(spark)
+    folder = work_folder(spark)
     f = frames(spark, d)
     w = Window.partitionBy("episode_id").orderBy("frame_index")
     chunk = F.transform(F.collect_list("value").over(w.rowsBetween(0, 5)), lambda v: v + F.col("frame_index"))

@@ -104,10 +104,11 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
 JSONL = "timestamp double, action array<double>, language_instruction string, observation struct<state: array<double>, images: struct<base_rgb: string, wrist_rgb: string, tactile_left_rgb: string, tactile_right_rgb: string>>"
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Episodes in JSONL files, one a file; frames by their timestamp."""
-    rows = spark.read.schema(JSONL).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path)
-    out = rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1).alias("episode_id"), "timestamp", "action", "language_instruction", F.col("observation.state").alias("state"), F.col("observation.images").alias("images"))
+def read_jsonl(spark: SparkSession, path: str, files: str = "*.jsonl", episode: str = r"([^/]+)\.jsonl$") -> DataFrame:
+    """Episodes in JSONL files, one a file; frames by their timestamp. episode: the pattern that finds an episode's name
+    in its file's path."""
+    rows = spark.read.schema(JSONL).option("recursiveFileLookup", "true").option("pathGlobFilter", files).json(path)
+    out = rows.select(F.regexp_extract(F.col("_metadata.file_path"), episode, 1).alias("episode_id"), "timestamp", "action", "language_instruction", F.col("observation.state").alias("state"), F.col("observation.images").alias("images"))
     return out.withColumn("frame_index", (F.row_number().over(Window.partitionBy("episode_id").orderBy("timestamp")) - 1).cast("bigint"))
 
 
@@ -125,24 +126,38 @@ def need_h5():
     return h5py
 
 
-def read_h5(spark: SparkSession, path: str, columns: tuple[str, ...] = ("joint_positions", "ee_pos_quat", "gripper_position", "control"), shortest: bool = True) -> DataFrame:
+def decoded_h5(f, columns: tuple[str, ...], shortest: bool = True) -> dict:
+    """Columns of one trajectory file that is open: anything with the file, group and dataset interface of h5py.
+
+    The number of frames is the attribute frame_count, or where that is absent or not positive the length of the first
+    series, or of the times. With ``shortest`` it is cut to the shortest of the asked-for series and the times; else
+    series that end earlier are null from there on. Only the asked-for series are read."""
+    series = f["frames"] if "frames" in f else {}
+    times = [t.decode() if isinstance(t, bytes) else str(t) for t in f["timestamps"][:]] if "timestamps" in f else None
+    found = {c: np.asarray(series[c][:], float) for c in columns if c in series}
+    count = int(f.attrs.get("frame_count", 0))
+    if count <= 0:
+        count = len(series[next(iter(series.keys()))]) if len(series) else len(times or ())
+    n = min([count, *map(len, found.values()), *([len(times)] if times is not None else [])]) if shortest else count
+    padded = lambda x: list(x[:n]) + [None] * (n - len(x[:n]))
+    out = {"frame_index": np.arange(n), "frame_count_attr": count, "raw_ts": padded(times or [])}
+    return out | {c: padded([x.reshape(-1).tolist() for x in found.get(c, ())]) for c in columns}
+
+
+def read_h5(spark: SparkSession, path: str, columns: tuple[str, ...] = ("joint_positions", "ee_pos_quat", "gripper_position", "control"), shortest: bool = True, opener=None) -> DataFrame:
     """Frames of trajectory files, one task a file; only the asked-for fields are read. With ``shortest`` all series are
-    cut to the shortest. Needs h5py on the executors and files they can open."""
-    need_h5()
+    cut to the shortest. Needs h5py on the executors and files they can open, or an ``opener`` of the same interface."""
+    if opener is None:
+        need_h5()
     files = spark.createDataFrame([(p,) for p in h5_files(path)], "path string").repartition("path")
     schema = "path string, frame_index bigint, frame_count_attr bigint, raw_ts string, " + ", ".join(f"{c} array<double>" for c in columns)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h5py = need_h5()
+        open_file = opener or need_h5().File
         for batch in batches:
             for p in batch["path"]:
-                with h5py.File(p, "r") as f:
-                    found = {c: np.asarray(f["frames"][c], float) for c in columns if c in f["frames"]}
-                    times = [t.decode() if isinstance(t, bytes) else str(t) for t in f["timestamps"]] if "timestamps" in f else []
-                    sizes = [len(x) for x in found.values()] + ([len(times)] if times else [])
-                    count = int(f.attrs.get("frame_count", sizes[0] if sizes else 0))
-                    n = min(sizes) if shortest and sizes else count
-                    yield pd.DataFrame({"path": p, "frame_index": np.arange(n), "frame_count_attr": count, "raw_ts": times[:n] or [None] * n} | {c: [x.reshape(-1).tolist() for x in found[c][:n]] if c in found else [None] * n for c in columns})
+                with open_file(p, "r") as f:
+                    yield pd.DataFrame({"path": p} | decoded_h5(f, columns, shortest))
 
     return files.mapInPandas(decode, schema)
 
@@ -192,11 +207,11 @@ def read_episodes(spark: SparkSession, path: str) -> DataFrame:
     return READERS[layout](spark, path)
 
 
-def episode_length(path: str) -> int:
+def episode_length(path: str, opener=None) -> int:
     """Frames of an episode without decoding it: the attribute, the times, the first series, or the pickles."""
     h5 = os.path.join(path, "trajectory.h5") if os.path.isdir(path) else path
     if h5.endswith(".h5") and os.path.exists(h5):
-        with need_h5().File(h5, "r") as f:
+        with (opener or need_h5().File)(h5, "r") as f:
             if "frame_count" in f.attrs:
                 return int(f.attrs["frame_count"])
             if "timestamps" in f:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import socket
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.functions.signals import packet
 
+from .frames import need_h5
+
 
 def append_frames(frames: DataFrame, path: str, by: str = "task_id") -> None:
     """Appends to a frame table; a table that exists fixes names and types."""
@@ -72,6 +78,89 @@ def cached(spark: SparkSession, root: str, config: dict, make: Callable[[], Data
         return spark.read.parquet(path)
 
 
+@contextlib.contextmanager
+def _placed(path: str) -> Iterator[str]:
+    """A name beside path to write to; what is written there takes its place once it is whole."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    try:
+        yield beside
+        os.replace(beside, path)
+    finally:
+        if os.path.exists(beside):
+            os.remove(beside)
+
+
+def write_h5(frames: DataFrame, root: str, columns: tuple[str, ...], fps: float = 15.0, opener=None) -> DataFrame:
+    """One trajectory file an episode below root, a folder that all executors have: times, frames/<column>, and the
+    attributes frame_count and video_fps. frames: episode_id, frame_index, ts (text) and the columns, vectors of one
+    width within an episode. An episode is one file, so it is written by one task, beside its place first and then moved
+    there: a task that runs again replaces the file whole. Returns episode_id, path, n_frames; the files are written when
+    that is read. opener: in place of h5py.File."""
+
+    def write(g: pd.DataFrame) -> pd.DataFrame:
+        open_file = opener or need_h5().File
+        g = g.sort_values("frame_index")
+        episode = g["episode_id"].iat[0]
+        folder = os.path.join(root, str(episode))
+        os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, "trajectory.h5")
+        with _placed(path) as beside, open_file(beside, "w") as f:
+            f.attrs["frame_count"], f.attrs["video_fps"] = len(g), fps
+            f.create_dataset("timestamps", data=np.array([str(t).encode() for t in g["ts"]]))
+            series = f.create_group("frames")
+            for c in columns:
+                series.create_dataset(c, data=np.stack([np.asarray(v, float) for v in g[c]]))
+        return pd.DataFrame({"episode_id": [episode], "path": [path], "n_frames": [len(g)]})
+
+    kind = dict(frames.dtypes)["episode_id"]
+    return frames.select("episode_id", "frame_index", "ts", *columns).groupBy("episode_id").applyInPandas(write, f"episode_id {kind}, path string, n_frames bigint")
+
+
+def copy_trimmed(source, target, start: int, end: int, frames: int, video=None) -> None:
+    """A group of a trajectory file with the frames [start, end) alone: attributes are copied, and so are data sets,
+    of which those with one entry a frame are cut. Encoded streams (the group videos) need ``video``, a function from
+    (data set, start, end) to the bytes of the cut stream."""
+    for k, v in source.attrs.items():
+        target.attrs[k] = v
+    for name in source.keys():
+        item = source[name]
+        if hasattr(item, "keys"):
+            inner = target.create_group(name)
+            if name == "videos":
+                if len(item) and video is None:
+                    raise ValueError("encoded streams can't be cut without a function that does it")
+                for k, v in item.attrs.items():
+                    inner.attrs[k] = v
+                for stream in item.keys():
+                    made = inner.create_dataset(stream, data=np.frombuffer(video(item[stream], start, end), np.uint8))
+                    for k, v in item[stream].attrs.items():
+                        made.attrs[k] = v
+            else:
+                copy_trimmed(item, inner, start, end, frames, video)
+            continue
+        whole = item.shape and item.shape[0] == frames
+        made = target.create_dataset(name, data=item[start:end] if whole else item[()])
+        for k, v in item.attrs.items():
+            made.attrs[k] = v
+
+
+def rewrite_trimmed(ranges: DataFrame, opener=None, video=None) -> DataFrame:
+    """Trajectory files cut to their ranges, one task a file. ranges: path, out, start, end, n. Returns path, out and
+    frame_count; the files are written when that is read."""
+
+    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_file = opener or need_h5().File
+        for batch in batches:
+            for r in batch.itertuples():
+                os.makedirs(os.path.dirname(r.out) or ".", exist_ok=True)
+                with _placed(r.out) as beside, open_file(r.path, "r") as source, open_file(beside, "w") as target:
+                    copy_trimmed(source, target, r.start, r.end, r.n, video)
+                    target.attrs["frame_count"] = r.end - r.start
+            yield batch[["path", "out"]].assign(frame_count=batch["end"] - batch["start"])
+
+    return ranges.select("path", "out", "start", "end", "n").repartition("path").mapInPandas(rewrite, "path string, out string, frame_count bigint")
+
+
 # Endings of legacy fields that are left out.
 LEGACY_DROPPED = ("_marker_tracking", "_raw_rgb")
 

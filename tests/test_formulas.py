@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from frameloom.functions import geometry as g
 from frameloom.functions import images, text
@@ -115,3 +116,16 @@ def test_config_flattening_inverts():
     c = {"a": {"b": 1, "c": {"d": [1, 2]}}, "e": "x"}
     assert text.nested(text.flattened(c)) == c and text.flattened(c) == {"a.b": 1, "a.c.d": [1, 2], "e": "x"}
     assert text.filled("{a}-{z}", {"a": 1}) == "1-{z}" and len(text.random_tag(8, 1)) == 8 and text.random_tag(8, 1) == text.random_tag(8, 1)
+
+
+def test_rotation_between_equals_matrices(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(0, 1, (300, 3)), rng.normal(0, 1, (300, 3))
+    a[:20], b[:20] = 0, rng.normal(0, 1e-9, (20, 3))
+    a[20:40], b[20:40] = a[40:60], a[40:60]
+    a[60:80], b[60:80] = 0, b[60:80] / np.linalg.norm(b[60:80], axis=1, keepdims=True) * (np.pi - 1e-3)
+    rows = [(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b))] + [(300, None, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "i long, a array<double>, b array<double>").select("i", g.rotation_between(F.col("a"), F.col("b")).alias("r"))
+    got = {r.i: r.r for r in df.collect()}
+    assert got.pop(300) is None
+    assert np.allclose([got[i] for i in range(300)], g.relative(a, b), atol=1e-6)
