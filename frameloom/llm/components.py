@@ -9,8 +9,8 @@ from .common import drop_written, written
 
 
 #: Nodes with at least edges / HOT edges (and LEAST_HOT) are hubs: at most 2 * HOT of them, so that their minima can be sent
-#: to all tasks and no task has to hold a hub's edges.
-HOT, LEAST_HOT = 500, 1000
+#: to all tasks and no task has to hold a hub's edges. With fewer edges than that the plain join does as well, in plans half as large.
+HOT, LEAST_HOT = 500, 100_000
 
 
 def _with_least(edges: DataFrame, size: int) -> DataFrame:
