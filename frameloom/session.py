@@ -7,13 +7,22 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of one Arrow batch, where the session has Spark's own 64 MB: long texts in several workers of one executor add up.
+ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_DEFAULT, ARROW_BYTES = "67108864", 8 << 20
+
+
 def share_package(spark: SparkSession) -> SparkSession:
-    """Let Python workers that see this file system import the package. On a cluster ship it with --py-files."""
+    """Let Python workers that see this file system import the package, and bound Arrow batches unless the session has a
+    setting of its own. Entry points call it; operators leave the session as it is. On a cluster ship the package with
+    --py-files."""
     environment = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parent.parent)
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+    if spark.conf.get(ARROW).rstrip("b") == ARROW_DEFAULT:
+        spark.conf.set(ARROW, str(ARROW_BYTES))
     return spark
 
 
