@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_text, language, minhash, mixing, packing, sharding, suffix_dedup, toxicity
+from . import exact_dedup, fingerprints, html_text, language, minhash, mixing, packing, runs, sharding, suffix_dedup, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_language": language.op9_language,
     "op10_minhash": minhash.op10_minhash,
+    "op11_wavelet": wavelet.op11_wavelet,
+    "op12_runs": runs.op12_runs,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
