@@ -124,10 +124,16 @@ def without(df: DataFrame, key: list[str], dropped: DataFrame, bits: int | None
     return clear.unionByName(rest.select(*clear.columns))
 
 
+def _place(docs: DataFrame) -> list[Column]:
+    """File and row of each row, also where the table has a column called _metadata."""
+    meta = docs.metadataColumn("_metadata")
+    return [meta["file_path"].alias("_file"), meta["row_index"].alias("_row")]
+
+
 def rooted(docs: DataFrame) -> DataFrame:
     """docs itself if its rows come straight from files, else a copy written to the shared folder. Its rows can be located."""
     try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema
+        docs.select(*_place(docs)).schema
         return docs
     except AnalysisException:
         return written(docs, "rows")
@@ -136,7 +142,8 @@ def rooted(docs: DataFrame) -> DataFrame:
 def located(docs: DataFrame, *columns: Column | str) -> DataFrame:
     """The columns and a content locator for each row: _file (path) and _row (row in the file). To locate rows of the
     same table twice, root it first."""
-    return rooted(docs).select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    docs = rooted(docs)
+    return docs.select(*columns, *_place(docs))
 
 
 def boxed(docs: DataFrame) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_text, language, minhash, mixing, packing, runs, sharding, suffix_dedup, toxicity, wavelet
+from . import exact_dedup, fingerprints, html_text, language, minhash, mixing, packing, runs, sharding, suffix_dedup, time_layout, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": minhash.op10_minhash,
     "op11_wavelet": wavelet.op11_wavelet,
     "op12_runs": runs.op12_runs,
+    "op13_time_layout": time_layout.op13_time_layout,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
