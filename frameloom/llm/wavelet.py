@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import located, rooted, shared_dir, slices, texts_of, written
+from .packing import _BYTES
 
 SIGN = b"WMX1"
 #: Bits of one block of a plane.
@@ -169,8 +170,9 @@ class Shard:
 
 # Text to ids
 
-#: Pieces whose ids a worker remembers; a longer piece isn't remembered.
-CACHE, LONGEST = 400_000, 100
+#: Pieces whose ids a worker remembers in each of two generations (when the younger is full it becomes the older); a longer
+#: piece isn't remembered.
+CACHE, LONGEST = 250_000, 100
 #: How byte-level vocabularies cut text, as Latin-1 has it: letters, numbers and white space of its 256 characters.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\x09-\x0d\x20\x85\xa0"
@@ -179,14 +181,15 @@ _LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}
 
 class Ids(dict):
     """Piece to ids (little-endian 32-bit bytes) of a byte-level tokenizer, remembered. ids(text) equals encoding the
-    whole text: a Latin-1 text without special tokens is cut by the tokenizer's own pattern, and a piece goes through
-    the tokenizer once; any other text goes through the tokenizer as a whole."""
+    whole text: a Latin-1 text without special tokens is cut by the tokenizer's own pattern, and its pieces go through the
+    tokenizer's model; any other text goes through the tokenizer as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.older = self.tokenizer.model, {}
         setup = json.loads(self.tokenizer.to_str())
         split = setup.get("pre_tokenizer") or {}
         self.plain = setup.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
@@ -197,7 +200,10 @@ class Ids(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        found = self._whole(piece)
+        found = self.older.get(piece)
+        if found is None:
+            shown = piece.encode().decode("latin-1").translate(_BYTES)
+            found = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
         if len(piece) <= LONGEST:
             self[piece] = found
         return found
@@ -206,6 +212,7 @@ class Ids(dict):
         if not self.plain or any(s in text for s in self.special) or not text.isascii() and _beyond_latin(text):
             return self._whole(text)
         if len(self) > CACHE:
+            self.older = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, _LATIN.findall(text)))
 
