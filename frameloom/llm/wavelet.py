@@ -175,6 +175,7 @@ class Shard:
 CACHE, LONGEST = 250_000, 100
 #: How byte-level vocabularies cut text, as Latin-1 has it: letters, numbers and white space of its 256 characters.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SPACE = chr(_BYTES[32])
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\x09-\x0d\x20\x85\xa0"
 _LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
@@ -202,7 +203,7 @@ class Ids(dict):
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            shown = piece.encode().decode("latin-1").translate(_BYTES)
+            shown = piece.replace(" ", _SPACE) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTES)
             found = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
         if len(piece) <= LONGEST:
             self[piece] = found
