@@ -7,7 +7,7 @@ that files and frames they rule out aren't opened.
 ``df.write.format("trajectories")``: tasks write whole episodes below a staging folder; the driver puts them in place
 once every task has succeeded, and removes the staging folder otherwise.
 
-``spark.readStream.format("frame_replay")``: offsets are frame numbers, a trigger takes the next steps, and the stream ends
+``spark.readStream.format("frame_replay")``: offsets are frame numbers (or another column of steps), a trigger takes the next steps, and the stream ends
 with the recording.
 
 A file called trajectory.npz is an archive of containers.py; any other is HDF5, which needs h5py where the tasks run, or an
@@ -385,17 +385,17 @@ class Steps(InputPartition):
 
 
 class FrameReplay(DataSourceStreamReader):
-    """Frames of a Parquet folder by frame_index. What is planned is never planned again, and after a restart the stream
+    """Rows of a Parquet folder by a column of steps. What is planned is never planned again, and after a restart the stream
     goes on from the checkpoint's last batch."""
 
     def __init__(self, options: dict, schema: StructType):
         self.root, self.schema = options["path"], schema
-        self.steps = int(options.get("steps", 1))
+        self.steps, self.by = int(options.get("steps", 1)), options.get("by", "frame_index")
         self.end: int | None = None
         self.planned: int | None = None
 
     def _groups(self) -> Iterator[tuple[str, int, int, int]]:
-        """Each row group with the least and the greatest frame in it, by the files' footers."""
+        """Each row group with the least and the greatest step in it, by the files' footers."""
         import pyarrow.parquet as pq
         from pyarrow import fs
 
@@ -403,7 +403,7 @@ class FrameReplay(DataSourceStreamReader):
         for info in sorted(store.get_file_info(fs.FileSelector(place, recursive=True)), key=lambda f: f.path):
             if info.is_file and info.path.endswith(".parquet"):
                 footer = pq.read_metadata(info.path, filesystem=store)
-                column = footer.schema.names.index("frame_index")
+                column = footer.schema.names.index(self.by)
                 for g in range(footer.num_row_groups):
                     group = footer.row_group(g)
                     if group.num_rows:
@@ -411,23 +411,23 @@ class FrameReplay(DataSourceStreamReader):
                         yield info.path, g, seen.min, seen.max
 
     def initialOffset(self) -> dict:
-        return {"frame": 0}
+        return {"step": 0}
 
     def latestOffset(self) -> dict:
         if self.end is None:
             self.groups = list(self._groups())
             self.end = max((hi + 1 for *_, hi in self.groups), default=0)
-        return {"frame": min((self.planned or 0) + self.steps, self.end)}
+        return {"step": min((self.planned or 0) + self.steps, self.end)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        lo, hi = start["frame"], end["frame"]
+        lo, hi = start["step"], end["step"]
         self.planned = max(self.planned or 0, hi)
         if self.end is None:
             self.latestOffset()
         return [Steps(p, g, lo, hi) for p, g, least, most in self.groups if least < hi and most >= lo] if hi > lo else []
 
     def commit(self, end: dict) -> None:
-        self.planned = max(self.planned or 0, end["frame"])
+        self.planned = max(self.planned or 0, end["step"])
 
     def read(self, partition: Steps) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -436,16 +436,17 @@ class FrameReplay(DataSourceStreamReader):
         store, _ = store_of(self.root)
         target = arrow_schema(self.schema)
         with store.open_input_file(partition.path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(row_groups=[partition.group], columns=self.schema.names):
-                at = batch.column(batch.schema.get_field_index("frame_index"))
+            for batch in pq.ParquetFile(f).iter_batches(row_groups=[partition.group], columns=[*{*self.schema.names, self.by}]):
+                at = batch.column(batch.schema.get_field_index(self.by))
                 kept = batch.filter(pc.and_(pc.greater_equal(at, partition.start), pc.less(at, partition.end)))
                 if kept.num_rows:
                     yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(k.name)).cast(k.type) for k in target], schema=target)
 
 
 class FrameReplaySource(DataSource):
-    """Options: path, a folder of Parquet files with frame_index; steps, how many frames of each episode a trigger takes.
-    The schema must be given. Planning reads footers alone, so files sorted by frame_index are read once."""
+    """Options: path, a folder of Parquet files; by, a column of whole numbers from 0 (frame_index); steps, how many of them a
+    trigger takes. The schema must be given. Planning reads footers alone, so of files sorted by the column each row group
+    is read by the triggers that need it."""
 
     @classmethod
     def name(cls) -> str:
@@ -463,7 +464,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FrameReplaySource)
 
 
-def replay_steps(spark: SparkSession, path: str, schema: StructType, steps: int = 1) -> DataFrame:
+def replay_steps(spark: SparkSession, path: str, schema: StructType, steps: int = 1, by: str = "frame_index") -> DataFrame:
     """Recorded frames as a stream, the next steps of every episode a trigger."""
     register(spark)
-    return spark.readStream.format("frame_replay").schema(schema).option("steps", steps).load(path)
+    return spark.readStream.format("frame_replay").schema(schema).options(steps=steps, by=by).load(path)

@@ -5,14 +5,17 @@ transformWithStateInPandas needs the RocksDB state store; run() sets it for the
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from frameloom.operators.order import Gripper
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -20,31 +23,34 @@ _STATE = {
 }
 
 
-def replay(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Recorded frames as a stream, a few files at a time."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-
-
-def ticks(spark: SparkSession, hz: int = 15) -> DataFrame:
-    """A fixed-rate clock."""
-    return spark.readStream.format("rate").option("rowsPerSecond", hz).load()
-
-
-def run(stream: DataFrame, mode: str, folder: str) -> DataFrame:
-    """Runs a stream over all that is there now and gives its rows; in update mode the last of each batch count."""
+def run(stream: DataFrame, mode: str, folder: str, stops: int | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and gives its rows with the number of their batch; in update mode the last
+    of each batch count. stops: end the query after so many batches first and start it again on its checkpoint. Batches
+    are written under their number, so one that runs again replaces itself."""
     spark = stream.sparkSession
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
     out = f"{folder}/{uuid.uuid4().hex}"
     schema = stream.schema
+    done: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        done.append(number)
+
+    def start():
+        return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(keep).start()
 
     try:
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(keep).start()
-        query.awaitTermination()
+        if stops:
+            query = start()
+            while len(done) < stops and query.isActive:
+                time.sleep(0.05)
+            query.stop()
+        query = start()
+        query.processAllAvailable()
+        query.stop()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -61,18 +67,6 @@ def appended(stream: DataFrame) -> DataFrame:
     return stream.where("frame_index > 0")
 
 
-def without_discarded(frames: DataFrame, status: DataFrame) -> DataFrame:
-    """Frames of episodes that weren't discarded. status: episode_id, outcome."""
-    return frames.join(status.where("outcome = 'delete'").select("episode_id"), "episode_id", "left_anti")
-
-
-def click_sessions(stream: DataFrame, gap: str = "499999 microseconds", late: str = "0 seconds") -> DataFrame:
-    """Runs of clicks with gaps strictly below half a second, and what they mean."""
-    n = F.count(F.lit(1))
-    windowed = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "episode_id").agg(n.alias("clicks"))
-    return windowed.select("episode_id", F.col("session_window.start").alias("first_ts"), "clicks", F.when(F.col("clicks") == 2, "save").when(F.col("clicks") >= 3, "delete").otherwise("none").alias("outcome"))
-
-
 class Fold(StatefulProcessor):
     """A recurrence for each key: state and result from state and value. Rows with ``reset`` clear the state first."""
 
@@ -134,9 +128,25 @@ def reference_step():
     return step
 
 
-def repeat_last_step(nothing: float = float("-inf")):
-    """The last value again where none has come."""
-    return lambda state, x: ((state[0],), state[0]) if x is None or x != x or x == nothing else ((x,), x)
+def gripper_step(how: Gripper = Gripper()):
+    """Hysteresis for each value: shut from the close threshold on, open at the open threshold once it was shut for the
+    hold; the output is smoothed towards the value, or towards the last output where neither threshold speaks. State:
+    shut, frames since, output (NaN before the first value)."""
+
+    def step(state, x):
+        shut, since, now = state
+        x = min(max(x, how.low), how.high)
+        if now != now:
+            return (float(x >= how.close), 0.0, x), x
+        if shut and (x > how.open or since + 1 < how.hold):
+            since, target = since + 1, max(now, x, how.close)
+        else:
+            target = x if shut or x >= how.close or x <= how.open else now
+            shut, since = float(not shut and x >= how.close), 0.0
+        now = min(max(how.alpha * target + (1 - how.alpha) * now, how.low), how.high)
+        return (shut, since, now), now
+
+    return step
 
 
 class ChunkQueue(StatefulProcessor):
@@ -193,18 +203,3 @@ class ChunkQueue(StatefulProcessor):
 def chunk_actions(stream: DataFrame, queue: ChunkQueue) -> DataFrame:
     schema = StructType([StructField("episode_id", LongType()), StructField("t", LongType()), StructField("action", DoubleType())])
     return stream.groupBy("episode_id").transformWithStateInPandas(queue, schema, "Append", "none")
-
-
-def rates(stream: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """An extension: frames per window, with a watermark."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "episode_id").agg(F.count(F.lit(1)).alias("frames"))
-
-
-def once(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """An extension: repeated frames dropped within a watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["episode_id", "frame_index"])
-
-
-def as_zoned(df: DataFrame) -> DataFrame:
-    """Event times with a zone, which watermarks need."""
-    return df.withColumn("ts", F.col("ts").cast(TimestampType()))
