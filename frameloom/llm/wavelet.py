@@ -53,7 +53,7 @@ def packed(ids: np.ndarray, bits: int, doc_ids: list[int | None], lengths: list[
     body, offsets, ones, zeros, at = [], [], [], [], 0
     v = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for level in range(bits):
-        bit = (v >> (bits - 1 - level)) & 1 == 1
+        bit = (v & v.dtype.type(1 << (bits - 1 - level))).astype(bool)
         before = 0
         for lo in range(0, n, BLOCK):
             part = bit[lo : lo + BLOCK]
@@ -63,7 +63,7 @@ def packed(ids: np.ndarray, bits: int, doc_ids: list[int | None], lengths: list[
             at += len(body[-1])
             before += int(np.count_nonzero(part))
         zeros.append(n - before)
-        v = np.concatenate([v[~bit], v[bit]])
+        v = np.concatenate([v[np.flatnonzero(~bit)], v[np.flatnonzero(bit)]])
     offsets.append(at)
     sections = dict(zip(SECTIONS, (np.array(offsets, "<i8"), np.array(ones, "<i8"), np.array([x or 0 for x in doc_ids], "<i8"), np.array(lengths, "<i8"), np.array([x is None for x in doc_ids], "u1"))))
     about = {"n": n, "bits": bits, "zeros": zeros, "continued": continued, "open": open_end}
@@ -162,8 +162,8 @@ class Shard:
         for level in reversed(range(self.bits)):
             bit = np.concatenate([self.block(level, b) for b in range(self.blocks)] or [np.zeros(0, np.uint8)]) == 1
             above = np.empty_like(v)
-            above[~bit] = v[: self.zeros[level]]
-            above[bit] = v[self.zeros[level] :] | np.array(1 << (self.bits - 1 - level), v.dtype)
+            above[np.flatnonzero(~bit)] = v[: self.zeros[level]]
+            above[np.flatnonzero(bit)] = v[self.zeros[level] :] | v.dtype.type(1 << (self.bits - 1 - level))
             v = above
         return v
 
