@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .episodes import small, whole
+from .quantiles import exact_quantiles
 
 
 def progress(frames: DataFrame) -> DataFrame:
@@ -20,14 +21,15 @@ def squared_error(pred: Column, target: Column) -> Column:
 
 
 def mse_by_phase(samples: DataFrame, sse: str = "sse", n: str = "n") -> DataFrame:
-    """Overall and by phase, in one pass over grouping sets: samples, mse and rmse weighted by elements, and mean, median
-    and 90th percentile of the samples' own mse. samples: phase, sse, n (elements)."""
+    """Overall (phase null) and by phase: samples, mse and rmse weighted by elements, and mean, median and 90th percentile of
+    the samples' own mse. samples: phase, sse, n (elements). Percentiles are exact and gather nothing."""
     own = F.col(sse) / F.col(n)
     mse = F.sum(sse) / F.sum(n)
-    return samples.groupingSets([[], ["phase"]], "phase").agg(
-        F.count(F.lit(1)).alias("samples"), mse.alias("mse"), F.sqrt(mse).alias("rmse"),
-        F.avg(own).alias("mean_sample_mse"), F.median(own).alias("median_sample_mse"), F.percentile(own, F.lit(0.9)).alias("p90_sample_mse"),
-    )
+    sums = samples.groupingSets([[], ["phase"]], "phase").agg(F.count(F.lit(1)).alias("samples"), mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.avg(own).alias("mean_sample_mse"))
+    each = samples.select(F.explode(F.array(F.lit(None).cast("string"), F.col("phase"))).alias("phase"), own.alias("own"))
+    q = exact_quantiles(each, "own", [0.5, 0.9], ["phase"])
+    shares = q.select(F.col("phase").alias("_phase"), F.col("quantiles")[0].alias("median_sample_mse"), F.col("quantiles")[1].alias("p90_sample_mse"))
+    return sums.join(shares, F.col("phase").eqNullSafe(F.col("_phase")), "left").drop("_phase")
 
 
 def mse_by_dim(elements: DataFrame, pred: str, target: str) -> DataFrame:

@@ -51,6 +51,13 @@ def ensemble(chunks: DataFrame, tau: float = 0.5) -> DataFrame:
     return per.groupBy("episode_id", "step").agg(F.avg("a").alias("avg"), F.min_by("a", "chunk_at").alias("old"), F.max_by("a", "chunk_at").alias("new"), folded.alias("act"))
 
 
+def repeated(actions: DataFrame) -> DataFrame:
+    """ensemble() with a row for every step from an episode's first to its last: a step that no chunk covers repeats the
+    last action."""
+    until = F.coalesce(F.lead("step").over(by_episode(order="step")) - 1, F.col("step"))
+    return actions.withColumn("_until", until).withColumn("step", F.explode(F.sequence("step", "_until"))).drop("_until")
+
+
 def sessions(clicks: DataFrame, gap_seconds: float = 0.5) -> DataFrame:
     """Runs of clicks closer than the gap: session, clicks, first_ts, last_ts and outcome (2: save, 3 or more: delete)."""
     w = by_episode()

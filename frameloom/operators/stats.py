@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from frameloom.functions.vectors import denormalised, normalised
 
 from .episodes import whole
+from .quantiles import exact_quantiles
 
 
 def long_form(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
@@ -92,9 +93,9 @@ def outlier_counts(rows: DataFrame, xyz: Column, rotation: Column, gripper: Colu
 
 
 def display_range(rows: DataFrame, x: str) -> DataFrame:
-    """Percentiles 1 and 99 of the positive values."""
-    p = F.percentile(F.when(F.col(x) > 0, F.col(x)), F.array(F.lit(0.01), F.lit(0.99)))
-    return rows.agg(p.alias("p")).select(F.col("p")[0].alias("p1"), F.col("p")[1].alias("p99"))
+    """Percentiles 1 and 99 of the positive values, exact; null if there are none."""
+    q = exact_quantiles(rows.where(F.col(x) > 0), x, [0.01, 0.99]).select(F.col("quantiles")[0].alias("p1"), F.col("quantiles")[1].alias("p99"))
+    return q.agg(F.max("p1").alias("p1"), F.max("p99").alias("p99"))
 
 
 def plot_bounds(rows: DataFrame, x: str, *keys: str) -> DataFrame:

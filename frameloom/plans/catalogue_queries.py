@@ -10,6 +10,7 @@ from frameloom.functions import times
 from frameloom.operators import episodes as ep
 from frameloom.operators import splits
 from frameloom.sources import frames as sources
+from frameloom.sources.texts import parse_nodes
 
 from .registry import FRAMES, frames, query, r6, table, work_folder
 
@@ -173,10 +174,10 @@ def node_free_resources(spark, d):
     k = F.col("s_suppkey")
     kinds = F.array(*[F.lit(x) for x in ("a100_80g", "h200", "V100-32GB", "cpu")])
     line = F.concat_ws(" ", F.concat(F.lit("CPUTot="), 64 + k % 3 * 32), F.concat(F.lit("CPUAlloc="), k % 90), F.concat(F.lit("Features="), F.get(kinds, (k % 4).cast("int"))), F.concat(F.lit("State="), F.when(k % 6 == 0, "DOWN").otherwise("IDLE")), F.concat(F.lit("CfgTRES=cpu=4,gres/gpu="), k % 5 + 1), F.concat(F.lit("Mem="), k % 7, F.lit("G")))
-    m = table(spark, d, "supplier").select(k.alias("id"), F.str_to_map(line, F.lit(" "), F.lit("=")).alias("m"), F.regexp_extract(line, r"CfgTRES=(\S+)", 1).alias("tres"))
-    kind = F.col("m")["Features"]
+    m = parse_nodes(table(spark, d, "supplier").select(k.alias("id"), line.alias("value"))).withColumnRenamed("fields", "m")
+    kind, tres = F.col("m")["Features"], F.col("m")["CfgTRES"]
     out = m.where(~F.col("m")["State"].rlike("DOWN|DRAIN|MAINT|FAIL"))
-    return out.select("id", F.greatest(F.col("m")["CPUTot"].cast("bigint") - F.col("m")["CPUAlloc"].cast("bigint"), F.lit(0)).alias("free_cpu"), tx.gpu_label(kind).alias("label"), tx.gpu_memory(kind).alias("memory"), tx.gpu_count(F.col("tres")).alias("gpus"), tx.memory_mb(F.col("m")["Mem"]).alias("mem_mb"))
+    return out.select("id", F.greatest(F.col("m")["CPUTot"].cast("bigint") - F.col("m")["CPUAlloc"].cast("bigint"), F.lit(0)).alias("free_cpu"), tx.gpu_label(kind).alias("label"), tx.gpu_memory(kind).alias("memory"), tx.gpu_count(tres).alias("gpus"), tx.memory_mb(F.col("m")["Mem"]).alias("mem_mb"))
 
 
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")

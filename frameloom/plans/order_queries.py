@@ -80,6 +80,20 @@ def temporal_ensemble(spark, d):
     return out.select("episode_id", "step", *[r6(c).alias(c) for c in ("avg", "old", "new", "act")])
 
 
+@query(f"""WITH {FRAMES}, c AS (SELECT episode_id, frame_index AS chunk_at, list(value) OVER (PARTITION BY episode_id ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS chunk FROM f),
+p AS (SELECT episode_id, chunk_at, chunk_at + i - 1 AS step, chunk[i] + chunk_at AS a FROM c, range(1, 7) r(i) WHERE chunk_at % 9 < 2 AND i <= len(chunk)),
+o AS (SELECT episode_id, step, list_reduce(list(a ORDER BY chunk_at), lambda z, y: z * 0.5 + y * 0.5) AS act FROM p GROUP BY 1, 2),
+k AS (SELECT episode_id, unnest(range(min(step), max(step) + 1)) AS step FROM o GROUP BY 1)
+SELECT k.episode_id, k.step, round(o.act, 6) AS act FROM k ASOF JOIN o ON k.episode_id = o.episode_id AND k.step >= o.step""")
+def temporal_ensemble_gaps(spark, d):
+    """Chunks that leave steps uncovered: the last action is repeated there."""
+    f = frames(spark, d)
+    chunk = F.collect_list("value").over(by_episode().rowsBetween(0, 5))
+    chunks = f.select("episode_id", F.col("frame_index").alias("chunk_at"), chunk.alias("values")).where("chunk_at % 9 < 2")
+    out = od.repeated(od.ensemble(chunks.withColumn("values", F.transform("values", lambda v: v + F.col("chunk_at")))))
+    return out.select("episode_id", "step", r6("act").alias("act"))
+
+
 @query(f"""WITH {FRAMES}, g AS (SELECT *, CASE WHEN (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY episode_id ORDER BY frame_index))) / 1e6 < 7200 THEN 0 ELSE 1 END AS new FROM f),
 s AS (SELECT *, sum(new) OVER (PARTITION BY episode_id ORDER BY frame_index)::BIGINT AS session FROM g), o AS (SELECT episode_id, session, count(*) AS clicks FROM s GROUP BY 1, 2)
 SELECT *, CASE WHEN clicks = 2 THEN 'save' WHEN clicks >= 3 THEN 'delete' ELSE 'none' END AS outcome FROM o""")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.operators.episodes import numbered
+from frameloom.operators.tables import work_folder  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,15 +62,5 @@ LINES = """n AS (SELECT l_orderkey AS episode_id, row_number() OVER (PARTITION B
   [l_quantity / 100, l_extendedprice / 99991, l_discount, l_tax, l_quantity * l_discount / 10, l_discount - l_tax]::DOUBLE[] AS state, l_discount * 10 AS gripper FROM lineitem)"""
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="frameloom-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)

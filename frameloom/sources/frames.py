@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.text import EXCLUDED_ENDINGS, natural_key
@@ -37,40 +37,62 @@ def safe_pickle(data: bytes):
     return ArraysOnly(io.BytesIO(data)).load()
 
 
-FRAME = "path string, episode_id string, file string, activated boolean, joint_positions array<double>, ee_pose array<double>, gripper double, control array<double>, touch array<double>, language_instruction string, error string"
+FRAME = "path string, episode_id string, file string, t double, activated boolean, joint_positions array<double>, ee_pose array<double>, gripper double, control array<double>, touch array<double>, language_instruction string, error string"
 
 
 def _vector(x) -> list[float] | None:
     return None if x is None else np.asarray(x, float).reshape(-1).tolist()
 
 
+def _seconds(x) -> float | None:
+    """A frame's time in seconds: a number, or a date and time as text (UTC where it has no zone); null if it is neither."""
+    try:
+        return float(np.asarray(x.decode() if isinstance(x, bytes) else x, float).reshape(-1)[0])
+    except (TypeError, ValueError, IndexError):
+        pass
+    try:
+        t = pd.Timestamp(x.decode() if isinstance(x, bytes) else x)
+        return None if t is pd.NaT else (t.tz_localize("UTC") if t.tz is None else t).timestamp()
+    except (TypeError, ValueError):
+        return None
+
+
 def _frame_row(path: str, data: bytes) -> tuple:
-    folder, file = path.rsplit("/", 1)
-    head = (path, folder.rsplit("/", 1)[-1], file)
+    head = (path, *path.rsplit("/", 2)[1:])
     try:
         f = safe_pickle(data)
         active = f.get("activated", True)
         active = bool(active.get("l") or active.get("r")) if isinstance(active, dict) else bool(active)
         grip = f.get("gripper_position")
-        return (*head, active, _vector(f.get("joint_positions")), _vector(f.get("ee_pos_quat")), None if grip is None else float(np.asarray(grip).reshape(-1)[0]), _vector(f.get("control")), _vector(f.get("touch")), f.get("language_instruction"), None)
+        return (*head, _seconds(f.get("timestamp")), active, _vector(f.get("joint_positions")), _vector(f.get("ee_pos_quat")), None if grip is None else float(np.asarray(grip).reshape(-1)[0]), _vector(f.get("control")), _vector(f.get("touch")), f.get("language_instruction"), None)
     except Exception as e:  # an unreadable file is a row, not an abort
-        return (*head, None, None, None, None, None, None, None, type(e).__name__)
+        return (*head, *[None] * 8, type(e).__name__)
 
 
 def read_pickles(spark: SparkSession, path: str, active_only: bool = True) -> DataFrame:
-    """One row for each frame file below a path, in natural order within its folder (frame_index). A boolean
-    ``activated`` counts for both hands. Unreadable files are left out; unreadable() lists them."""
+    """One row for each frame file below a path, in natural order within its folder (frame_index). An episode is a folder,
+    named by its path below ``path`` (its own name if it is that folder). t is the frame's timestamp, else its
+    frame_index. A boolean ``activated`` counts for both hands. Unreadable files are left out; unreadable() lists them."""
     rows = _pickles(spark, path).where("error is null")
+    order = Window.partitionBy("episode_id").orderBy(natural_key(F.col("file")))
     if active_only:
         rows = rows.where("activated")
-    order = Window.partitionBy("episode_id").orderBy(natural_key(F.col("file")))
-    return rows.withColumn("frame_index", (F.row_number().over(order) - 1).cast("bigint")).drop("error")
+    rows = rows.withColumn("frame_index", (F.row_number().over(order) - 1).cast("bigint"))
+    return rows.withColumn("t", F.coalesce("t", F.col("frame_index").cast("double"))).drop("error")
 
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
     return _pickles(spark, path).where("error is not null").select("path", "episode_id", "file", "error")
 
 
+def _below(folder: Column, root: str) -> Column:
+    """A folder's path below a root, whatever scheme either is written with; the root's own name for the root itself."""
+    plain = root.split("://", 1)[-1] if "://" in root else root.removeprefix("file:")
+    plain = "/" + plain.strip("/")
+    inside = F.substring_index(folder, plain + "/", -1) if plain != "/" else F.ltrim(folder, F.lit("/"))
+    return F.when(folder.endswith(plain), F.lit(plain.rsplit("/", 1)[-1])).otherwise(inside)
+
+
 def _pickles(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pkl").load(path)
 
@@ -79,7 +101,47 @@ def _pickles(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([_frame_row(p, d) for p, d in zip(batch["path"], batch["content"])], columns=names)
 
-    return files.select("path", "content").mapInPandas(decode, FRAME)
+    rows = files.select("path", "content").mapInPandas(decode, FRAME)
+    return rows.withColumn("episode_id", _below(F.regexp_extract("path", "^(.*)/[^/]*$", 1), path))
+
+
+def listing(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
+    """Files below a path, as Spark's own file index finds them on any of its stores: path, folder (below the path), name,
+    length, modified. Contents aren't read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", files).load(path)
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return rows.select("path", _below(folder, path).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", F.col("modificationTime").alias("modified"))
+
+
+def trajectory_listing(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Trajectory files below a path in order of their paths, the first ``limit`` of them."""
+    found = listing(spark, path, "*.{h5,npz}").where((F.col("name").endswith(".h5")) | (F.col("name") == "trajectory.npz")).orderBy("path")
+    return found.limit(limit) if limit is not None else found
+
+
+def episode_lengths(spark: SparkSession, path: str, opener: str | None = None) -> DataFrame:
+    """Episodes below a path in natural order of their names, with n_frames, without decoding any: trajectory files by
+    their attribute, times or first series, opened where the tasks run; folders of pickles by counting. opener:
+    module:name, as for the trajectory source."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .trajectories import opened
+
+        for batch in batches:
+            n = []
+            for p in batch["path"]:
+                with opened(p, opener) as f:
+                    n.append(frames_in(f))
+            yield batch[["episode_id"]].assign(n_frames=n)
+
+    files = listing(spark, path, "*.{h5,npz,pkl}")
+    own = F.concat_ws("/", F.when(F.col("folder") != F.lit(path.rstrip("/").rsplit("/", 1)[-1]), F.col("folder")), F.regexp_replace("name", r"\.h5$", ""))
+    held = files.where((F.col("name").endswith(".h5")) | (F.col("name") == "trajectory.npz"))
+    named = held.select("path", F.when(F.col("name").isin("trajectory.h5", "trajectory.npz"), F.col("folder")).otherwise(own).alias("episode_id"))
+    one = named.mapInPandas(count, "episode_id string, n_frames bigint")
+    other = files.where(F.col("name").endswith(".pkl")).groupBy(F.col("folder").alias("episode_id")).agg(F.count(F.lit(1)).alias("n_frames"))
+    found = one.unionByName(other.join(one.select("episode_id"), "episode_id", "left_anti"))
+    return found.orderBy(natural_key(F.col("episode_id")), "episode_id")
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
@@ -105,11 +167,13 @@ JSONL = "timestamp double, action array<double>, language_instruction string, ob
 
 
 def read_jsonl(spark: SparkSession, path: str, files: str = "*.jsonl", episode: str = r"([^/]+)\.jsonl$") -> DataFrame:
-    """Episodes in JSONL files, one a file; frames by their timestamp. episode: the pattern that finds an episode's name
-    in its file's path."""
+    """Episodes in JSONL files, one a file; frames by their timestamp, equal and missing times by their place in the file.
+    episode: the pattern that finds an episode's name in its file's path."""
     rows = spark.read.schema(JSONL).option("recursiveFileLookup", "true").option("pathGlobFilter", files).json(path)
-    out = rows.select(F.regexp_extract(F.col("_metadata.file_path"), episode, 1).alias("episode_id"), "timestamp", "action", "language_instruction", F.col("observation.state").alias("state"), F.col("observation.images").alias("images"))
-    return out.withColumn("frame_index", (F.row_number().over(Window.partitionBy("episode_id").orderBy("timestamp")) - 1).cast("bigint"))
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    out = rows.select(F.regexp_extract(F.col("_metadata.file_path"), episode, 1).alias("episode_id"), at.alias("_at"), "timestamp", "action", "language_instruction", F.col("observation.state").alias("state"), F.col("observation.images").alias("images"))
+    order = Window.partitionBy("episode_id").orderBy("timestamp", "_at")
+    return out.withColumn("frame_index", (F.row_number().over(order) - 1).cast("bigint")).drop("_at")
 
 
 def read_lerobot(spark: SparkSession, path: str) -> DataFrame:
@@ -207,16 +271,21 @@ def read_episodes(spark: SparkSession, path: str) -> DataFrame:
     return READERS[layout](spark, path)
 
 
+def frames_in(f) -> int:
+    """Frames of an open trajectory file: the attribute, the times, or the first series."""
+    if "frame_count" in f.attrs:
+        return int(f.attrs["frame_count"])
+    if "timestamps" in f:
+        return len(f["timestamps"])
+    return len(next(iter(f["frames"].values()))) if "frames" in f and len(f["frames"]) else 0
+
+
 def episode_length(path: str, opener=None) -> int:
-    """Frames of an episode without decoding it: the attribute, the times, the first series, or the pickles."""
+    """Frames of one local episode without decoding it; episode_lengths() does that for all below a path."""
     h5 = os.path.join(path, "trajectory.h5") if os.path.isdir(path) else path
     if h5.endswith(".h5") and os.path.exists(h5):
         with (opener or need_h5().File)(h5, "r") as f:
-            if "frame_count" in f.attrs:
-                return int(f.attrs["frame_count"])
-            if "timestamps" in f:
-                return len(f["timestamps"])
-            return len(next(iter(f["frames"].values()))) if "frames" in f and len(f["frames"]) else 0
+            return frames_in(f)
     return sum(n.endswith(".pkl") for n in os.listdir(path))
 
 

@@ -61,8 +61,12 @@ def parse_headset(lines: DataFrame, tag: str = HEADSET_TAG) -> DataFrame:
 
 
 def parse_nodes(lines: DataFrame) -> DataFrame:
-    """``Key=Value`` tokens of a node description as a map. lines: value."""
-    return lines.select(F.str_to_map("value", F.lit(" "), F.lit("=")).alias("fields"))
+    """lines with ``fields``, the ``Key=Value`` tokens of the node description in value as a map. A value may hold the sign
+    itself; of equal keys the last counts; a token without the sign has a null value."""
+    pairs = F.transform(F.filter(F.split("value", " +"), lambda t: t != ""), lambda t: F.split(t, "=", 2))
+    entries = F.transform(pairs, lambda p: F.struct(p[0].alias("key"), F.get(p, F.lit(1)).alias("value")))
+    newest = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    return lines.withColumn("fields", F.map_from_entries(newest))
 
 
 def load_yaml(path: str) -> dict:

@@ -168,3 +168,61 @@ def test_sinks(spark, tmp_path):
     streams = spark.createDataFrame([("e", "s", b"o", False), ("e", "u", b"o", True)], "episode_id string, stream string, payload binary, replaced boolean")
     new = spark.createDataFrame([("e", "s", b"n"), ("e", "u", b"n")], "episode_id string, stream string, payload binary")
     assert {r.stream: (bytes(r.payload), r.replaced) for r in sinks.replaced_streams(streams, new).collect()} == {"s": (b"n", True), "u": (b"o", True)}
+
+
+def test_pickles_of_equal_folder_names_and_times(spark, tmp_path):
+    for root, base in (("a", 0), ("b", 100)):
+        (tmp_path / root / "ep1").mkdir(parents=True)
+        times = [5.5, "2024-01-01T00:00:02", None]
+        for i, t in enumerate(times):
+            (tmp_path / root / "ep1" / f"f{i}.pkl").write_bytes(pickle.dumps(frame(base + i) | ({} if t is None else {"timestamp": t})))
+    rows = fr.read_pickles(spark, str(tmp_path)).orderBy("episode_id", "frame_index").collect()
+    assert [(r.episode_id, r.frame_index, r.control[0]) for r in rows] == [(f"{e}/ep1", i, b + i + 10.0) for e, b in (("a", 0), ("b", 100)) for i in range(3)]
+    assert [r.t for r in rows[:3]] == [5.5, 1704067202.0, 2.0]
+    own = fr.read_pickles(spark, f"file://{tmp_path}/a/ep1")
+    assert {r.episode_id for r in own.collect()} == {"ep1"}
+
+
+def test_jsonl_frames_of_equal_times_keep_their_place(spark, tmp_path):
+    with (tmp_path / "e.jsonl").open("w") as f:
+        for i, t in enumerate([3, 1, 1, None, 1, None]):
+            f.write(json.dumps({"timestamp": t, "action": [i]}) + "\n")
+    rows = fr.read_jsonl(spark, str(tmp_path)).orderBy("frame_index").collect()
+    assert [r.action[0] for r in rows] == [3.0, 5.0, 1.0, 2.0, 4.0, 0.0]
+
+
+def test_nodes_keep_signs_and_the_last_of_equal_keys(spark):
+    lines = spark.createDataFrame([("n1", "State=IDLE  CfgTRES=cpu=4,gres/gpu=2 Flag State=DOWN")], "name string, value string")
+    row = texts.parse_nodes(lines).first()
+    assert row["name"] == "n1" and row["fields"] == {"State": "DOWN", "CfgTRES": "cpu=4,gres/gpu=2", "Flag": None}
+
+
+def test_projection_of_image_pairs(spark):
+    from frameloom.functions import images
+
+    rng = np.random.default_rng(2)
+    pixels = [rng.integers(0, 255, (8, 6, 3), dtype=np.uint8) for _ in range(4)]
+    rows = [(i, pixels[i].tobytes(), None if i == 3 else pixels[i - 1].tobytes()) for i in range(4)]
+    df = spark.createDataFrame(rows, "i int, l binary, r binary").repartition(3)
+    got = {r["i"]: np.array(r["tactile_embedding"]) for r in images.project_pairs(df, "l", "r", (8, 6, 3), 16).collect()}
+    for i, (_, a, b) in enumerate(rows):
+        want = images.Projection(16)(pixels[i], None if b is None else pixels[i - 1])
+        assert np.allclose(got[i], want, atol=1e-6)
+        norms = np.linalg.norm(got[i].reshape(2, -1), axis=1)
+        assert abs(norms[0] - 1) < 1e-5 and (abs(norms[1] - 1) < 1e-5 or norms[1] == 0)
+
+
+def test_newest_force_is_sent_each_batch(spark, tmp_path):
+    import socket
+
+    spark.createDataFrame([(1, 0.5, 0.25), (2, 0.12345, 1.0)], "ts int, l double, r double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts int, l double, r double").parquet(str(tmp_path / "in"))
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as listener:
+        listener.bind(("127.0.0.1", 0))
+        listener.settimeout(30)
+        query = sinks.send_packets(stream, "127.0.0.1", listener.getsockname()[1], "l", "r").option("checkpointLocation", str(tmp_path / "state")).start()
+        query.processAllAvailable()
+        query.stop()
+        text = listener.recv(1000).decode()
+    assert "0.1234" in text or "0.1235" in text
+    assert "1.0000" in text
