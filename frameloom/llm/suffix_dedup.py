@@ -1,14 +1,18 @@
 """Passages that repeat across documents, by a sparse suffix array.
 
 Suffixes are kept only at minimiser positions: the smallest hash of ``gram`` words in each run of such hashes that a
-passage of ``least`` words must contain. Equal passages of that length keep equal positions. Of the suffixes kept, those
-whose first words occur in more than one document take part, in one of two ways:
-
-* Where at most NEAR + 1 suffixes begin alike, all of their pairs are compared, to the right along the suffix and to the
-  left before it. Where both together reach ``least`` words, both documents hold a repeated passage.
-* Where more begin alike, pairs would grow with the square. There each run of ``least`` words is known by its 64-bit hash
-  and belongs to the one suffix that is its minimiser. Suffixes with the same runs are counted as one; a run that two
-  documents hold is a repeated passage. No partner is left out, however many there are.
+passage of ``least`` words must contain. Equal passages of that length keep equal positions. Suffixes whose first words
+occur in more than one document take part:
+
+* They are sorted by their following words, and by the words before them read backwards, and neighbours in either order are
+  compared: the lengths of their common beginnings part the order into intervals, one for each number of words to the right
+  or to the left. A suffix's ``least`` words with l of them on the left repeat where an interval of l words to the left
+  and one of least - gram - l to the right have suffixes of two documents in common, whoever lies between them in either
+  order. So matches extend to both sides at once, and nothing is compared pair by pair.
+* Where more than WHOLE suffixes begin alike (a passage of a third of all documents), no task can sort them all. There each
+  run of ``least`` words is known by its 64-bit hash and belongs to the one suffix that is its minimiser. Suffixes with
+  the same runs are counted as one; a run that two documents hold is a repeated passage. No partner is left out,
+  however many there are.
 
 Spans of a document are then merged.
 """
@@ -27,8 +31,8 @@ from .common import bits_for, slices, texts_of, written
 
 LEAST = 50
 GRAM = 10
-#: Groups of up to NEAR + 1 suffixes are compared pair by pair, larger ones by the hashes of their runs.
-NEAR = 4
+#: Suffixes that begin alike are sorted in one task up to this number; larger groups go by the hashes of their runs.
+WHOLE = 4096
 #: Runs of one row at most; they are numbered by the bits of a bigint.
 PART = 60
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -97,37 +101,44 @@ def repeated_grams(docs: DataFrame, least: int, gram: int) -> DataFrame:
 
 
 def _bits(grams: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes, 2 to 64 MB by their number. A set bit is a candidate; false ones only cost time."""
+    """A bitmap of the hashes, 2 to 64 MB by their number, eight to a byte. A set bit is a candidate; false ones only cost
+    time."""
     size = bits_for(grams.count())
     at = F.pmod("g", F.lit(size))
-    bits = np.zeros(size, bool)
-    for bucket, data in grams.groupBy(F.floor(at / 32768).alias("b")).agg(F.bitmap_construct_agg(at % 32768)).collect():
-        bits[bucket * 32768 : (bucket + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(data), np.uint8), bitorder="little")
-    return np.packbits(bits)
+    bits = np.zeros(size // 8, np.uint8)
+    for bucket, data in grams.groupBy(F.floor(at / 32768).alias("b")).agg(F.bitmap_construct_agg(at % 32768)).toLocalIterator():
+        bits[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(bytes(data), np.uint8)
+    return bits
+
+
+def _has(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set."""
+    at = g % (8 * len(bits))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 _ROW = "g bigint, doc_id bigint, at bigint, words bigint, ahead binary, back binary, runs array<bigint>"
 
 
 def suffixes(docs: DataFrame, bits: np.ndarray, many: np.ndarray, least: int, gram: int) -> DataFrame:
-    """g, doc_id, at (word), words (of the document), ahead and back (two bytes for each of the next, previous words).
+    """g, doc_id, at (word), words (of the document), ahead and back (four bytes for each of the next, previous words).
     Suffixes whose g is in ``many`` have, in place of ahead and back, at as the first of the runs they own, and the
     hashes of these runs of ``least`` words."""
     told = docs.sparkSession.sparkContext.broadcast((bits, many))
     far = least - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, crowd = (np.unpackbits(x).astype(bool) for x in told.value)
+        known, crowd = told.value
         for batch in slices(batches):
             rows, grams, ats, sizes, aheads, backs, runs = [], [], [], [], [], [], []
             for i, text in enumerate(texts_of(batch.column("text"))):
                 h, g, at, first, owned = _anchors(text, least, gram)
-                hit = known[g % len(known)] if len(g) else np.empty(0, bool)
+                hit = _has(known, g)
                 g, at, first, owned = g[hit], at[hit], first[hit], owned[hit]
                 if not len(at):
                     continue
                 n = len(h)
-                large = crowd[g % len(crowd)]
+                large = _has(crowd, g)
                 if large.any():
                     whole = gram_hashes(h, least).view(np.int64)
                     cuts = [(x, y, min(y + PART, x + m)) for x, m in zip(first[large].tolist(), owned[large].tolist()) for y in range(x, x + m, PART)]
@@ -138,9 +149,9 @@ def suffixes(docs: DataFrame, bits: np.ndarray, many: np.ndarray, least: int, gr
                     rows.append(np.full(k, i)), grams.append(np.repeat(g[large], -(-owned[large] // PART))), ats.append(np.array([y for _, y, _ in cuts])), sizes.append(np.full(k, n))
                 g, at = g[~large], at[~large]
                 if len(at):
-                    short = np.concatenate([h & np.uint64(0xFFFF), np.zeros(1, np.uint64)]).astype(">u2")
+                    short = np.concatenate([h >> np.uint64(32), np.zeros(1, np.uint64)]).astype(">u4")
                     right = at[:, None] + gram + np.arange(far)
-                    left = at[:, None] - 1 - np.arange(least)
+                    left = at[:, None] - 1 - np.arange(far)
                     aheads += [x.tobytes() for x in short[np.minimum(right, n)]]
                     backs += [x.tobytes() for x in short[np.where(left < 0, n, left)]]
                     runs += [None] * len(at)
@@ -151,52 +162,80 @@ def suffixes(docs: DataFrame, bits: np.ndarray, many: np.ndarray, least: int, gr
     return docs.mapInArrow(cut, _ROW)
 
 
-def _matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common start of each pair of rows."""
-    same = a == b
-    return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
+def _steps(g: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each row of an order, how many words it begins with as the row before it does; -1 where g changes."""
+    if not len(g):
+        return np.empty(0, np.int64)
+    same = words[1:] == words[:-1]
+    common = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
+    return np.concatenate([[-1], np.where(g[1:] == g[:-1], common, -1)])
 
 
-def _neighbours(t: pa.Table, least: int, gram: int) -> pa.Table:
-    """doc_id, start, stop, twin of pairs up to NEAR apart in the table that share a passage."""
-    n = t.num_rows
+def _shared(t: pa.Table, least: int, gram: int) -> pa.Table:
+    """doc_id, start, stop, twin of the passages of whole groups of suffixes, which are sorted by g and ahead."""
+    n, far = t.num_rows, least - gram
     g, doc, at, words = (t.column(c).to_numpy() for c in ("g", "doc_id", "at", "words"))
-    as_grid = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), ">u2").reshape(n, -1)
+    as_grid = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), ">u4").reshape(n, -1)
     ahead, back = as_grid("ahead"), as_grid("back")
-    out = []
-    for step in range(1, NEAR + 1):
-        i = np.flatnonzero((g[step:] == g[:-step]) & (doc[step:] != doc[:-step])) if n > step else np.empty(0, np.int64)
-        if not len(i):
+    # The order to the left: by g, then by the words before the suffix, the nearest first.
+    keyed = np.concatenate([g.astype(">i8").view(np.uint8).reshape(n, 8), np.ascontiguousarray(back).view(np.uint8).reshape(n, -1)], axis=1)
+    leftward = np.argsort(keyed.view(f"V{keyed.shape[1]}").ravel(), kind="stable")
+    right_steps, left_steps = _steps(g, ahead), _steps(g[leftward], back[leftward])
+    room = np.minimum(words - at - gram, far)
+    hit, twin = np.zeros((n, far + 2), np.int8), np.full(n, np.iinfo(np.int64).max)
+    for left in range(far + 1):
+        right = far - left
+        rows = np.flatnonzero((at >= left) & (room >= right))
+        if len(rows) < 2:
             continue
-        j = i + step
-        right = np.minimum(_matched(ahead[i], ahead[j]), np.minimum(words[i] - at[i], words[j] - at[j]) - gram)
-        left = np.minimum(_matched(back[i], back[j]), np.minimum(at[i], at[j]))
-        ok = left + right + gram >= least
-        i, j, right, left = i[ok], j[ok], right[ok], left[ok]
-        for x, y in ((i, j), (j, i)):
-            out.append((doc[x], at[x] - left, at[x] + gram + right, doc[y]))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 4
-    return pa.table(dict(zip(("doc_id", "start", "stop", "twin"), columns)))
-
-
-def _paired(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """Spans found among all pairs of rows that share g, of which there are at most NEAR + 1."""
+        interval = np.empty(n, np.int64)
+        interval[leftward] = np.cumsum(left_steps < left)
+        key = np.cumsum(right_steps < right)[rows] * (n + 1) + interval[rows]
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff([*first, len(rows)])
+        least_doc, most_doc = (np.repeat(f.reduceat(doc[rows], first), size) for f in (np.minimum, np.maximum))
+        two = least_doc != most_doc
+        rows = rows[two]
+        hit[rows, left + 1] = 1
+        other = np.where(least_doc[two] != doc[rows], least_doc[two], most_doc[two])
+        twin[rows] = np.minimum(twin[rows], other)
+    # Neighbouring l are one span: from the largest of them to the left to the smallest's end on the right.
+    turn = np.diff(np.concatenate([hit, np.zeros((n, 1), np.int8)], axis=1), axis=1)
+    row, lo = np.nonzero(turn == 1)
+    _, end = np.nonzero(turn == -1)
+    return pa.table({"doc_id": doc[row], "start": at[row] - (end - 1), "stop": at[row] - lo + least, "twin": twin[row]})
+
+
+def _sorted(rows: DataFrame, least: int, gram: int) -> DataFrame:
+    """Spans found in the sorted order of the suffixes; a group of at most WHOLE that begin alike is in one task."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if not t.num_rows:
+            if not batch.num_rows:
+                continue
+            g = batch.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))  # where the last group begins, which may go on
+            if cut == 0 and held and held[-1].column("g")[-1].as_py() == g[-1]:
+                held.append(batch)
                 continue
-            whole = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            found = _neighbours(whole, least, gram).group_by(["doc_id", "start", "stop"]).aggregate([("twin", "min")]).rename_columns(["doc_id", "start", "stop", "twin"])
-            yield from found.combine_chunks().to_batches()
-            held = whole.slice(max(0, whole.num_rows - NEAR))
+            yield from _spans_of([*held, batch.slice(0, cut)], least, gram)
+            held = [batch.slice(cut)]
+        yield from _spans_of(held, least, gram)
 
-    ordered = rows.repartition("g").sortWithinPartitions("g", "doc_id", "at")
+    ordered = rows.repartition("g").sortWithinPartitions("g", "ahead")
     return ordered.mapInArrow(compare, "doc_id bigint, start bigint, stop bigint, twin bigint")
 
 
+def _spans_of(parts: list[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches([p for p in parts if p.num_rows]).combine_chunks() if any(p.num_rows for p in parts) else None
+    if t is not None and t.num_rows > 1:
+        found = _shared(t, least, gram).group_by(["doc_id", "start", "stop"]).aggregate([("twin", "min")]).rename_columns(["doc_id", "start", "stop", "twin"])
+        yield from found.combine_chunks().to_batches()
+
+
 def _crowded(rows: DataFrame, least: int) -> DataFrame:
     """Spans of the runs that more than one document holds. rows: doc_id, at (of the first run), runs (hashes).
     Rows with the same runs form a kind; where one document alone has the kind, its runs are looked up one by one."""
@@ -227,20 +266,19 @@ def merged(spans: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, twin_id for each passage of at least ``least`` words that
-    another document holds too; twin_id is another document that shares a part of it, the smallest such doc_id that was
-    met (where more than NEAR + 1 suffixes begin alike, a document that is itself the smallest gets the largest).
+    another document holds too; twin_id is another document that shares a part of it: the smallest that holds the same
+    ``least`` words somewhere, or the largest where the document is itself the smallest.
 
     Words are runs without ASCII white space, A-Z lower-cased. Null and short texts have no passages; rows with a null
     doc_id take no part; rows that repeat a doc_id count as one document. Repeats within one document alone don't count.
-    Ends of a passage are found by 16-bit word hashes (an end is a word late with chance 1/65536) or, in large groups, by
-    64-bit hashes of whole runs. Empty tables give
-    empty results; extra columns are ignored.
+    Words are told apart by 32 bits of their hashes beyond the first ``gram``, which are told apart by 64 bits together; in
+    groups above WHOLE, runs by 64 bits. Empty tables give empty results; extra columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null")
     grams = written(repeated_grams(rows, least, gram), "grams")
-    kept = written(suffixes(rows, _bits(grams), _bits(grams.where(F.col("n") > NEAR + 1)), least, gram), "suffixes")
+    kept = written(suffixes(rows, _bits(grams), _bits(grams.where(F.col("n") > WHOLE)), least, gram), "suffixes")
     few, many = kept.where("runs is null").drop("runs"), kept.where("runs is not null")
-    spans = _paired(few, least, gram).unionByName(_crowded(many, least)).groupBy("doc_id", "start", "stop").agg(F.min("twin").alias("twin"))
+    spans = _sorted(few, least, gram).unionByName(_crowded(many, least)).groupBy("doc_id", "start", "stop").agg(F.min("twin").alias("twin"))
     return merged(spans).select("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("end_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("twin").alias("twin_id"))
 
 

@@ -7,12 +7,12 @@ from frameloom.llm import suffix_dedup as s
 from tests.llm.conftest import prose
 
 
-def covered(rows, least):
+def covered(rows, least, cut=lambda text: text.lower().split()):
     """Words inside any run of ``least`` words that another document has too."""
     words = {}
     for doc_id, text in rows:
         if doc_id is not None:
-            words.setdefault(doc_id, (text or "").lower().split())
+            words.setdefault(doc_id, cut(text or ""))
     seen = {}
     for d, w in words.items():
         for i in range(len(w) - least + 1):
@@ -27,8 +27,14 @@ def covered(rows, least):
     return out
 
 
+@pytest.fixture(params=[4096, 3])
+def whole(request, monkeypatch):
+    """Groups sorted whole, and all but the smallest by the hashes of their runs."""
+    monkeypatch.setattr(s, "WHOLE", request.param)
+
+
 @pytest.mark.parametrize("seed", range(3))
-def test_equals_brute_force(spark, seed):
+def test_equals_brute_force(spark, seed, whole):
     rng = random.Random(seed)
     passages = [prose(rng, rng.randint(45, 90)) for _ in range(6)]
     rows = []
@@ -74,7 +80,7 @@ def marks(spark, rows):
     return got
 
 
-def test_hundreds_of_repeats_in_one_document(spark):
+def test_hundreds_of_repeats_in_one_document(spark, whole):
     rng = random.Random(8)
     passage = prose(rng, 55)
     often = lambda n: (prose(rng, 45) + " " + passage + " ") * n
@@ -83,7 +89,7 @@ def test_hundreds_of_repeats_in_one_document(spark):
     assert all((got[d] == want[d]).all() for d in want) and want[1].sum() >= 300 * 55
 
 
-def test_frequent_middle_with_both_sides_shared(spark):
+def test_frequent_middle_with_both_sides_shared(spark, whole):
     """A line of 40 words between every left and every right side; a few documents have one partner that shares both."""
     rng = random.Random(9)
     line = prose(rng, 40)
@@ -93,3 +99,43 @@ def test_frequent_middle_with_both_sides_shared(spark):
     got, want = marks(spark, rows), covered(rows, 50)
     assert all((got[d] == want[d]).all() for d in want)
     assert sum(w.any() for w in want.values()) >= 20
+
+
+def test_whole_table_against_brute_force(spark):
+    """All documents of sf0.01: no word missed, none too many."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = covered(rows, 50, lambda t: t.encode().lower().split())
+    got = {d: np.zeros(len(w), bool) for d, w in want.items()}
+    for r in s.op4_suffix_dedup(spark, "/root/testdata/sf0.01").collect():
+        got[r.doc_id][r.start_word : r.end_word] = True
+    assert sum(int(w.sum()) for w in want.values()) > 50_000
+    assert all((got[d] == want[d]).all() for d in want)
+
+
+def test_a_large_group_takes_no_quadratic_step():
+    """4,096 suffixes that begin alike, all different further out, and the same where all are equal."""
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n = s.WHOLE
+    for distinct in (True, False):
+        words = rng.integers(0, 3 if distinct else 1, (2, n, 40)).astype(">u4")
+        order = np.lexsort(words[0].T[::-1])
+        t = pa.table({"g": np.full(n, 5), "doc_id": np.arange(n)[order], "at": np.full(n, 60), "words": np.full(n, 200), "ahead": pa.array([x.tobytes() for x in words[0][order]], pa.binary()), "back": pa.array([x.tobytes() for x in words[1][order]], pa.binary())})
+        began = time.process_time()
+        found = s._shared(t, 50, 10)
+        assert time.process_time() - began < 3
+        assert found.num_rows == (0 if distinct else n)
+
+
+def test_bitmaps_stay_packed():
+    bits = np.zeros(1 << 10, np.uint8)
+    g = np.random.default_rng(1).integers(-(2**63), 2**63, 500)
+    for x in g[:100].tolist():
+        at = x % (8 * len(bits))
+        bits[at >> 3] |= 1 << (at & 7)
+    has = s._has(bits, g)
+    assert has[:100].all() and has[100:].sum() < 60 and len(s._has(bits, g[:0])) == 0
