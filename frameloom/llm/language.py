@@ -24,8 +24,11 @@ SMOOTH = 0.5
 #: Log-likelihood that each further language must gain for each unit of log(words + 1).
 PENALTY = 3.0
 ROUNDS = 12
-#: More values of lang than there are written languages; up to so many, counts take 256 KB of a task's memory each.
-LANGUAGES = 1000
+#: More values of lang are refused; up to so many, counts take 256 KB of a task's memory each, and the driver gets 8 million
+#: counts of 24 bytes at most.
+LANGUAGES = 256
+#: Likelihoods (words times languages) that are held at once; those of a longer text are worked out again in every round.
+HELD = 2_000_000
 #: Letters keep their byte, all else is the space 0.
 _BYTE = np.array([b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint32)
 
@@ -65,10 +68,13 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "gram", "n"])
 
-    rows = used.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
+    rows = used.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    coded = rows["lang"].combine_chunks().dictionary_encode()
+    coded = coded if isinstance(coded, pa.DictionaryArray) else coded.combine_chunks()
+    langs = sorted(coded.dictionary.to_pylist())
+    place = np.array([langs.index(x) for x in coded.dictionary.to_pylist()], np.int64)
     counts = np.zeros((TABLE, len(langs)))
-    counts[rows["gram"].to_numpy(), np.searchsorted(langs, rows["lang"].to_numpy().astype(str)) if langs else []] = rows["n"]
+    counts[rows["gram"].to_numpy(), place[coded.indices.to_numpy()]] = rows["n"].to_numpy()
     return langs, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * TABLE)).astype(np.float32)
 
 
@@ -83,6 +89,55 @@ def shares(words: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(np.log((p * share).sum(axis=1)).sum() + top.sum())
 
 
+class Words:
+    """Log-likelihoods of a text's words [word, language], in parts of HELD values at most. Words that are alike are one
+    word with a count, and its likelihoods are worked out anew whenever the parts are gone through."""
+
+    def __init__(self, gram: np.ndarray, starts: np.ndarray):
+        ends = np.concatenate([starts[1:], [len(gram)]])
+        mixed = (gram.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= (np.arange(len(gram), dtype=np.uint64) - np.repeat(starts, ends - starts).astype(np.uint64)) * np.uint64(2) + np.uint64(1)
+        _, first, self.count = np.unique(np.add.reduceat(mixed, starts), return_index=True, return_counts=True)
+        self.gram, self.lo, self.hi = gram, starts[first], ends[first]
+        self.n = int(self.count.sum())
+
+    def parts(self, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Log-likelihoods by some columns of the table, and how often each word occurs."""
+        most = max(1, HELD // table.shape[1])
+        size = self.hi - self.lo
+        part = (np.cumsum(size) - size) // most
+        for k in np.unique(part):
+            here = part == k
+            lo, size_ = self.lo[here], size[here]
+            at = np.arange(size_.sum()) - np.repeat(np.cumsum(size_) - size_, size_) + np.repeat(lo, size_)
+            cuts = np.cumsum(size_) - size_
+            # A word longer than a part is summed in pieces.
+            words = np.zeros((len(lo), table.shape[1]))
+            for piece in range(0, len(at), most):
+                owner = np.searchsorted(cuts, np.arange(piece, min(piece + most, len(at))), "right") - 1
+                turn = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                words[owner[turn]] += np.add.reduceat(table[self.gram[at[piece : piece + most]]], turn, axis=0)
+            yield words, self.count[here]
+
+
+def shares_of(words: Words, table: np.ndarray) -> tuple[np.ndarray, float]:
+    """shares() of words in parts, among the table's languages."""
+    n = table.shape[1]
+    share = np.full(n, 1 / n)
+    for turn in range(ROUNDS + 1):
+        total, likelihood = np.zeros(n), 0.0
+        for w, count in words.parts(table):
+            top = w.max(axis=1, keepdims=True)
+            r = np.exp(w - top) * share
+            whole = r.sum(axis=1, keepdims=True)
+            total += (count[:, None] * r / whole).sum(axis=0)
+            likelihood += float((count * (np.log(whole) + top)[:, 0]).sum())
+        if turn < ROUNDS:
+            share = total / words.n
+    return share, likelihood
+
+
 def infer(text: str | None, table: np.ndarray) -> tuple[np.ndarray, float] | None:
     """Share of each language in the chosen set (0 outside it) and confidence; None for a text without letters."""
     if not text or not table.shape[1] or not any(map(str.isalpha, text)):
@@ -90,22 +145,28 @@ def infer(text: str | None, table: np.ndarray) -> tuple[np.ndarray, float] | Non
     gram, starts = grams(text)
     if not len(starts):
         return None
-    words = np.add.reduceat(table[gram], starts, axis=0).astype(np.float64)
-    n = table.shape[1]
-    share, _ = shares(words)
+    n, size = table.shape[1], len(starts)
+    if len(gram) * n <= HELD:
+        words = np.add.reduceat(table[gram], starts, axis=0).astype(np.float64)
+        mixture = lambda chosen: shares(words[:, chosen])
+        single = words.sum(axis=0)
+    else:
+        held = Words(gram, starts)
+        mixture = lambda chosen: shares_of(held, table[:, chosen])
+        single = sum((count[:, None] * w).sum(axis=0) for w, count in held.parts(table))
+    share, _ = mixture(list(range(n)))
     order = np.argsort(-share, kind="stable")
     chosen = [int(order[0])]
-    out, best = np.ones(1), words[:, chosen[0]].sum()
+    out, best = np.ones(1), single[chosen[0]]
     for x in order[1:]:
         if share[x] < 0.02:
             break
-        part, gained = shares(words[:, [*chosen, int(x)]])
-        if gained - best <= PENALTY * np.log(len(words) + 1):
+        part, gained = mixture([*chosen, int(x)])
+        if gained - best <= PENALTY * np.log(size + 1):
             break
         chosen, out, best = [*chosen, int(x)], part, gained
     full = np.zeros(n)
     full[chosen] = out
-    single = words.sum(axis=0)
     sure = 1 / np.exp(np.clip(single - single[full.argmax()], -700, 50)).sum()
     return full, float(sure if len(chosen) == 1 else 1.0)
 

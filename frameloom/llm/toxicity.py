@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, texts_of, written
 
 TABLE = 1 << 20
 STEM = 4
@@ -85,15 +85,20 @@ def swaps(words: set[str], identity: tuple[tuple[str, ...], ...]) -> list[set[st
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, how: Fit) -> pa.Table:
     """toxic, features of the text, features that each of its counterfactuals adds and takes away, and weight, for a
-    bounded hash sample of labelled rows. The weight is the number of labelled rows of the class over those sampled, so that the sample stands for the
-    true ratio of the classes.
-    labels: doc_id, toxic. A doc_id with several labels counts as toxic if one says so; null labels are left out."""
+    bounded hash sample of the labelled documents. The weight is the number of labelled documents of the class over those
+    sampled, so that the sample stands for the true ratio of the classes.
+
+    labels: doc_id, toxic. A doc_id with several labels counts as toxic if one says so; null labels are left out, and so
+    are labels without a document. A doc_id that documents repeat counts once, with one of its texts (by its hash): no
+    more than per_class texts of each class come to the driver."""
     truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    pick = lambda c: truth.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(how.per_class)
-    totals = {r["toxic"]: r["n"] for r in truth.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).where("toxic in (0, 1)").collect()}
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    there = written(texts.select("doc_id", "h").join(truth, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("h").alias("h")), "labelled")
+    pick = lambda c: there.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(how.per_class)
+    totals = {r["toxic"]: r["n"] for r in there.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).where("toxic in (0, 1)").collect()}
     weight = {c: max(1.0, n / how.per_class) for c, n in totals.items()}
     sample = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(sample, "doc_id").select("toxic", "text")
+    rows = texts.join(sample, ["doc_id", "h"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("toxic", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

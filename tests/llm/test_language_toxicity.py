@@ -39,6 +39,41 @@ def test_too_many_languages_are_refused(spark, monkeypatch):
     assert len(language.train(rows.limit(3))[0]) == 3
 
 
+def test_parts_give_what_the_whole_gives(monkeypatch):
+    rng = np.random.default_rng(5)
+    table = rng.normal(-9, 1, (language.TABLE, 6)).astype(np.float32)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), rng.integers(1, 12))) for _ in range(80)] + ["x" * 3000]
+    for n in (1, 5, 400):
+        text = " ".join(rng.choice(vocabulary, n))
+        share, sure = language.infer(text, table)
+        with monkeypatch.context() as m:
+            m.setattr(language, "HELD", 500)
+            part, certain = language.infer(text, table)
+        assert np.allclose(share, part, atol=1e-6) and abs(sure - certain) < 1e-6
+
+
+def test_long_text_with_many_languages_takes_bounded_memory():
+    """20 MB and 200 languages, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from frameloom.llm import language
+rng = np.random.default_rng(1)
+table = rng.normal(-12, 1, (language.TABLE, 200)).astype(np.float32)
+table[:, 7] += 3
+words = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(5000)]
+text = " ".join(words * 500)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert len(text) > 19_000_000 and language.infer(text, table)[0].sum() > 0.99
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-500:]
+    assert int(out.stdout) < 1200  # MB; the text's own n-grams are 20 million of 8 bytes, and so are four arrays beside them
+
+
 def test_mixture_of_two():
     rng = np.random.default_rng(0)
     table = np.full((language.TABLE, 3), -9.0, np.float32)
@@ -90,23 +125,63 @@ def test_penalty_spares_neutral_mentions(spark):
     assert gap[1] < 0.2 * gap[0]
 
 
-def test_swaps_hardly_move_held_out_scores(spark):
-    """Identity terms planted in the given rows, more often in toxic ones: with the penalty the scores of held-out texts
-    move far less under swaps, and the held-out rows are told apart as well as without it."""
-    d = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{d}/labels.parquet")
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    planted = F.when((F.col("toxic") == 1) & (F.col("doc_id") % 10 < 9), F.lit(" muslim gay")).when(F.col("doc_id") % 20 == 0, F.lit(" muslim gay")).otherwise(F.lit(" people"))
-    docs = docs.withColumn("text", F.concat("text", planted)).drop("toxic")
-    test = docs.where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").collect()
-    moved, right = [], []
-    for penalty in (0.0, 50.0):
-        model = toxicity.train(docs, labels, toxicity.Fit(penalty=penalty))
+def test_neutral_mentions_are_no_longer_flagged(spark):
+    """At the query's own penalty: a group term planted in nine tenths of the toxic rows and one in twenty of the others.
+    Held-out clean texts that mention the group are flagged without the penalty and not with it; toxic texts without the
+    term are still found."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    planted = (F.col("toxic") == 1) & (F.col("doc_id") % 10 < 9) | (F.col("toxic") == 0) & (F.col("doc_id") % 20 == 0)
+    docs = rows.withColumn("text", F.when(planted, F.concat("text", F.lit(" muslim"))).otherwise(F.col("text"))).drop("toxic")
+    test = rows.where(toxicity.held_out(F.col("doc_id"))).collect()
+    flagged, caught, moved = [], [], []
+    for how in (toxicity.Fit(penalty=0.0), toxicity.Fit()):
+        model = toxicity.train(docs, labels, how)
         score = lambda words: model.score(toxicity.features(words))  # noqa: B023, E731
-        neutral = [toxicity.words_of(r.text) - {"gay", "people"} | {"muslim"} for r in test if not r.toxic]
-        moved.append(np.mean([abs(score(w) - score(x)) for w in neutral for x in toxicity.swaps(w, toxicity.IDENTITY)]))
-        right.append(np.mean([(score(toxicity.words_of(r.text)) >= 0.5) == r.toxic for r in test]))
-    assert moved[1] < 0.3 * moved[0] and right[1] > right[0] - 0.03
+        neutral = [toxicity.words_of(r.text) | {"muslim"} for r in test if r.toxic == 0]
+        flagged.append(sum(score(w) >= 0.5 for w in neutral))
+        caught.append(sum(score(toxicity.words_of(r.text)) >= 0.5 for r in test if r.toxic == 1))
+        logit = lambda w: np.log(score(w) / (1 - score(w)))  # noqa: B023, E731
+        moved.append(max(abs(logit(w) - logit(x)) for w in neutral[:50] for x in toxicity.swaps(w, toxicity.IDENTITY)))
+    assert flagged[0] > 5 and flagged[1] == 0
+    assert caught[1] >= caught[0] and caught[1] > 0.6 * sum(r.toxic == 1 for r in test)
+    assert moved[1] < 0.01 < 1 < moved[0]
+
+
+def test_fit_is_at_the_bottom_of_its_loss(spark):
+    """An independent form of the loss, over dense rows: no small step along any weight or the bias makes it smaller."""
+    docs, labels = labelled(spark)
+    how = toxicity.Fit(steps=4000)
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels, how), how)
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    texts = [(toxicity.words_of(r["text"]), truth[r["doc_id"]]) for r in docs.collect()]
+    used = sorted(model.weights)
+    dense = lambda words: np.array([float(k in toxicity.features(words)) for k in used])
+    x, y = np.array([dense(w) for w, _ in texts]), np.array([t for _, t in texts])
+    pairs = np.array([dense(b) - dense(a) for a, _ in texts for b in toxicity.swaps(a, how.identity)])
+
+    def loss(w, bias):
+        z = x @ w + bias
+        return np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))) + how.ridge / 2 * (w @ w) + how.penalty * np.mean((pairs @ w) ** 2)
+
+    w = np.array([model.weights[k] for k in used])
+    at = loss(w, model.bias)
+    for i in range(len(w)):
+        for step in (-1e-3, 1e-3):
+            assert loss(w + step * (np.arange(len(w)) == i), model.bias) > at - 1e-7
+    assert min(loss(w, model.bias + 1e-3), loss(w, model.bias - 1e-3)) > at - 1e-7
+
+
+def test_repeated_documents_stay_bounded(spark):
+    """A labelled doc_id that documents repeat 20,000 times, and labels without a document."""
+    hot = spark.range(20_000).selectExpr("cast(1 as bigint) as doc_id", "concat('hot ', id % 3) as text")
+    rest = spark.range(2, 40).selectExpr("id as doc_id", "concat('w', id) as text")
+    labels = spark.range(1, 400).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    sample = toxicity.labelled_sample(hot.unionByName(rest), labels, toxicity.Fit(per_class=5))
+    assert sample.num_rows == 10 and abs(sum(sample["weight"].to_pylist()) - 39) < 1e-9
+    whole = toxicity.labelled_sample(hot.unionByName(rest), labels, toxicity.Fit())
+    assert whole.num_rows == 39
 
 
 def test_bounded_sample_scores_like_the_full_fit(spark):
