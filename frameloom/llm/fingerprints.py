@@ -3,23 +3,26 @@
 A text is the set of its paragraphs (lines, cut every 400 characters), each as a 62-bit digest that includes how often it
 occurs. A text of few paragraphs has its sentences, too; one of few sentences its words, and a very short one pieces of
 four characters: so half of a text counts for something in texts of any length. Each digest is added to three cells of a
-table: to its count, to the exclusive-or of digests and of check sums. Tables of two versions subtract cell by cell. What
-is left is peeled: a cell that holds one digest gives it up, the digest leaves its other cells, and so on, until the
-digests that only one version has are known. Where cells remain, the pair is tried again with a table four times as large.
+table of 48 cells: to its count, to the exclusive-or of digests and of check sums. That table is the fingerprint. The tables
+of two versions subtract cell by cell. What is left is peeled: a cell that holds one digest gives it up, the digest leaves
+its other cells, and so on, until the digests that only one version has are known. Where cells remain, the two differ in
+more than the tables can tell; that pair is tried again with larger tables of the two sets, each GROW times the last.
 
-DataFrame operations only. All of a pair's cells share a partition, so rounds of peeling need no exchange.
+DataFrame operations only. A fingerprint's table is one array, made, subtracted and peeled within its row; larger tables are
+rows of cells, all of a pair in one partition, so rounds of peeling need no exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-CELLS = 24
+CELLS = 48
 HASHES = 3
 GROW = 4
 ROUNDS = 12
@@ -87,13 +90,52 @@ def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "slot").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk")).where("n <> 0 or key <> 0 or chk <> 0")
 
 
-def sketch(sets: DataFrame, by: list[str], cells: int = CELLS) -> DataFrame:
-    """The table of each set (array column ids) as text: cells in order as slot, count, digests and check sums in hexadecimal."""
-    rows = sets.select(*by, F.explode_outer(_added(F.col("ids"), 1, F.lit(cells))).alias("c")).select(*by, "c.*")
-    rows = rows.groupBy(*by, "slot").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
-    cell = F.concat(F.lpad(F.hex("slot"), 2, "0"), F.lpad(F.hex("n"), 8, "0"), F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("chk"), 8, "0"))
-    one = F.when(F.col("slot").isNotNull(), F.struct("slot", cell.alias("text")))
-    return rows.groupBy(*by).agg(F.concat(F.lit(f"{cells}x{HASHES}:"), F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda c: c["text"]), "")).alias("fingerprint"))
+def table_of(ids: Column, cells: int = CELLS) -> Column:
+    """The table of a set as an array of cells n, key, chk."""
+    part = cells // HASHES
+    hashed = F.transform(ids, lambda k: F.struct(k.alias("key"), _check(k).alias("chk"), F.array(*[_slot(k, j, F.lit(cells)) for j in range(HASHES)]).alias("at")))
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("n", "key", "chk")])
+    add = lambda c, x: F.struct((c["n"] + 1).alias("n"), c["key"].bitwiseXOR(x["key"]).alias("key"), c["chk"].bitwiseXOR(x["chk"]).alias("chk"))
+    slots = F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))
+    return _let(hashed, lambda h: F.transform(slots, lambda s: F.aggregate(F.filter(h, lambda x: F.get(x["at"], F.floor(s / part).cast("int")) == s), zero, add)))
+
+
+def shown(table: Column, cells: int = CELLS) -> Column:
+    """A table as text: its cells that hold anything, in order, as slot, count, digests and check sums in hexadecimal."""
+    cell = lambda c, s: F.concat(F.lpad(F.hex(s), 2, "0"), F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"]), 8, "0"))
+    return F.concat(F.lit(f"{cells}x{HASHES}:"), F.array_join(F.transform(table, lambda c, s: F.when(c["n"] > 0, cell(c, s)).otherwise(F.lit(""))), ""))
+
+
+def _less(a: Column, b: Column) -> Column:
+    return F.struct((a["n"] - b["n"]).alias("n"), a["key"].bitwiseXOR(b["key"]).alias("key"), a["chk"].bitwiseXOR(b["chk"]).alias("chk"))
+
+
+def subtracted(a: Column, b: Column, cells: int = CELLS) -> Column:
+    """What two tables tell of their sets' difference: struct of a_only and b_only (numbers of digests), null where cells
+    remain after peeling. A third of the table is peeled at a time: a digest lies in one cell of each third, so none is
+    taken twice."""
+    part = cells // HASHES
+    left = lambda t: F.exists(t, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
+    state = lambda t, x, y: F.struct(t.alias("t"), x.alias("a_only"), y.alias("b_only"))
+
+    def taken(st: Column, j: Column) -> Column:
+        third = F.slice(st["t"], j * part + 1, F.lit(part))
+        pure = F.filter(third, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"])))
+        at = lambda c, i: (F.pmod(F.xxhash64(c["key"], i), F.lit(part).cast("bigint")) + i * part).cast("bigint")
+        without = lambda p: F.transform(st["t"], lambda c, s: F.aggregate(F.filter(p, lambda x: at(x, F.floor(s / part).cast("int")) == s), c, _less))
+        some = lambda p: state(without(p), st["a_only"] + F.size(F.filter(p, lambda c: c["n"] == 1)), st["b_only"] + F.size(F.filter(p, lambda c: c["n"] == -1)))
+        return _let(pure, lambda p: F.when(F.size(p) > 0, some(p)).otherwise(st))
+
+    start = state(F.zip_with(a, b, _less), F.lit(0), F.lit(0))
+    turns = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    peel = lambda st, t: F.when(left(st["t"]), taken(st, F.pmod(t, F.lit(HASHES)))).otherwise(st)
+    return F.aggregate(turns, start, peel, lambda st: F.when(~left(st["t"]), F.struct(st["a_only"].alias("a_only"), st["b_only"].alias("b_only"))))
+
+
+def _told(a: Column, b: Column) -> Column:
+    """The likeness that two tables tell; null where they don't."""
+    size = F.aggregate(a, F.lit(0).cast("bigint"), lambda n, c: n + c["n"]) / HASHES
+    return _let(subtracted(a, b), lambda d: F.when(d.isNotNull(), _ratio(size, d["a_only"], d["b_only"])))
 
 
 def _peeled(cells_of: DataFrame, by: list[str], rounds: int) -> DataFrame:
@@ -112,12 +154,12 @@ def _peeled(cells_of: DataFrame, by: list[str], rounds: int) -> DataFrame:
 
 def differences(pairs: DataFrame, by: list[str], cells: int = CELLS) -> DataFrame:
     """by, a_size, b_size, a_only, b_only (arrays of digests) for each pair of sets a, b (array<bigint> of digests of 62
-    bits; repeated ones count once). by names what identifies a pair. A pair's first table is the smallest of cells,
-    cells * GROW ... that has a cell for each of its digests. Pairs that don't decode go on to tables GROW times as large;
+    bits; repeated ones count once), by tables larger than ``cells``. by names what identifies a pair. A pair's first table
+    is the smallest of cells * GROW, cells * GROW * GROW ... that has a cell for each of its digests. Pairs that don't decode go on to tables GROW times as large;
     a table AMPLE times as large as both sets that still doesn't (equal slots or check sums by chance) is given up for the
     sets themselves."""
     both = pairs.select(*by, F.array_distinct("a").alias("a"), F.array_distinct("b").alias("b"))
-    need = F.greatest((F.size("a") + F.size("b")) / cells, F.lit(1.0))
+    need = F.greatest((F.size("a") + F.size("b")) / cells, F.lit(float(GROW)))
     todo = both.withColumn("cells", (cells * F.pow(F.lit(float(GROW)), F.ceil(F.log(float(GROW), need) - 1e-9))).cast("bigint"))
     done, none = None, F.array().cast("array<bigint>")
     while True:
@@ -149,10 +191,14 @@ def differences(pairs: DataFrame, by: list[str], cells: int = CELLS) -> DataFram
             return done
 
 
+def _ratio(a_size: Column, a_only: Column, b_only: Column) -> Column:
+    every = a_size + b_only
+    return F.when(every > 0, (a_size - a_only) / every).otherwise(F.lit(1.0))
+
+
 def likeness(a_size: Column, a_only: Column, b_only: Column) -> Column:
     """Shared digests over all digests of both; 1 for two empty texts."""
-    every = a_size + F.size(b_only)
-    return F.when(every > 0, (a_size - F.size(a_only)) / every).otherwise(F.lit(1.0))
+    return _ratio(a_size, F.size(a_only), F.size(b_only))
 
 
 def next_ids(sized: DataFrame) -> DataFrame:
@@ -186,17 +232,20 @@ def fingerprint_edits(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     sets = written(sets, "paragraphs")
     own, edited = sets.where("kind = 'a'"), sets.where("kind = 'e'").select("doc_id", F.col("ids").alias("e"))
     following = own.select("doc_id", F.col("ids").alias("f")).join(before, "doc_id").select(F.col("prev_id").alias("doc_id"), "f")
-    pairs = own.select("doc_id", F.col("ids").alias("a")).join(edited, "doc_id").join(following, "doc_id")
-    pairs = pairs.select("doc_id", F.inline(F.array(F.struct(F.lit("e").alias("kind"), F.col("a"), F.col("e").alias("b")), F.struct(F.lit("n").alias("kind"), F.col("a"), F.col("f").alias("b")))))
-    near = differences(pairs, ["doc_id", "kind"], cells).withColumn("near", likeness(F.col("a_size"), F.col("a_only"), F.col("b_only")))
-    near = near.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "e", F.col("near"))).alias("near_edited"), F.max(F.when(F.col("kind") == "n", F.col("near"))).alias("near_next"))
-    prints = sketch(sets.repartition("doc_id"), ["doc_id", "n_chars", "sha", "kind"], cells).groupBy("doc_id").agg(
-        F.first("n_chars").cast("bigint").alias("n_chars"),
-        F.first("sha").alias("edited_sha256"),
-        F.max(F.when(F.col("kind") == "a", F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("kind") == "e", F.col("fingerprint"))).alias("edited_fingerprint"),
+    triples = own.select("doc_id", "n_chars", "sha", F.col("ids").alias("a")).join(edited, "doc_id").join(following, "doc_id")
+    tables = triples.withColumns({f"t{c}": table_of(F.col(c), cells) for c in "aef"})
+    likely = tables.withColumns({"near_e": _told(F.col("ta"), F.col("te")), "near_f": _told(F.col("ta"), F.col("tf"))})
+    open_ = lambda c, *near: F.when(reduce(lambda x, y: x | y, [F.col(n).isNull() for n in near]), F.col(c)).alias(c)
+    told = written(
+        likely.select("doc_id", "n_chars", "sha", shown(F.col("ta"), cells).alias("fingerprint"), shown(F.col("te"), cells).alias("edited_fingerprint"), "near_e", "near_f", open_("a", "near_e", "near_f"), open_("e", "near_e"), open_("f", "near_f")),
+        "prints",
     )
-    return prints.join(near, "doc_id").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    pair = lambda kind, b: F.when(F.col(f"near_{b}").isNull(), F.struct(F.lit(kind).alias("kind"), F.col("a"), F.col(b).alias("b")))
+    pairs = told.select("doc_id", F.inline(F.filter(F.array(pair("e", "e"), pair("n", "f")), lambda p: p.isNotNull())))
+    near = differences(pairs, ["doc_id", "kind"], cells).withColumn("near", likeness(F.col("a_size"), F.col("a_only"), F.col("b_only")))
+    near = near.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "e", F.col("near"))).alias("larger_e"), F.max(F.when(F.col("kind") == "n", F.col("near"))).alias("larger_f"))
+    out = told.join(near, "doc_id", "left")
+    return out.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.coalesce("near_e", "larger_e").alias("near_edited"), F.coalesce("near_f", "larger_f").alias("near_next"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+import xxhash
+
 from frameloom.llm import fingerprints as f
 
 
@@ -88,3 +90,70 @@ def test_an_edited_text_is_nearer_than_the_next(spark):
     for d, t in texts.items():
         same.setdefault(t, set()).add(d)
     assert all(any(g <= x for x in by.values()) for g in same.values())
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hashed(key, extra):
+    first = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
+    return signed(xxhash.xxh64_intdigest(extra.to_bytes(4, "little"), first))
+
+
+def cells_of(text):
+    head, body = text.split(":")
+    assert head == "48x3"
+    t = [[0, 0, 0] for _ in range(48)]
+    for i in range(0, len(body), 34):
+        c = body[i : i + 34]
+        t[int(c[:2], 16)] = [int(c[2:10], 16), int(c[10:26], 16), int(c[26:], 16)]
+    return t
+
+
+def told(a, b):
+    """The likeness by two fingerprints alone, peeled one cell after another; None where cells remain."""
+    a, b = cells_of(a), cells_of(b)
+    size = sum(c[0] for c in a) // 3
+    t = [[x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]] for x, y in zip(a, b)]
+    only = {1: 0, -1: 0}
+    while True:
+        pure = [c for c in t if abs(c[0]) == 1 and hashed(c[1], 99) % (1 << 32) == c[2]]
+        if not pure:
+            break
+        n, key, check = pure[0]
+        only[n] += 1
+        for j in range(3):
+            c = t[hashed(key, j) % 16 + 16 * j]
+            c[0], c[1], c[2] = c[0] - n, c[1] ^ key, c[2] ^ check
+    if any(map(any, t)):
+        return None
+    every = size + only[-1]
+    return (size - only[1]) / every if every else 1.0
+
+
+def test_likeness_is_what_the_published_tables_tell(spark):
+    rows = sorted(f.op5_fingerprints(spark, "/root/testdata/sf0.01").collect(), key=lambda r: r.doc_id)
+    decoded = 0
+    for r, after in zip(rows, [*rows[1:], rows[0]]):
+        for near, other in ((r.near_edited, r.edited_fingerprint), (r.near_next, after.fingerprint)):
+            if (found := told(r.fingerprint, other)) is not None:
+                decoded += 1
+                assert abs(found - near) < 1e-12
+    assert decoded > 0.25 * 2 * len(rows)  # the rest goes on to larger tables
+
+
+def test_tables_in_rows(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        both = [rng.getrandbits(62) for _ in range(rng.randint(0, 60))]
+        a, b = ([rng.getrandbits(62) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        rows.append((i, both + a, both + b, len(a), len(b)))
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>, x int, y int")
+    out = df.select("i", "x", "y", f.subtracted(f.table_of(df["a"]), f.table_of(df["b"])).alias("d"), f.shown(f.table_of(df["a"])).alias("s"), "a").collect()
+    assert all(r.d is None or (r.d.a_only, r.d.b_only) == (r.x, r.y) for r in out)
+    assert sum(r.d is not None for r in out) > 40
+    for r in out:
+        t = cells_of(r.s)
+        assert sum(c[0] for c in t) == 3 * len(r.a)
