@@ -14,7 +14,7 @@ occur in more than one document take part:
   the same runs are counted as one; a run that two documents hold is a repeated passage. No partner is left out,
   however many there are.
 
-Spans of a document are then merged.
+Spans of a document are then merged. Of documents with equal texts one takes part; all of them are repeats from end to end.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bits_for, slices, texts_of, written
+from .common import WORD, bits_for, maybe_in, slices, texts_of, without, written
 
 LEAST = 50
 GRAM = 10
@@ -275,12 +275,27 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     groups above WHOLE, runs by 64 bits. Empty tables give empty results; extra columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null")
-    grams = written(repeated_grams(rows, least, gram), "grams")
-    kept = written(suffixes(rows, _bits(grams), _bits(grams.where(F.col("n") > WHOLE)), least, gram), "suffixes")
+    hashed = rows.withColumns({"_h": F.xxhash64("text"), "_k": F.xxhash64(F.lit(5), "text")})
+    copies = written(_copies(hashed), "copies")
+    first = without(hashed, ["doc_id", "_h", "_k"], copies.where("doc_id > first").select("doc_id", "_h", "_k")).select("doc_id", "text")
+    grams = written(repeated_grams(first, least, gram), "grams")
+    kept = written(suffixes(first, _bits(grams), _bits(grams.where(F.col("n") > WHOLE)), least, gram), "suffixes")
     few, many = kept.where("runs is null").drop("runs"), kept.where("runs is not null")
-    spans = _sorted(few, least, gram).unionByName(_crowded(many, least)).groupBy("doc_id", "start", "stop").agg(F.min("twin").alias("twin"))
+    whole = copies.where(F.col("words") >= least).select("doc_id", F.lit(0).cast("bigint").alias("start"), F.col("words").alias("stop"), F.when(F.col("first") < F.col("doc_id"), F.col("first")).otherwise(F.col("final")).alias("twin"))
+    spans = _sorted(few, least, gram).unionByName(_crowded(many, least)).unionByName(whole).groupBy("doc_id", "start", "stop").agg(F.min("twin").alias("twin"))
     return merged(spans).select("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("end_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("twin").alias("twin_id"))
 
 
+def _copies(hashed: DataFrame) -> DataFrame:
+    """doc_id, _h, _k, words, first, final for each document whose text (by 128 bits) another one has, too: the number of its
+    words and the smallest and largest document with it. Such a document is a repeat from end to end, so the smallest
+    alone stands for all of them among the suffixes."""
+    words = F.regexp_count("text", F.lit(WORD)).cast("bigint")
+    keys = ["_h", "_k"]
+    groups = written(hashed.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final")).where("first < final"), "equal")
+    # A bitmap clears the texts without copies, so few are shuffled.
+    return maybe_in(hashed, keys, groups).join(groups, keys).select("doc_id", *keys, words.alias("words"), "first", "final").distinct()
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -139,3 +139,13 @@ def test_bitmaps_stay_packed():
         bits[at >> 3] |= 1 << (at & 7)
     has = s._has(bits, g)
     assert has[:100].all() and has[100:].sum() < 60 and len(s._has(bits, g[:0])) == 0
+
+
+def test_copies_are_repeats_from_end_to_end(spark, whole):
+    """Equal texts, a text that shares a passage with them, short copies, and a doc_id of two texts."""
+    rng = random.Random(11)
+    text, passage = prose(rng, 90), prose(rng, 60)
+    text = f"{text} {passage}"
+    rows = [(4, text), (7, text), (2, text), (2, text), (3, f"{prose(rng, 70)} {passage} {prose(rng, 9)}"), (8, "short copy"), (9, "short copy"), (7, prose(rng, 80))]
+    got = sorted(tuple(r) for r in s.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(2, 0, 150, 150, 3), (3, 70, 130, 60, 2), (4, 0, 150, 150, 2), (7, 0, 150, 150, 2)]
