@@ -12,8 +12,8 @@ from frameloom.sources import frames as fr
 from frameloom.sources import containers
 
 
-@pytest.mark.parametrize("bins", [40, 4096])
-def test_quantiles_are_exact(spark, bins):
+@pytest.mark.parametrize(("bins", "few"), [(40, 1), (4096, 300)])
+def test_quantiles_are_exact(spark, bins, few):
     rng = random.Random(bins)
     groups = {
         "normal": [rng.gauss(0, 1) for _ in range(1500)],
@@ -25,7 +25,7 @@ def test_quantiles_are_exact(spark, bins):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, v double")
     ps = [0.0, 0.01, 0.5, 0.9, 1.0]
-    got = {r["k"]: (r["n"], r["quantiles"]) for r in quantiles.exact_quantiles(df, "v", ps, ["k"], bins).collect()}
+    got = {r["k"]: (r["n"], r["quantiles"]) for r in quantiles.exact_quantiles(df, "v", ps, ["k"], bins, few).collect()}
     assert set(got) == set(groups)
     for k, vs in groups.items():
         vs = np.clip(vs, -1.7e308, 1.7e308)
