@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
-
-from .vectors import let
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def _cross_matrix(v: np.ndarray) -> np.ndarray:
@@ -77,42 +76,14 @@ def replay(start: np.ndarray, actions: np.ndarray, composed: bool = False) -> np
     return out
 
 
-def with_delta_actions(frames: DataFrame, episode: str = "episode_id", order: str = "frame_index", pose: str = "ee_pose", gripper: str = "gripper") -> DataFrame:
-    """frames with ``action``, episode by episode."""
-    schema = f"{frames.select(episode, order).schema.simpleString()[7:-1].replace(':', ' ').replace(',', ', ')}, action array<double>"
-
-    def act(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        return g[[episode, order]].assign(action=list(delta_actions(np.stack(g[pose].to_numpy()), g[gripper].to_numpy(float))))
-
-    acted = frames.select(episode, order, pose, gripper).groupBy(episode).applyInPandas(act, schema)
-    return frames.join(acted, [episode, order])
-
-
-def _quaternion(v: Column) -> Column:
-    size = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    return let(size, lambda n: let(F.when(n < 1e-8, 0.5).otherwise(F.sin(n / 2) / n), lambda s: F.array(F.cos(n / 2), v[0] * s, v[1] * s, v[2] * s)))
-
-
-def _quotient(b: Column, a: Column) -> Column:
-    """The quaternion b times the inverse of a."""
-    return F.array(
-        b[0] * a[0] + b[1] * a[1] + b[2] * a[2] + b[3] * a[3],
-        b[1] * a[0] - b[0] * a[1] - b[2] * a[3] + b[3] * a[2],
-        b[2] * a[0] - b[0] * a[2] - b[3] * a[1] + b[1] * a[3],
-        b[3] * a[0] - b[0] * a[3] - b[1] * a[2] + b[2] * a[1],
-    )
-
-
-def _rotation_vector(q: Column) -> Column:
-    size = F.sqrt(q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
-    sign = F.when(q[0] < 0, -1.0).otherwise(1.0)
-    scale = lambda n: sign * F.when(n < 1e-12, 2.0).otherwise(2 * F.atan2(n, F.abs(q[0])) / n)
-    return let(size, lambda n: let(scale(n), lambda k: F.array(q[1] * k, q[2] * k, q[3] * k)))
-
-
-def rotation_between(before: Column, after: Column) -> Column:
-    """relative() as a column expression, by quaternions: the rotation vector that leads from one column of rotation
-    vectors to the other; null where either is null. At a half turn exactly, either of the two opposite vectors."""
-    quotient = let(_quaternion(before), lambda a: let(_quaternion(after), lambda b: _quotient(b, a)))
-    return F.when(before.isNotNull() & after.isNotNull(), let(quotient, _rotation_vector))
+@F.arrow_udf(ArrayType(DoubleType()))
+def rotation_between(before: pa.Array, after: pa.Array) -> pa.Array:
+    """relative() as a column expression: the rotation vector that leads from one column of rotation vectors to the other;
+    null where either is null or isn't three wide. At a half turn exactly, either of the two opposite vectors."""
+    three = lambda v: pc.fill_null(pc.equal(pc.list_value_length(v), 3), False)
+    good = pc.and_(three(before), three(after))
+    as_rows = lambda v: v.filter(good).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 3)
+    turned = relative(as_rows(before), as_rows(after)).reshape(-1)
+    counts = good.to_numpy(zero_copy_only=False) * 3
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(turned), mask=pc.invert(good))

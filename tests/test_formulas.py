@@ -129,3 +129,16 @@ def test_rotation_between_equals_matrices(spark):
     got = {r.i: r.r for r in df.collect()}
     assert got.pop(300) is None
     assert np.allclose([got[i] for i in range(300)], g.relative(a, b), atol=1e-6)
+
+
+def test_rotation_between_columns(spark):
+    rng = np.random.default_rng(7)
+    pairs = [(rng.normal(0, 1, 3).tolist(), rng.normal(0, 1, 3).tolist()) for _ in range(50)] + [(None, [0.0] * 3), ([0.0] * 3, None), ([1.0], [0.0] * 3), ([0.1, 0.2, 0.3], [0.1, 0.2, 0.3])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<double>, b array<double>").repartition(3)
+    got = {r["i"]: r["r"] for r in df.select("i", g.rotation_between("a", "b").alias("r")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        if a is None or b is None or len(a) < 3:
+            assert got[i] is None
+        else:
+            assert np.allclose(got[i], g.relative(np.array([a]), np.array([b]))[0])
+            assert np.allclose(g.to_matrix(np.array([got[i]])) @ g.to_matrix(np.array([a])), g.to_matrix(np.array([b])))
