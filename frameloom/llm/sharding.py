@@ -34,7 +34,8 @@ def stratified_shards(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, t
     size is the text's UTF-8 bytes plus 1; null text counts as empty, null source as a source of its own. Shards hold
     equally many rows, or one more (law ``rows``); slots are gapless from 0 within a shard. Rows that repeat a doc_id
     are told apart by their place in the table. Fewer rows than shards leave shards empty; an empty table gives an empty
-    result. Very long texts count by their bytes. Extra columns are ignored.
+    result. Very long texts count by their bytes. Documents with equal texts are rows like others and may lie in different
+    shards. Extra columns are ignored.
     """
     rows = located(docs, "doc_id", "source", "text")
     key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
