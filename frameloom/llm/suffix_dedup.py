@@ -117,6 +117,18 @@ def _has(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def _joined_runs(g: list[int], first: list[int], owned: list[int]) -> list[tuple[int, int, int]]:
+    """Rows of at most PART neighbouring runs: g of the suffix that begins a row, the row's first run and its end. Suffixes
+    whose runs follow one another share a row; where rows end goes by the suffixes' hashes, so that copies are cut alike."""
+    parts: list[list[int]] = []
+    for x, start, n in zip(g, first, owned):
+        if parts and parts[-1][2] == start and start + n - parts[-1][1] <= PART and x & 3:
+            parts[-1][2] = start + n
+        else:
+            parts.append([x, start, start + n])
+    return [(x, y, min(y + PART, end)) for x, start, end in parts for y in range(start, end, PART)]
+
+
 _ROW = "g bigint, doc_id bigint, at bigint, words bigint, ahead binary, back binary, runs array<bigint>"
 
 
@@ -141,12 +153,12 @@ def suffixes(docs: DataFrame, bits: np.ndarray, many: np.ndarray, least: int, gr
                 large = _has(crowd, g)
                 if large.any():
                     whole = gram_hashes(h, least).view(np.int64)
-                    cuts = [(x, y, min(y + PART, x + m)) for x, m in zip(first[large].tolist(), owned[large].tolist()) for y in range(x, x + m, PART)]
+                    cuts = _joined_runs(g[large].tolist(), first[large].tolist(), owned[large].tolist())
                     runs += [whole[y:z] for _, y, z in cuts]
                     k = len(cuts)
                     aheads += [None] * k
                     backs += [None] * k
-                    rows.append(np.full(k, i)), grams.append(np.repeat(g[large], -(-owned[large] // PART))), ats.append(np.array([y for _, y, _ in cuts])), sizes.append(np.full(k, n))
+                    rows.append(np.full(k, i)), grams.append(np.array([x for x, _, _ in cuts])), ats.append(np.array([y for _, y, _ in cuts])), sizes.append(np.full(k, n))
                 g, at = g[~large], at[~large]
                 if len(at):
                     short = np.concatenate([h >> np.uint64(32), np.zeros(1, np.uint64)]).astype(">u4")

@@ -149,3 +149,18 @@ def test_copies_are_repeats_from_end_to_end(spark, whole):
     rows = [(4, text), (7, text), (2, text), (2, text), (3, f"{prose(rng, 70)} {passage} {prose(rng, 9)}"), (8, "short copy"), (9, "short copy"), (7, prose(rng, 80))]
     got = sorted(tuple(r) for r in s.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
     assert got == [(2, 0, 150, 150, 3), (3, 70, 130, 60, 2), (4, 0, 150, 150, 2), (7, 0, 150, 150, 2)]
+
+
+def test_rows_of_runs_leave_none_out():
+    rng = random.Random(2)
+    for _ in range(200):
+        first, owned, at = [], [], 0
+        for _ in range(rng.randint(1, 12)):
+            at += rng.choice([0, 0, 3])
+            first.append(at)
+            owned.append(rng.randint(1, 130 if rng.random() < 0.1 else 41))
+            at += owned[-1]
+        g = [rng.getrandbits(62) for _ in first]
+        cuts = s._joined_runs(g, first, owned)
+        assert [i for _, y, z in cuts for i in range(y, z)] == [i for x, n in zip(first, owned) for i in range(x, x + n)]
+        assert all(0 < z - y <= s.PART for _, y, z in cuts)
