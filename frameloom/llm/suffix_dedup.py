@@ -119,13 +119,16 @@ def _has(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 def _joined_runs(g: list[int], first: list[int], owned: list[int]) -> list[tuple[int, int, int]]:
     """Rows of at most PART neighbouring runs: g of the suffix that begins a row, the row's first run and its end. Suffixes
-    whose runs follow one another share a row; where rows end goes by the suffixes' hashes, so that copies are cut alike."""
+    whose runs follow one another share a row; where rows end goes by the suffixes' hashes, so that copies are cut alike. A
+    suffix like the one before it ends no row: in a line said over and over all suffixes are alike, and each would."""
     parts: list[list[int]] = []
+    last = None
     for x, start, n in zip(g, first, owned):
-        if parts and parts[-1][2] == start and start + n - parts[-1][1] <= PART and x & 3:
+        if parts and parts[-1][2] == start and start + n - parts[-1][1] <= PART and (x & 3 or x == last):
             parts[-1][2] = start + n
         else:
             parts.append([x, start, start + n])
+        last = x
     return [(x, y, min(y + PART, end)) for x, start, end in parts for y in range(start, end, PART)]
 
 

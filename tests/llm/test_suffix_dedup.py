@@ -164,3 +164,10 @@ def test_rows_of_runs_leave_none_out():
         cuts = s._joined_runs(g, first, owned)
         assert [i for _, y, z in cuts for i in range(y, z)] == [i for x, n in zip(first, owned) for i in range(x, x + n)]
         assert all(0 < z - y <= s.PART for _, y, z in cuts)
+
+
+def test_alike_neighbours_end_no_row():
+    """A line said over and over has one suffix at every turn; whatever its hash, its runs fill rows."""
+    for low in range(4):
+        cuts = s._joined_runs([40 + low] * 120, list(range(120)), [1] * 120)
+        assert [(y, z) for _, y, z in cuts] == [(0, 60), (60, 120)]
