@@ -9,8 +9,9 @@ from frameloom.operators import order as od
 from frameloom.sources.trajectories import replay_steps
 from frameloom.streaming import operators as st
 from frameloom.streaming import timed as tm
+from frameloom.streaming.buckets import buckets_for
 
-from .registry import FRAMES, frames, query, r6, work_folder
+from .registry import FRAMES, frames, query, r6, table, work_folder
 
 
 def _stream(rows, folder: str, step: str, steps: int = 1):
@@ -38,6 +39,10 @@ def _by_time(spark, d, steps: int = 3):
     return _stream(rows, folder, "slot").withWatermark("ts", "0 seconds"), folder
 
 
+def _buckets(spark, d) -> int:
+    return buckets_for(table(spark, d, "events").count())
+
+
 def _moment(us: str):
     return F.expr(f"timestampadd(MICROSECOND, {us}, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
 
@@ -68,7 +73,7 @@ SELECT episode_id, frame_index, round(s, 6) AS {name} FROM r"""
 def _fold(spark, d, x, start: tuple[float, ...], step, name: str, reset=None):
     stream, folder = _replayed(spark, d)
     rows = stream.select("episode_id", "frame_index", x.alias("x"), (F.lit(False) if reset is None else reset).alias("reset"))
-    out = st.run(st.folded(rows, st.Fold(start, step)), "append", folder)
+    out = st.run(st.folded(rows, st.Fold(start, step), _buckets(spark, d)), "append", folder)
     return out.select("episode_id", "frame_index", r6("y").alias(name))
 
 
@@ -124,7 +129,7 @@ SELECT k.episode_id, make_timestamp(k.us) AS tick, a.value AS action FROM k ASOF
 def stream_ticks(spark, d):
     """The action in force every six hours, whether or not one has come since."""
     stream, folder = _by_time(spark, d)
-    out = st.run(tm.timed(stream.select("episode_id", "ts", F.col("value").alias("x")), tm.Ticks(6 * _HOUR)), "append", folder)
+    out = st.run(tm.timed(stream.select("episode_id", "ts", F.col("value").alias("x")), tm.Ticks(6 * _HOUR), _buckets(spark, d)), "append", folder)
     return out.select("episode_id", _moment("us").alias("tick"), "action")
 
 
@@ -137,7 +142,7 @@ o AS (SELECT episode_id, first_us, us, CASE WHEN clicks = 3 THEN 'delete' ELSE '
 
 def _outcomes(spark, d):
     stream, folder = _by_time(spark, d)
-    return st.run(tm.timed(stream.select("episode_id", "ts"), tm.Clicks(2 * _HOUR)), "append", folder)
+    return st.run(tm.timed(stream.select("episode_id", "ts"), tm.Clicks(2 * _HOUR), _buckets(spark, d)), "append", folder)
 
 
 @query(f"WITH {_CLICKS} SELECT episode_id, make_timestamp(first_us) AS first_ts, make_timestamp(us) AS ts, outcome FROM o")
@@ -161,7 +166,7 @@ def stream_asof(spark, d):
     stream, folder = _by_time(spark, d)
     asks = F.col("event_type") == "click"
     rows = stream.select("episode_id", "ts", F.when(asks, F.col("frame_index")).cast("bigint").alias("id"), F.when(~asks, F.col("value")).alias("x"))
-    out = st.run(tm.timed(rows, tm.Latest()), "append", folder)
+    out = st.run(tm.timed(rows, tm.Latest(), _buckets(spark, d)), "append", folder)
     return out.select("episode_id", F.col("id").alias("frame_index"), F.col("x").alias("latest"))
 
 
@@ -172,7 +177,7 @@ def stream_tracking(spark, d):
     """Movement since tracking was found: the reference is forgotten after twelve hours without a frame."""
     stream, folder = _by_time(spark, d)
     rows = stream.select("episode_id", "ts", "frame_index", F.col("value").alias("x"))
-    out = st.run(tm.timed(rows, tm.Tracked(12 * _HOUR, (0.0, 0.0), st.reference_step())), "append", folder)
+    out = st.run(tm.timed(rows, tm.Tracked(12 * _HOUR, (0.0, 0.0), st.reference_step()), _buckets(spark, d)), "append", folder)
     return out.select("episode_id", "frame_index", r6("y").alias("moved"))
 
 
@@ -188,5 +193,5 @@ def stream_chunks(spark, d):
     chunk = F.transform(F.collect_list("value").over(w.rowsBetween(0, 5)), lambda v: v + F.col("frame_index"))
     rows = f.select("episode_id", F.col("frame_index").cast("bigint").alias("t"), chunk.alias("values"), (F.ntile(3).over(w).cast("bigint") - 1).alias("part"))
     rows = rows.select("episode_id", "t", F.when(F.col("t") % 2 == 0, F.col("t")).alias("chunk_t"), F.when(F.col("t") % 2 == 0, F.col("values")).alias("values"), "part")
-    out = st.run(st.chunk_actions(_stream(rows, folder, "part"), st.ChunkQueue()), "append", folder)
+    out = st.run(st.chunk_actions(_stream(rows, folder, "part"), st.ChunkQueue(), _buckets(spark, d)), "append", folder)
     return out.select("episode_id", "t", r6("action").alias("action"))

@@ -1,4 +1,5 @@
-"""Streaming forms of the online operators. Keyed state lives in the state store; nothing is kept in Python between batches.
+"""Streaming forms of the online operators. Keyed state lives in the state store; nothing is kept in Python between batches. Its
+keys are buckets of episodes (buckets.py).
 
 transformWithStateInPandas needs the RocksDB state store; run() sets it for the query and puts the setting back.
 """
@@ -12,11 +13,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from frameloom.operators.order import Gripper
 
+from .buckets import LEAST_BUCKETS, Bucketed, bucketed, episodes_of, fields
+
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "false",
@@ -67,33 +69,30 @@ def appended(stream: DataFrame) -> DataFrame:
     return stream.where("frame_index > 0")
 
 
-class Fold(StatefulProcessor):
+class Fold(Bucketed):
     """A recurrence for each key: state and result from state and value. Rows with ``reset`` clear the state first."""
 
+    out = fields(episode_id=LongType, frame_index=LongType, y=DoubleType)
+
     def __init__(self, start: tuple[float, ...], step: Callable[[tuple[float, ...], float], tuple[tuple[float, ...], float]]):
         self.start, self.step = start, step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", StructType([StructField(f"s{i}", DoubleType()) for i in range(len(self.start))]))
+        self.kept = {"state": fields(**{f"s{i}": DoubleType for i in range(len(start))})}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get()) if self.state.exists() else self.start
-        batch = pd.concat(list(rows)).sort_values("frame_index")
-        out = []
-        for x, reset in zip(batch["x"], batch["reset"]):
-            state, y = self.step(self.start if reset else state, x)
-            out.append(y)
-        self.state.update(state)
-        yield pd.DataFrame({"episode_id": batch["episode_id"], "frame_index": batch["frame_index"], "y": out})
-
-    def close(self) -> None:
-        pass
-
-
-def folded(stream: DataFrame, processor: StatefulProcessor) -> DataFrame:
+        states, out = self.load("state"), []
+        for episode, frames, xs, resets in episodes_of(rows, ["frame_index"], ["frame_index", "x", "reset"]):
+            (state,) = states.get(episode, [self.start])
+            for i, x, reset in zip(frames, xs, resets):
+                state, y = self.step(self.start if reset else state, x)
+                out.append((episode, i, y))
+            states[episode] = [state]
+        self.store("state", states)
+        yield from self.result(key, out)
+
+
+def folded(stream: DataFrame, processor: Fold, buckets: int = LEAST_BUCKETS) -> DataFrame:
     """stream: episode_id, frame_index, x, reset."""
-    schema = StructType([StructField("episode_id", LongType()), StructField("frame_index", LongType()), StructField("y", DoubleType())])
-    return stream.groupBy("episode_id").transformWithStateInPandas(processor, schema, "Append", "none")
+    return bucketed(stream, processor, buckets, "none")
 
 
 def ema_step(rising: float = 0.2, falling: float = 0.8):
@@ -149,42 +148,47 @@ def gripper_step(how: Gripper = Gripper()):
     return step
 
 
-class ChunkQueue(StatefulProcessor):
+class ChunkQueue(Bucketed):
     """Action chunks that arrive late and overlap: stale heads are dropped, equal steps are gathered, at most ``most``
     steps are held. Each tick gives the action for its step in one of the modes act, avg, old, new, or the last one again.
 
     Rows: episode_id, t (tick), chunk_t (step of the chunk's first action, null for a mere tick), values.
     """
 
+    kept = {"queue": fields(t=LongType, nth=LongType, a=DoubleType), "last": fields(a=DoubleType)}
+    out = fields(episode_id=LongType, t=LongType, action=DoubleType)
+
     def __init__(self, mode: str = "act", tau: float = 0.5, most: int = 32):
         self.mode, self.tau, self.most = mode, tau, most
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.queue = handle.getListState("queue", StructType([StructField("t", LongType()), StructField("nth", LongType()), StructField("a", DoubleType())]))
-        self.last = handle.getValueState("last", StructType([StructField("a", DoubleType())]))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[float]] = {}
-        for t, _, a in sorted(self.queue.get()) if self.queue.exists() else ():
-            held.setdefault(int(t), []).append(a)
-        last = self.last.get()[0] if self.last.exists() else None
-        batch = pd.concat(list(rows)).sort_values(["t", "chunk_t"], na_position="last")
-        out = []
-        for t, group in batch.groupby("t"):
-            held = {k: v for k, v in held.items() if k >= t}
-            for chunk_t, values in zip(group["chunk_t"], group["values"]):
-                if chunk_t == chunk_t and values is not None:
-                    for i, a in enumerate(values):
-                        if chunk_t + i >= t:
-                            held.setdefault(int(chunk_t) + i, []).append(float(a))
-            held = dict(sorted(held.items())[: self.most])
-            if (found := held.pop(int(t), None)) is not None:
-                last = self.chosen(found)
-            out.append((key[0], int(t), last))
-        self.queue.put([(t, i, a) for t, found in sorted(held.items()) for i, a in enumerate(found)]) if held else self.queue.clear()
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=["episode_id", "t", "action"])
+        queues, lasts, out = self.load("queue"), self.load("last"), []
+        for episode, ts, chunk_ts, chunks in episodes_of(rows, ["t", "chunk_t"], ["t", "chunk_t", "values"]):
+            held: dict[int, list[float]] = {}
+            for t, _, a in sorted(queues.get(episode, ())):
+                held.setdefault(t, []).append(a)
+            last = lasts[episode][0][0] if episode in lasts else None
+            at = 0
+            while at < len(ts):
+                t = ts[at]
+                held = {k: v for k, v in held.items() if k >= t}
+                while at < len(ts) and ts[at] == t:
+                    chunk_t, values = chunk_ts[at], chunks[at]
+                    if chunk_t == chunk_t and values is not None:
+                        for i, a in enumerate(values):
+                            if chunk_t + i >= t:
+                                held.setdefault(int(chunk_t) + i, []).append(float(a))
+                    at += 1
+                held = dict(sorted(held.items())[: self.most])
+                if (found := held.pop(t, None)) is not None:
+                    last = self.chosen(found)
+                out.append((episode, t, last))
+            queues[episode] = [(t, i, a) for t, found in sorted(held.items()) for i, a in enumerate(found)]
+            if last is not None:
+                lasts[episode] = [(last,)]
+        self.store("queue", queues)
+        self.store("last", lasts)
+        yield from self.result(key, out)
 
     def chosen(self, found: list[float]) -> float:
         if self.mode == "avg":
@@ -196,10 +200,6 @@ class ChunkQueue(StatefulProcessor):
             z = z * self.tau + a * (1 - self.tau)
         return z
 
-    def close(self) -> None:
-        pass
-
 
-def chunk_actions(stream: DataFrame, queue: ChunkQueue) -> DataFrame:
-    schema = StructType([StructField("episode_id", LongType()), StructField("t", LongType()), StructField("action", DoubleType())])
-    return stream.groupBy("episode_id").transformWithStateInPandas(queue, schema, "Append", "none")
+def chunk_actions(stream: DataFrame, queue: ChunkQueue, buckets: int = LEAST_BUCKETS) -> DataFrame:
+    return bucketed(stream, queue, buckets, "none")

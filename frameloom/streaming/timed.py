@@ -12,12 +12,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-
-def fields(**kinds) -> StructType:
-    return StructType([StructField(k, v()) for k, v in kinds.items()])
+from .buckets import LEAST_BUCKETS, Bucketed, bucketed, episodes_of, fields
 
 
 def ms_from(us: int) -> int:
@@ -25,25 +22,31 @@ def ms_from(us: int) -> int:
     return -(-us // 1000)
 
 
-class Timed(StatefulProcessor):
-    """Keyed state as a tuple under one name, rows held until the watermark has passed them, and one timer in force."""
+class Timed(Bucketed):
+    """An episode's state is a tuple, beside rows held until the watermark has passed them. Each bucket has one timer: for
+    the earliest time at which one of its episodes is due."""
 
     state_fields: StructType
     held_fields: StructType | None = None
+    #: Columns of the rows, and those by which they come to an episode in order.
+    rows: tuple[str, ...] = ("us",)
+    order: tuple[str, ...] = ("us",)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", self.state_fields)
-        self.held = handle.getListState("held", self.held_fields) if self.held_fields else None
+    @property
+    def kept(self) -> dict[str, StructType]:
+        return {"state": self.state_fields} | ({"held": self.held_fields} if self.held_fields else {})
 
-    def now(self) -> tuple | None:
-        return tuple(self.state.get()) if self.state.exists() else None
+    def take(self, state: tuple | None, held: list[tuple], rows: Iterator[tuple]) -> tuple[tuple | None, list[tuple], list[tuple]]:
+        """New rows of an episode: its state and held rows from now on, and what it gives."""
+        raise NotImplementedError
 
-    def waiting(self) -> list[tuple]:
-        return [tuple(x) for x in self.held.get()] if self.held.exists() else []
+    def passed(self, state: tuple | None, held: list[tuple], end: int) -> tuple[tuple | None, list[tuple], list[tuple]]:
+        """The same when the watermark (``end``, in microseconds) is beyond the time at which the episode was due."""
+        raise NotImplementedError
 
-    def keep(self, rows: list[tuple]) -> None:
-        self.held.put(rows) if rows else self.held.clear()
+    def due(self, state: tuple | None, held: list[tuple]) -> int | None:
+        """When the episode is due next, in microseconds."""
+        raise NotImplementedError
 
     def wake(self, us: int | None) -> None:
         """One timer, at this time or not at all."""
@@ -52,12 +55,35 @@ class Timed(StatefulProcessor):
         if us is not None:
             self.handle.registerTimer(ms_from(us))
 
-    def close(self) -> None:
-        pass
+    def _opened(self) -> tuple[dict, dict]:
+        states = {episode: state for episode, (state,) in self.load("state").items()}
+        return states, self.load("held") if self.held_fields else {}
 
+    def _closed(self, states: dict, helds: dict) -> None:
+        self.store("state", {episode: [state] for episode, state in states.items() if state is not None})
+        if self.held_fields:
+            self.store("held", helds)
+        times = (self.due(states.get(episode), helds.get(episode, [])) for episode in {**states, **helds})
+        first = min((t for t in times if t is not None), default=None)
+        self.wake(None if first is None else first + 1)
 
-def watermark_us(timers) -> int:
-    return timers.getCurrentWatermarkInMs() * 1000
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        (states, helds), out = self._opened(), []
+        for episode, *columns in episodes_of(rows, list(self.order), list(self.rows)):
+            states[episode], helds[episode], given = self.take(states.get(episode), helds.get(episode, []), zip(*columns))
+            out += [(episode, *row) for row in given]
+        self._closed(states, helds)
+        yield from self.result(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (states, helds), out, end = self._opened(), [], timerValues.getCurrentWatermarkInMs() * 1000
+        for episode in {**states, **helds}:
+            state, held = states.get(episode), helds.get(episode, [])
+            if (at := self.due(state, held)) is not None and at < end:
+                states[episode], helds[episode], given = self.passed(state, held, end)
+                out += [(episode, *row) for row in given]
+        self._closed(states, helds)
+        yield from self.result(key, out)
 
 
 class Ticks(Timed):
@@ -69,38 +95,35 @@ class Ticks(Timed):
     state_fields = fields(next=LongType, last=DoubleType)
     held_fields = fields(us=LongType, x=DoubleType)
     out = fields(episode_id=LongType, us=LongType, action=DoubleType)
+    rows = ("us", "x")
 
     def __init__(self, every: int):
         self.every = every
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t), float(x)) for batch in rows for t, x in zip(batch["us"], batch["x"]) if x == x and x is not None]
+    def take(self, state, held, rows):
+        new = [(t, x) for t, x in rows if x is not None and x == x]
         if new:
-            held = sorted(self.waiting() + new)
-            self.keep(held)
-            if self.now() is None:
-                self.state.update((-(-held[0][0] // self.every) * self.every, float("nan")))
-            tick = self.now()[0]
-            if self.now()[1] != self.now()[1]:  # no tick given yet: an earlier first action may still come
-                tick = min(tick, -(-held[0][0] // self.every) * self.every)
-                self.state.update((tick, float("nan")))
-            self.wake(tick + 1)
-        yield pd.DataFrame({"episode_id": [], "us": [], "action": []}).astype({"episode_id": "int64", "us": "int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = watermark_us(timerValues)
-        tick, last = self.now()
-        held, at, out = self.waiting(), 0, []
+            held = sorted(held + new)
+            first = -(-held[0][0] // self.every) * self.every
+            if state is None:
+                state = (first, float("nan"))
+            elif state[1] != state[1]:  # no tick given yet: an earlier first action may still come
+                state = (min(state[0], first), float("nan"))
+        return state, held, []
+
+    def passed(self, state, held, end):
+        tick, last = state
+        at, out = 0, []
         while tick < end:
             while at < len(held) and held[at][0] <= tick:
                 last = held[at][1]
                 at += 1
-            out.append((key[0], tick, last))
+            out.append((tick, last))
             tick += self.every
-        self.keep(held[at:])
-        self.state.update((tick, last))
-        self.wake(tick + 1)
-        yield pd.DataFrame(out, columns=["episode_id", "us", "action"])
+        return (tick, last), held[at:], out
+
+    def due(self, state, held):
+        return state and state[0]
 
 
 class Clicks(Timed):
@@ -116,32 +139,28 @@ class Clicks(Timed):
     def __init__(self, gap: int):
         self.gap = gap
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        clicks, first, last = self.now() or (0, 0, 0)
+    def take(self, state, held, rows):
+        clicks, first, last = state or (0, 0, 0)
         out = []
-        for t in sorted(int(t) for batch in rows for t in batch["us"]):
+        for (t,) in rows:
             if clicks and t - last >= self.gap:
                 if clicks == 2:
-                    out.append((key[0], first, last, "save"))
+                    out.append((first, last, "save"))
                 clicks = 0
             first = first if clicks else t
             last = max(t, last) if clicks else t
             clicks += 1
             if clicks == 3:
-                out.append((key[0], first, last, "delete"))
+                out.append((first, last, "delete"))
                 clicks = 0
-        if clicks:
-            self.state.update((clicks, first, last))
-            self.wake(last + self.gap)
-        else:
-            self.state.clear()
-            self.wake(None)
-        yield pd.DataFrame(out, columns=["episode_id", "first_us", "us", "outcome"])
+        return (clicks, first, last) if clicks else None, held, out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        clicks, first, last = self.now() or (0, 0, 0)
-        self.state.clear()
-        yield pd.DataFrame([(key[0], first, last, "save")] if clicks == 2 else [], columns=["episode_id", "first_us", "us", "outcome"])
+    def passed(self, state, held, end):
+        clicks, first, last = state
+        return None, held, [(first, last, "save")] if clicks == 2 else []
+
+    def due(self, state, held):
+        return state and state[2] + self.gap
 
 
 class Latest(Timed):
@@ -153,31 +172,23 @@ class Latest(Timed):
     state_fields = fields(us=LongType, x=DoubleType)
     held_fields = fields(us=LongType, id=LongType, x=DoubleType)
     out = fields(episode_id=LongType, id=LongType, us=LongType, x=DoubleType)
+    rows = ("us", "id", "x")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t), -1 if i is None or i != i else int(i), float("nan") if x is None else float(x)) for batch in rows for t, i, x in zip(batch["us"], batch["id"], batch["x"])]
-        held = self.waiting() + new
-        self.keep(held)
-        self.wake(min(t for t, *_ in held) + 1)
-        yield pd.DataFrame({"episode_id": [], "id": [], "us": [], "x": []}).astype({"episode_id": "int64", "id": "int64", "us": "int64"})
+    def take(self, state, held, rows):
+        return state, held + [(t, -1 if i is None or i != i else int(i), float("nan") if x is None else x) for t, i, x in rows], []
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = watermark_us(timerValues)
-        held = self.waiting()
-        past = sorted((r for r in held if r[0] < end), key=lambda r: (r[0], r[1] >= 0, r[2]))
-        rest = [r for r in held if r[0] >= end]
-        at, value = self.now() or (None, None)
+    def passed(self, state, held, end):
+        at, value = state or (None, None)
         out = []
-        for t, i, x in past:
+        for t, i, x in sorted((r for r in held if r[0] < end), key=lambda r: (r[0], r[1] >= 0, r[2])):
             if i < 0:
                 at, value = t, x
             else:
-                out.append((key[0], i, t, value))
-        if at is not None:
-            self.state.update((at, value))
-        self.keep(rest)
-        self.wake(min(r[0] for r in rest) + 1 if rest else None)
-        yield pd.DataFrame(out, columns=["episode_id", "id", "us", "x"]).astype({"x": "float64"})
+                out.append((i, t, value))
+        return None if at is None else (at, value), [r for r in held if r[0] >= end], out
+
+    def due(self, state, held):
+        return min((t for t, *_ in held), default=None)
 
 
 class Tracked(Timed):
@@ -188,32 +199,33 @@ class Tracked(Timed):
 
     state_fields = fields(last=LongType, a=DoubleType, b=DoubleType)
     out = fields(episode_id=LongType, frame_index=LongType, y=DoubleType)
+    rows = ("us", "frame_index", "x")
+    order = ("us", "frame_index")
 
     def __init__(self, lost: int, start: tuple[float, float], step):
         self.lost, self.start, self.step = lost, start, step
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, *state = self.now() or (None, *self.start)
-        batch = pd.concat(list(rows)).sort_values(["us", "frame_index"])
+    def take(self, state, held, rows):
+        last, *now = state or (None, *self.start)
         out = []
-        for t, i, x in zip(batch["us"], batch["frame_index"], batch["x"]):
+        for t, i, x in rows:
             if last is not None and t - last > self.lost:
-                state = self.start
-            state, y = self.step(tuple(state), x)
-            last = int(t)
-            out.append((key[0], i, y))
-        self.state.update((last, *state))
-        self.wake(last + self.lost + 1)
-        yield pd.DataFrame(out, columns=["episode_id", "frame_index", "y"])
+                now = self.start
+            now, y = self.step(tuple(now), x)
+            last = t
+            out.append((i, y))
+        return (last, *now), held, out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame({"episode_id": [], "frame_index": [], "y": []}).astype({"episode_id": "int64", "frame_index": "int64"})
+    def passed(self, state, held, end):
+        return None, held, []
+
+    def due(self, state, held):
+        return state and state[0] + self.lost
 
 
-def timed(stream: DataFrame, processor: Timed) -> DataFrame:
+def timed(stream: DataFrame, processor: Timed, buckets: int = LEAST_BUCKETS) -> DataFrame:
     """The rows of a timed operator over a stream with a watermark on ts."""
-    return stream.withColumn("us", F.unix_micros("ts")).groupBy("episode_id").transformWithStateInPandas(processor, processor.out, "Append", "EventTime")
+    return bucketed(stream.withColumn("us", F.unix_micros("ts")), processor, buckets, "EventTime")
 
 
 def without_recordings(frames: DataFrame, outcomes: DataFrame) -> DataFrame:
