@@ -63,4 +63,9 @@ LINES = """n AS (SELECT l_orderkey AS episode_id, row_number() OVER (PARTITION B
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """round(c, 6), which works on decimals and is slow. A value that is no near tie is some millions of millionths: a whole
+    number over a million is the same double as that decimal."""
+    x = F.col(c) if isinstance(c, str) else c
+    wide = x * F.lit(1e6)
+    near = F.floor(wide + 0.5)
+    return F.when((F.abs(wide) < 1e9) & (F.abs(wide - near) < 0.4999), near / F.lit(1e6)).otherwise(F.round(x, 6))
