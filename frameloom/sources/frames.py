@@ -166,12 +166,15 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
 JSONL = "timestamp double, action array<double>, language_instruction string, observation struct<state: array<double>, images: struct<base_rgb: string, wrist_rgb: string, tactile_left_rgb: string, tactile_right_rgb: string>>"
 
 
-def read_jsonl(spark: SparkSession, path: str, files: str = "*.jsonl", episode: str = r"([^/]+)\.jsonl$") -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, files: str = "*.jsonl", episode: str = r"([^/]+)\.jsonl$", column: str | None = None) -> DataFrame:
     """Episodes in JSONL files, one a file; frames by their timestamp, equal and missing times by their place in the file.
-    episode: the pattern that finds an episode's name in its file's path."""
-    rows = spark.read.schema(JSONL).option("recursiveFileLookup", "true").option("pathGlobFilter", files).json(path)
-    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    out = rows.select(F.regexp_extract(F.col("_metadata.file_path"), episode, 1).alias("episode_id"), at.alias("_at"), "timestamp", "action", "language_instruction", F.col("observation.state").alias("state"), F.col("observation.images").alias("images"))
+    episode: the pattern that finds an episode's name in its file's path. column: the field of each line that names its
+    episode instead, where a file holds many episodes (null where it is missing)."""
+    schema = f"{JSONL}, `{column}` string" if column else JSONL
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", files).json(path)
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    name = F.col(f"`{column}`") if column else F.regexp_extract(F.col("_metadata.file_path"), episode, 1)
+    out = rows.select(name.alias("episode_id"), at.alias("_at"), "timestamp", "action", "language_instruction", F.col("observation.state").alias("state"), F.col("observation.images").alias("images"))
     order = Window.partitionBy("episode_id").orderBy("timestamp", "_at")
     return out.withColumn("frame_index", (F.row_number().over(order) - 1).cast("bigint")).drop("_at")
 

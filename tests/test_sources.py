@@ -191,6 +191,24 @@ def test_jsonl_frames_of_equal_times_keep_their_place(spark, tmp_path):
     assert [r.action[0] for r in rows] == [3.0, 5.0, 1.0, 2.0, 4.0, 0.0]
 
 
+def test_jsonl_files_of_many_episodes(spark, tmp_path):
+    """The episode is a field of each line; a missing one is null."""
+    for name, lines in {"a": [("e1", 2, 0), ("e2", 1, 1), ("e1", 2, 2)], "b": [("e3", 5, 3), (None, 5, 4)]}.items():
+        with (tmp_path / f"{name}.json").open("w") as f:
+            for e, t, x in lines:
+                f.write(json.dumps(({"who": e} if e else {}) | {"timestamp": t, "action": [x]}) + "\n")
+    rows = fr.read_jsonl(spark, str(tmp_path), "*.json", column="who").collect()
+    assert sorted(((r.episode_id, r.frame_index, r.action[0]) for r in rows), key=str) == [("e1", 0, 0.0), ("e1", 1, 2.0), ("e2", 0, 1.0), ("e3", 0, 3.0), (None, 0, 4.0)]
+
+
+def test_jsonl_frames_write_no_folder_an_episode(spark, data, tmp_path, monkeypatch):
+    from frameloom.plans import catalog, catalogue_queries
+
+    monkeypatch.setattr(catalogue_queries, "work_folder", lambda spark: str(tmp_path / "j"))
+    episodes = catalog.QUERIES["jsonl_frames"](spark, data).select("episode_id").distinct().count()
+    assert len(list((tmp_path / "j").rglob("*.json"))) < episodes
+
+
 def test_nodes_keep_signs_and_the_last_of_equal_keys(spark):
     lines = spark.createDataFrame([("n1", "State=IDLE  CfgTRES=cpu=4,gres/gpu=2 Flag State=DOWN")], "name string, value string")
     row = texts.parse_nodes(lines).first()
